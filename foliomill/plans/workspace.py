@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_sent: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +40,24 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ensure_code(spark: SparkSession) -> None:
+    """Let the executors' Python import this package.
+
+    Nothing is done where PYTHONPATH already holds it; else the package is sent once per
+    application, as ``spark-submit --py-files`` would.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    app = spark.sparkContext.applicationId
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or app in _sent:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-foliomill-code-"), "foliomill.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "foliomill")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    _sent.add(app)
