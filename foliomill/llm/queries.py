@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, mixing
+from foliomill.llm import bpe, divergence, mixing
+from foliomill.plans.workspace import ensure_code
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_rules(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"), ids=False)
 
@@ -20,5 +26,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op10_mixing": op10_mixing}
+QUERIES = {"op3_divergence": op3_divergence, "op6_bpe": op6_bpe, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
