@@ -164,10 +164,10 @@ def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows alike in doc_id, source and text are one item of their joint size.
     """
-    key = docs.withColumn("_text", F.xxhash64("text")).withColumn("_size", word_count(F.col("text")))
-    units = key.groupBy("doc_id", "source", "_text").agg(F.sum("_size").alias("size"))
-    units = units.select("doc_id", "source", "_text", "size", F.xxhash64("doc_id", "_text").alias("id"))
-    taken = mix(units, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_text").alias("_t"), "copies")
-    same = key["doc_id"].eqNullSafe(taken["_d"]) & key["source"].eqNullSafe(taken["_s"]) & key["_text"].eqNullSafe(taken["_t"])
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return key.join(taken.where("copies > 0"), same).withColumn("_copy", copies).select(*[F.col(c) for c in docs.columns])
+    key = docs.withColumn("_mix_text", F.xxhash64("text")).withColumn("_mix_size", word_count(F.col("text")))
+    units = key.groupBy("doc_id", "source", "_mix_text").agg(F.sum("_mix_size").alias("size"))
+    units = units.select("doc_id", "source", "_mix_text", "size", F.xxhash64("doc_id", "_mix_text").alias("id"))
+    taken = mix(units, **options).select(F.col("doc_id").alias("_mix_d"), F.col("source").alias("_mix_s"), F.col("_mix_text").alias("_mix_t"), F.col("copies").alias("_mix_copies"))
+    same = key["doc_id"].eqNullSafe(taken["_mix_d"]) & key["source"].eqNullSafe(taken["_mix_s"]) & key["_mix_text"].eqNullSafe(taken["_mix_t"])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))
+    return key.join(taken.where("_mix_copies > 0"), same).withColumn("_mix_copy", copies).select(*docs.columns)
