@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, divergence, mixing
+from foliomill.llm import bpe, divergence, mixing, secrets
 from foliomill.plans.workspace import ensure_code
 
 
@@ -21,10 +21,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"), ids=False)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("text_hash", "found")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {"op3_divergence": op3_divergence, "op6_bpe": op6_bpe, "op10_mixing": op10_mixing}
+QUERIES = {"op3_divergence": op3_divergence, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
