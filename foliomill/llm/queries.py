@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, divergence, mixing, secrets
+from foliomill.llm import bpe, divergence, mixing, quality, secrets
 from foliomill.plans.workspace import ensure_code
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(_table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {"op3_divergence": op3_divergence, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op3_divergence": op3_divergence, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
