@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, divergence, language_id, mixing, quality, secrets
+from foliomill.llm import ann, bpe, divergence, language_id, mixing, quality, secrets
 from foliomill.plans.workspace import ensure_code
 
 
@@ -21,6 +21,11 @@ def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.ann_search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"), ids=False)
 
@@ -38,5 +43,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_divergence": op3_divergence, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op3_divergence": op3_divergence, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
