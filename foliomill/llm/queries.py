@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import ann, bpe, divergence, language_id, mixing, quality, secrets
+from foliomill.llm import ann, bpe, divergence, language_id, mixing, near_dups, quality, secrets
 from foliomill.plans.workspace import ensure_code
 
 
@@ -38,10 +38,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_divergence": op3_divergence, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op3_divergence": op3_divergence, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op9_near_dups": op9_near_dups, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
