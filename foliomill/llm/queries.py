@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import ann, bpe, divergence, language_id, mixing, near_dups, quality, secrets
+from foliomill.llm import ann, bpe, divergence, language_id, mixing, near_dups, quality, repeats, secrets
 from foliomill.plans.workspace import ensure_code
 
 
@@ -21,6 +21,10 @@ def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return ann.ann_search(vectors, vectors.where("vec_id % 50 = 0"))
@@ -47,5 +51,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_divergence": op3_divergence, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op9_near_dups": op9_near_dups, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op3_divergence": op3_divergence, "op4_repeats": op4_repeats, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op9_near_dups": op9_near_dups, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
