@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import ann, bpe, divergence, language_id, mixing, near_dups, quality, repeats, secrets
+from foliomill.llm import ann, bpe, divergence, language_id, lattice_lm, mixing, near_dups, quality, repeats, secrets
 from foliomill.plans.workspace import ensure_code
 
 
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(_table(spark, sf_dir, "documents"), quality.held_out("doc_id", 7, 2))
+
+
 def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_divergence": op3_divergence, "op4_repeats": op4_repeats, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op9_near_dups": op9_near_dups, "op10_mixing": op10_mixing}
+QUERIES = {"op1_quality": op1_quality, "op2_lattice_lm": op2_lattice_lm, "op3_divergence": op3_divergence, "op4_repeats": op4_repeats, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op9_near_dups": op9_near_dups, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
