@@ -37,3 +37,57 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         rest = rest.join(to_a, "a").join(to_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         rest = materialize(rest, "cc-edges")
     return labels
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """(source, target, similarity): one row per pair that has an edge either way, smaller node first."""
+    ends = edges.select(F.least("chunk_id", "neighbor_id").alias("source"), F.greatest("chunk_id", "neighbor_id").alias("target"), "similarity")
+    return ends.where("source <> target").groupBy("source", "target").agg(F.max("similarity").alias("similarity"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node, degree) over undirected edges."""
+    return edges.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of every listed node; nodes without edges are components of one.
+
+    Links to nodes outside the list still join components.
+    """
+    found = connected_components(edges, "source", "target")
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def cluster_sizes(components: DataFrame, least: int = 2) -> DataFrame:
+    """(component, members) of components of at least ``least`` nodes."""
+    return components.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= least)
+
+
+def document_graph(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, links, similarity): edges between chunks of different documents, by pair; ``owners`` is (node, document)."""
+    a = owners.select(F.col("node").alias("source"), F.col("document").alias("x"))
+    b = owners.select(F.col("node").alias("target"), F.col("document").alias("y"))
+    pairs = edges.join(a, "source").join(b, "target").where("x <> y")
+    return pairs.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.count(F.lit(1)).alias("links"), F.avg("similarity").alias("similarity"))
+
+
+def neighbours(edges: DataFrame, node) -> DataFrame:
+    """(neighbor, similarity) of one node, nearest first."""
+    here = edges.where((F.col("source") == F.lit(node)) | (F.col("target") == F.lit(node)))
+    other = F.when(F.col("source") == F.lit(node), F.col("target")).otherwise(F.col("source"))
+    return here.select(other.alias("neighbor"), "similarity").orderBy(F.desc("similarity"), "neighbor")
+
+
+def highlight(nodes: DataFrame, edges: DataFrame, matches: DataFrame) -> DataFrame:
+    """(node, degree, matched, value): display size of each node for a search; no match at all highlights nothing.
+
+    A matched node grows by 3, the others shrink to 0.4 of their size (0.5 at least).
+    """
+    hit = matches.select(F.col("chunk_id").alias("node"), F.lit(True).alias("hit"))
+    any_hit = matches.agg((F.count(F.lit(1)) > 0).alias("any_hit"))
+    base = nodes.select("node").join(degrees(edges), "node", "left").fillna(0, ["degree"]).join(hit, "node", "left").join(F.broadcast(any_hit))
+    size = F.greatest(F.lit(1.0), F.col("degree").cast("double"))
+    matched = F.coalesce("hit", F.lit(False))
+    value = F.when(~F.col("any_hit"), size).when(matched, size + 3).otherwise(F.greatest(F.lit(0.5), 0.4 * size))
+    return base.select("node", "degree", matched.alias("matched"), value.alias("value"))
