@@ -40,7 +40,7 @@ def check_upload_names(names: list[str]) -> None:
 
 def page_files(spark: SparkSession, directory: str) -> DataFrame:
     """(document_id, page, extraction_path, structural, text) of ``<directory>/<document>/<page>.md``; pages are numbers."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(directory).withColumn("path", F.input_file_name())
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(directory, wholetext=True).withColumn("path", F.input_file_name())
     named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.md$", 1).alias("document_id"), F.regexp_extract("path", r"(\d+)\.md$", 1).cast("int").alias("page"), read_page_file(F.col("value")).alias("x"))
     return named.select("document_id", "page", "x.extraction_path", "x.structural", "x.text")
 
