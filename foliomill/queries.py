@@ -6,7 +6,7 @@ are the rows of ``embeddings``. Both follow the tables in size.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -201,15 +201,16 @@ def merged_blocks(spark, sf_dir):
     return chunking.merge_atomic(chunking.typed_blocks(_steps(spark, sf_dir))).select("document_id", "page", "page_end", "kind", "block")
 
 
-PACKED = f"""{SINGLE},
+def _packed_sql(most: int, overlap: int) -> str:
+    return f"""{SINGLE},
 docs AS (SELECT doc_id, list({{'block': block, 'kind': kind, 'tokens': tokens, 'section': section, 'before': before}} ORDER BY n) AS b FROM sections GROUP BY 1),
 spans AS (SELECT doc_id, b, list_reduce(
   list_transform(range(1, len(b) + 1), lambda i: {{'first': i, 'at': i, 'section_at': i, 'out': []::STRUCT(f BIGINT, l BIGINT, s BIGINT)[]}}),
   lambda acc, x: CASE
-    WHEN b[x.at].kind = 'procedure' AND b[x.at].tokens > 1000 THEN {{'first': x.at + 1, 'at': x.at, 'section_at': x.at, 'out': list_concat(acc.out,
+    WHEN b[x.at].kind = 'procedure' AND b[x.at].tokens > {most} THEN {{'first': x.at + 1, 'at': x.at, 'section_at': x.at, 'out': list_concat(acc.out,
         CASE WHEN acc.first < x.at THEN [{{'f': acc.first, 'l': x.at - 1, 's': acc.section_at}}] ELSE [] END, [{{'f': x.at, 'l': x.at, 's': x.at}}])}}
-    WHEN acc.first < x.at AND b[x.at].before - b[acc.first].before + b[x.at].tokens > 1000 THEN {{
-        'first': coalesce(list_max(list_filter(range(acc.first, x.at), lambda s: b[x.at].before - b[s].before >= 100)), acc.first),
+    WHEN acc.first < x.at AND b[x.at].before - b[acc.first].before + b[x.at].tokens > {most} THEN {{
+        'first': coalesce(list_max(list_filter(range(acc.first, x.at), lambda s: b[x.at].before - b[s].before >= {overlap})), acc.first),
         'at': x.at, 'section_at': x.at, 'out': list_append(acc.out, {{'f': acc.first, 'l': x.at - 1, 's': acc.section_at}})}}
     ELSE {{'first': CASE WHEN acc.first < x.at THEN acc.first ELSE x.at END, 'at': x.at, 'section_at': CASE WHEN acc.first < x.at THEN acc.section_at ELSE x.at END, 'out': acc.out}} END,
   {{'first': 1::BIGINT, 'at': 0::BIGINT, 'section_at': 1::BIGINT, 'out': []::STRUCT(f BIGINT, l BIGINT, s BIGINT)[]}}) AS acc FROM docs),
@@ -219,13 +220,26 @@ packed AS (
   FROM chunks, unnest(range(1, len(out) + 1)) t(i))"""
 
 
+PACKED = _packed_sql(1000, 100)
+
+
 @query(f"WITH {PACKED} SELECT *, greatest(1, length(content) // 4) AS token_count FROM packed")
 def packed_chunks(spark, sf_dir):
     blocks = chunking.with_sections(chunking.merge_atomic(chunking.typed_blocks(single_pages(spark, sf_dir))))
     return chunking.pack(blocks).select("document_id", "chunk_index", "content", "section", "token_count")
 
 
-@query()
+@query(f"""WITH {_packed_sql(120, 20)},
+lists AS (SELECT document_id, list({{'content': content, 'section': section, 't': greatest(1, length(content) // 4)}} ORDER BY chunk_index) AS c FROM packed GROUP BY 1),
+folded AS (SELECT document_id, c, list_reduce(
+  list_transform(range(1, len(c) + 1), lambda i: {{'at': i, 'out': []::STRUCT(f BIGINT, l BIGINT, chars BIGINT, kind VARCHAR, section VARCHAR)[]}}),
+  lambda acc, x: CASE WHEN c[x.at].t < 50 AND len(acc.out) > 0 AND acc.out[len(acc.out)].section IS NOT DISTINCT FROM c[x.at].section
+    THEN {{'at': x.at, 'out': list_append(acc.out[1:len(acc.out) - 1], {{'f': acc.out[len(acc.out)].f, 'l': x.at, 'chars': acc.out[len(acc.out)].chars + 2 + length(c[x.at].content),
+      'kind': CASE WHEN (acc.out[len(acc.out)].chars + 2 + length(c[x.at].content)) // 4 < 50 THEN acc.out[len(acc.out)].kind END, 'section': acc.out[len(acc.out)].section}})}}
+    ELSE {{'at': x.at, 'out': list_append(acc.out, {{'f': x.at, 'l': x.at, 'chars': length(c[x.at].content), 'kind': CASE WHEN c[x.at].t < 50 THEN 'runt' END, 'section': c[x.at].section}})}} END,
+  {{'at': 0::BIGINT, 'out': []::STRUCT(f BIGINT, l BIGINT, chars BIGINT, kind VARCHAR, section VARCHAR)[]}}).out AS out FROM lists)
+SELECT document_id, i - 1 AS chunk_index, array_to_string(list_transform(c[out[i].f:out[i].l], lambda y: y.content), chr(10) || chr(10)) AS content, out[i].section AS section,
+  greatest(1, out[i].chars // 4) AS token_count, out[i].kind AS section_type FROM folded, unnest(range(1, len(out) + 1)) t(i)""")
 def runt_chunks(spark, sf_dir):
     out = chunking.chunk_documents(single_pages(spark, sf_dir), most=120, overlap=20)
     return out.select("document_id", "chunk_index", "content", "section", "token_count", "section_type")
@@ -478,7 +492,7 @@ def stream_ingest(spark, sf_dir):
     """Documents as a file stream; each content is let through once."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents*.parquet")
-    out = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{next(tempfile._get_candidate_names())}"
+    out = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     fresh = deduplicate_texts(stream).select("file_hash")
     run = fresh.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
