@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
-from foliomill.operators import chunking, cleaning, flags, graph, store, triage, vectors
+from foliomill.operators import chunking, cleaning, flags, graph, store, triage, vectors, views
 from foliomill.operators.providers import HashingProvider
 from foliomill.plans.documents import DocumentPipeline
 from foliomill.plans.workspace import ensure_code, materialize, shared_dir
@@ -416,6 +416,31 @@ def queue_stats(spark, sf_dir):
     return flags.chunk_stats(_flag_tables(spark, sf_dir)[1])
 
 
+@query("""SELECT doc_id AS chunk_id, CASE WHEN doc_id % 9 = 0 AND doc_id % 11 <> 0 THEN 'excluded' WHEN length(text) // 4 < 15 THEN 'flagged' ELSE 'normal' END AS state,
+  length(text) // 4 < 15 AND NOT (doc_id % 9 = 0 AND doc_id % 11 <> 0) AS short_badge FROM documents""")
+def chunk_states(spark, sf_dir):
+    return views.chunk_states(_flag_tables(spark, sf_dir)[1])
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 9 = 0 AND doc_id % 11 <> 0")
+def excluded_chunks(spark, sf_dir):
+    return views.excluded(_flag_tables(spark, sf_dir)[1]).select("chunk_id")
+
+
+@query("SELECT c_custkey AS document_id, CASE WHEN c_custkey % 4 = 0 THEN 'busy' ELSE 'ok' END AS verdict FROM customer UNION ALL SELECT -1, 'missing'")
+def reprocess_guard(spark, sf_dir):
+    documents, _ = _flag_tables(spark, sf_dir)
+    busy = documents.withColumn("status", F.when(F.col("status") == "queued", "chunking").otherwise(F.col("status")))
+    none = documents.limit(1).select((F.col("document_id") * 0 - 1).alias("document_id"))
+    return views.may_reprocess(busy, documents.select("document_id").unionByName(none))
+
+
+@query(f"""WITH {KNN}, hits AS (SELECT vec_id FROM e ORDER BY list_cosine_similarity(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 40)
+SELECT source, target, round(greatest(0.5::DOUBLE, 8 * (similarity - 0.7::DOUBLE)), 6) AS width, source IN (SELECT vec_id FROM hits) OR target IN (SELECT vec_id FROM hits) AS lit FROM edges""")
+def graph_links(spark, sf_dir):
+    return views.lit_links(_edges(spark, sf_dir), search_chunks(spark, sf_dir)).withColumn("width", F.round("width", 6))
+
+
 @query("SELECT c_custkey AS document_id, CASE WHEN c_custkey % 2 = 0 THEN 'embedding' WHEN c_custkey % 4 = 1 THEN 'review' ELSE 'done' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'late' END AS error_message FROM customer")
 def status_overlay(spark, sf_dir):
     documents, _ = _flag_tables(spark, sf_dir)
