@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliomill.llm.arrow_text import texts_as_bytes
+from foliomill.plans.workspace import materialize
 
 CONTINUATION, SPACE, UPPER, LOWER, DIGIT, STOP, COMMA, MARK, QUOTE, SYMBOL, OTHER, LEAD2, LEAD3, LEAD4 = range(14)
 CLASSES = 14
@@ -116,7 +117,7 @@ def language_references(docs: DataFrame, common_words: int = 64, max_languages:
         yield from put_out()
 
     counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, word binary, class int, n long")
-    counts = counts.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "reference-counts")
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     word_counts = counts.where("word is not null")
     top = word_counts.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= common_words).select("lang", "word", F.lit(None).cast("int").alias("class"), "n")
