@@ -31,7 +31,7 @@ from foliomill.llm.quality import held_out
 WINDOW = 112
 CONTEXT = 8
 STEP = WINDOW + 2 * CONTEXT
-BLOCK = 1024
+BLOCK = 2048
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -195,7 +195,10 @@ class ByteTagger:
 
 def fit_language_id(docs: DataFrame, sample: int = 4000, sample_windows: int = 6, **options) -> ByteTagger | None:
     """A tagger learned from (text, lang) of at most ``sample`` rows; None without any."""
-    chosen = docs.where("lang is not null and text is not null and text <> ''").select("lang", "text").orderBy(F.xxhash64("text", "lang")).limit(sample)
+    usable = docs.where("lang is not null and text is not null and text <> ''")
+    # only ids are sorted for the sample; the texts of the few chosen follow by a join
+    ids = usable.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id").dropDuplicates(["doc_id"]).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
