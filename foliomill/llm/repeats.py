@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.arrow_text import texts_as_bytes
+from foliomill.llm.arrow_text import slices, texts_as_bytes
 from foliomill.plans.workspace import materialize
 
 GRAM = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
-PIECE = 1 << 22
+PIECE = 1 << 20
+PART_BYTES = 1 << 21
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -138,7 +139,7 @@ def stretch_keys(hashes: list[int], places: list[int], stretches: list[bytes], l
     begin = 0
     while begin < len(stretches):
         end, held = begin, 0
-        while end < len(stretches) and (held == 0 or held + len(stretches[end]) < 1 << 20):
+        while end < len(stretches) and (held == 0 or held + len(stretches[end]) < PIECE >> 1):
             held += len(stretches[end])
             end += 1
         sizes = np.array([len(s) for s in stretches[begin:end]])
@@ -156,7 +157,7 @@ def stretch_keys(hashes: list[int], places: list[int], stretches: list[bytes], l
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(starts)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False, digest: bool = False, hot: int = 20_000, bucket: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False, digest: bool = False, hot: int = 20_000, bucket: int = 8_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary), or with ``digest`` its ``kept_sha256``."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
@@ -166,7 +167,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in _parts(batches, 2):
             found = []
             for a, b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2))):
                 if (a, b) in seen or len(data) < length:
@@ -188,7 +189,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
     buckets = max(1, int(count[0] or 0) // bucket)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 3):
             columns: list[list] = [[] for _ in range(8)]
             for t1, t2, first, data, cool, heated in zip(*(batch.column(i).to_pylist() for i in range(3)), texts_as_bytes(batch.column(3)), *(batch.column(i).to_pylist() for i in (4, 5))):
                 hashes, place, begin, end = anchors(np.frombuffer(data, np.uint8), length)
@@ -197,9 +198,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
                         row = (t1, t2, first, int(begin[i]), int(hashes[i]), int(place[i] - begin[i]), is_hot, data[begin[i] : end[i] + length])
                         for column, value in zip(columns, row):
                             column.append(value)
-                if sum(map(len, columns[7])) > 1 << 24:
-                    yield _stretches(columns)
-                    columns = [[] for _ in range(8)]
             yield _stretches(columns)
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
@@ -236,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
     covered = materialize(covered.groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("covered")), "repeat-spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 2):
             out = []
             for data, copies, found in zip(texts_as_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 if copies > 1 and not keep_first and len(data) >= length:
@@ -263,6 +261,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", result)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, text, PART_BYTES)
+
+
 def _stretches(columns: list[list]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
     arrays = [pa.array(c, k or pa.int64()) for c, k in zip(columns, kinds)]
