@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 
 NEVER = 1 << 62
-WORD_TABLE = 300_000
+WORD_TABLE = 800_000
 ARC_TABLE = 2_000_000
 
 
@@ -56,10 +56,18 @@ class MergeAutomaton:
         self.right: dict[int, list[tuple[int, int]]] = {i: [(i, NEVER)] for i in self.left}
         for time, (a, b) in enumerate(merges):
             self._add_gadget(time, tokens[a], tokens[b], tokens[a + b])
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.tokens = {t: i for t, i in tokens.items() if i in self.left}
+        # how long a token can be that starts with these bytes
+        self.reach: dict[bytes, int] = {}
+        for t in self.tokens:
+            self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
+        self.arcs: dict[int, bool] = {}
 
     def _add_gadget(self, time: int, a: int, b: int, c: int) -> None:
-        self.cut.setdefault((a, b), time)
+        # no path a b, no arc c: an earlier gadget has cut it, or a part is never produced itself
+        if a not in self.left or b not in self.left or not self._survives(a, b):
+            return
+        self.cut[a, b] = time
         if c not in self.left:
             self.left[c] = [*self.left[a][:-1], (a, time), (c, NEVER)]
             self.right[c] = [*self.right[b][:-1], (b, time), (c, NEVER)]
@@ -77,44 +85,62 @@ class MergeAutomaton:
             i, j = i + (end_x <= end_y), j + (end_y <= end_x)
 
     def arc(self, u: int, v: int) -> bool:
-        found = self.arcs.get((u, v))
+        found = self.arcs.get(u << 32 | v)
         if found is None:
             if len(self.arcs) >= ARC_TABLE:
                 self.arcs.clear()
-            found = self.arcs[u, v] = self._survives(u, v)
+            found = self.arcs[u << 32 | v] = self._survives(u, v)
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        tokens, arc, n = self.tokens, self.arc, len(word)
-        state, begin = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for at in range(max(0, end - self.longest), end):
-                token = tokens.get(word[at:end])
-                if token is not None and (at == 0 or arc(state[at], token)):
-                    state[end], begin[end] = token, at
-                    break
-        ids = []
-        while n:
-            ids.append(state[n])
-            n = begin[n]
-        return ids[::-1]
+        """Run through the automaton with the longest arcs first.
+
+        A prefix has one accepted spelling, so where a run breaks off its last state can be
+        left for good, and no place in the word is tried from twice.
+        """
+        token_of, arc_of, reach, n = self.tokens.get, self.arcs.get, self.reach.get, len(word)
+        whole = token_of(word)
+        if whole is not None:
+            return [whole]
+        ids: list[int] = []
+        ends: list[int] = []
+        broken: set[int] = set()
+        at, end = 0, min(n, reach(word[:3], 2))
+        while at < n:
+            while end > at:
+                token = token_of(word[at:end])
+                if token is not None and end not in broken:
+                    if not ids:
+                        break
+                    there = arc_of(ids[-1] << 32 | token)
+                    if there or (there is None and self.arc(ids[-1], token)):
+                        break
+                end -= 1
+            if end > at:
+                ids.append(token)
+                ends.append(at)
+                at, end = end, min(n, end + reach(word[end : end + 3], 2))
+            else:
+                broken.add(at)
+                ids.pop()
+                at, end = ends.pop(), at - 1
+        return ids
 
 
 class _WordTable(dict):
-    """Words met lately -> (their ids as text, their ids)."""
+    """Words met lately -> their ids."""
 
     def __init__(self, automaton: MergeAutomaton) -> None:
         super().__init__()
         self.automaton = automaton
 
-    def __missing__(self, word: str) -> tuple[str, list[int]]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= WORD_TABLE:
             self.clear()
-        ids = self.automaton.encode_word(word.encode("utf-8", "surrogatepass"))
-        found = (",".join(map(str, ids)), ids)
+        ids = tuple(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")))
         if len(word) <= 64:
-            self[word] = found
-        return found
+            self[word] = ids
+        return ids
 
 
 class BpeCodec:
@@ -129,26 +155,24 @@ class BpeCodec:
         self.automaton = MergeAutomaton(tokens, [(spelled(a), spelled(b)) for a, b in pairs])
         self.added = {x["content"]: x["id"] for x in parsed["added_tokens"]}
         self.labels = self.automaton.labels | {i: t.encode() for t, i in self.added.items()}
+        self.names = {i: str(i) for i in self.labels}
         self.words = _WordTable(self.automaton)
         self.split = regex.compile(pattern)
         names = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
-    def entries(self, text: str) -> list[tuple[str, list[int]]]:
+    def encode(self, text: str) -> list[int]:
         words = self.words
         if self.special is None or not self.special.search(text):
-            return [words[w] for w in self.split.findall(text)]
+            return [i for w in self.split.findall(text) for i in words[w]]
         out = []
         for part in self.special.split(text):
             if part in self.added:
-                out.append((str(self.added[part]), [self.added[part]]))
+                out.append(self.added[part])
             else:
-                out += [words[w] for w in self.split.findall(part)]
+                out += [i for w in self.split.findall(part) for i in words[w]]
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [i for _, ids in self.entries(text) for i in ids]
-
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -184,25 +208,24 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value, pattern)
-        labels = codec.labels
+        labels, names = codec.labels, codec.names
         for batch in batches:
             counts, hashes, decoded, lists = [], [], [], []
             for value in batch.column(1):
-                entries = codec.entries(value.as_py() or "")
-                flat = [i for _, x in entries for i in x]
+                flat = codec.encode(value.as_py() or "")
                 counts.append(len(flat))
-                hashes.append(hashlib.sha256(",".join([s for s, _ in entries]).encode()).hexdigest())
+                hashes.append(hashlib.sha256(",".join([names[i] for i in flat]).encode()).hexdigest())
                 back = b"".join([labels[i] for i in flat]).decode("utf-8", "replace")
                 decoded.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
                 if ids:
                     lists.append(pa.array(flat, pa.int32()))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            fields = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 offsets = pa.array([0, *_running(counts)], pa.int32())
                 columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(lists) if lists else pa.array([], pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                fields.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=fields)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
