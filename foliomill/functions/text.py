@@ -98,20 +98,26 @@ def without_sentinel(c: Column) -> Column:
 
 def cut_repetition(c: Column, most_period: int = 3, least_copies: int = 3) -> Column:
     """A text up to one copy of the first paragraph cycle that repeats at least so many times; else unchanged."""
-    plain = paragraphs(c)
-    same = F.transform(plain, collapse)
-    n = F.size(plain)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), F.lit(most_period)), lambda p: F.struct(s.alias("start"), p.alias("period")))))
-
-    def cycles(x: Column) -> Column:
-        s, p = x["start"], x["period"]
-        first = F.slice(same, s, p)
-        rest = F.transform(F.sequence(F.lit(1), F.lit(least_copies - 1)), lambda i: F.slice(same, s + i * p, p) == first)
-        return (s + p * least_copies - 1 <= n) & F.forall(rest, lambda ok: ok)
-
-    hit = F.get(F.filter(spans, cycles), F.lit(0))
-    cut = F.array_join(F.slice(plain, F.lit(1), hit["start"] + hit["period"] - 1), "\n\n")
-    return F.when((n >= least_copies) & hit.isNotNull(), cut).otherwise(c)
+
+    def first_start(same: Column, p: int) -> Column:
+        # a cycle of period p starts where p * (least_copies - 1) paragraphs in a row equal the one p further on
+        def step(acc: Column, i: Column) -> Column:
+            run = F.when(F.element_at(same, i) == F.element_at(same, i + p), acc["run"] + 1).otherwise(F.lit(0))
+            start = F.coalesce(acc["start"], F.when(run >= p * (least_copies - 1), i - run + 1))
+            return F.struct(run.alias("run"), start.alias("start"))
+
+        places = F.when(F.size(same) > p, F.sequence(F.lit(1), F.size(same) - p)).otherwise(F.array().cast("array<int>"))
+        begin = F.struct(F.lit(0).alias("run"), F.lit(None).cast("int").alias("start"))
+        return F.aggregate(places, begin, step, lambda acc: F.when(acc["start"].isNotNull(), F.struct(acc["start"].alias("start"), F.lit(p).alias("period"))))
+
+    def first_cycle(same: Column) -> Column:
+        return F.array_min(F.array(*[first_start(same, p) for p in range(1, most_period + 1)]))
+
+    # one-element arrays bind what is used repeatedly, so that it is computed once and not once per paragraph
+    bound = F.transform(F.array(paragraphs(c)), lambda p: F.struct(p.alias("plain"), F.transform(p, collapse).alias("same")))
+    bound = F.transform(bound, lambda b: F.struct(b["plain"].alias("plain"), first_cycle(b["same"]).alias("hit")))
+    cut = F.transform(bound, lambda b: F.when(b["hit"].isNotNull(), F.array_join(F.slice(b["plain"], F.lit(1), b["hit"]["start"] + b["hit"]["period"] - 1), "\n\n")))
+    return F.coalesce(F.get(cut, F.lit(0)), c)
 
 
 def parse_metadata(raw: Column) -> Column:

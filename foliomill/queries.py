@@ -270,12 +270,25 @@ def page_triage(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || chr(10) || 'same row' WHEN doc_id % 3 = 1 THEN text || repeat(chr(10) || chr(10) || 'same row', 2) || chr(10) || chr(10) || 'end' ELSE text END AS cut
 FROM (SELECT doc_id, text FROM documents WHERE NOT contains(text, chr(10)))""")
 def repetition_truncate(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where(~F.col("text").contains("\n"))
+    return _cut_loops(_read(spark, sf_dir, "documents").where(~F.col("text").contains("\n")))
+
+
+def _cut_loops(docs):
     copies = F.when(F.col("doc_id") % 3 == 0, 4).when(F.col("doc_id") % 3 == 1, 2).otherwise(0)
     looped = F.concat("text", F.repeat(F.lit("\n\nsame row"), copies), F.when(copies > 0, "\n\nend").otherwise(""))
     return docs.select("doc_id", T.cut_repetition(looped).alias("cut"))
 
 
+@query()
+def repetition_truncate_all(spark, sf_dir):
+    """Repetitions cut in every document, each line a paragraph; a null text stays null.
+
+    The rows of ``repetition_truncate`` are fixed by its SQL, which has documents of one line only.
+    """
+    docs = _read(spark, sf_dir, "documents")
+    return _cut_loops(docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+
+
 @query("""SELECT c_custkey, nullif(c_mktsegment, 'MACHINERY') AS manufacturer, CASE WHEN c_custkey % 2 = 0 THEN 'datasheet' ELSE 'other' END AS doc_type, c_name AS revision FROM customer""")
 def metadata_parse(spark, sf_dir):
     c = _read(spark, sf_dir, "customer")
