@@ -42,6 +42,16 @@ def pages_of(spark, sf_dir):
     return docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
+#: A document of ``bounded_documents`` spans at most so many page numbers.
+DOCUMENT_SPAN = 1000
+
+
+def bounded_documents(spark, sf_dir):
+    """The pages of ``pages_of``; a source is cut into documents by doc_id // DOCUMENT_SPAN, so none grows with the table."""
+    part = F.floor(F.col("page") / DOCUMENT_SPAN).cast("string")
+    return pages_of(spark, sf_dir).withColumn("document_id", F.concat_ws("/", "document_id", part))
+
+
 def single_pages(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
@@ -251,6 +261,15 @@ def chunk_rollup(spark, sf_dir):
     return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"), F.count_if(F.col("token_count") < 50).alias("short"))
 
 
+@query()
+def document_chunks(spark, sf_dir):
+    """Chunks of multi-page documents: repeated headings are text, sections and packing run across pages.
+
+    The rows of the chunk queries above are fixed by their SQL, which has one page a document.
+    """
+    return chunking.chunk_documents(bounded_documents(spark, sf_dir), most=120, overlap=20)
+
+
 @query("SELECT c_nationkey AS nation, count(*) >= 12 AS dense FROM customer GROUP BY 1")
 def table_dense_pages(spark, sf_dir):
     """A page of customer names per nation: short lines, dense from 12 on."""
@@ -520,8 +539,8 @@ def embed_pending(spark, sf_dir):
 
 @query()
 def document_pipeline(spark, sf_dir):
-    """All stages on all pages: clean, chunk, embed."""
-    chunks, _ = DocumentPipeline(HashingProvider(), min_ratio=0.1).run(single_pages(spark, sf_dir))
+    """All stages on all pages of multi-page documents: clean, chunk, embed."""
+    chunks, _ = DocumentPipeline(HashingProvider(), min_ratio=0.1).run(bounded_documents(spark, sf_dir))
     return chunks.select("chunk_id", "document_id", "chunk_index", "token_count", "section_type", F.size("embedding").alias("width"))
 
 
