@@ -3,9 +3,9 @@
 Three base kinds are found by pattern: ``assign`` (a keyword, a separator, a value),
 ``access`` and ``hex``. A fourth, ``opaque``, takes long letter-digit runs that may be
 credentials or not. All candidate values are hashed and counted over the whole corpus by
-distinct repositories (documents) and owners (sources), summed in two steps so that no
-value and no owner gathers in one task. A value known to few owners and in few
-repositories is owner-specific and counts as live; one that many owners hold is a copied
+distinct owners (sources), summed in two steps so that no value and no owner gathers in
+one task. A value known to few owners is owner-specific and counts as live, in however
+many of their repositories (documents) it stands; one that many owners hold is a copied
 example. Base spans always stay; opaque runs outside them are added as kind ``owned``
 when they are owner-specific.
 
@@ -56,11 +56,11 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, one))
 
 
-def scan_secrets(docs: DataFrame, max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
+def scan_secrets(docs: DataFrame, max_owners: int = 2) -> DataFrame:
     """Per row: doc_id, text_hash, counts, base_sha256, spans, and the spans as an array with their verdict.
 
-    A candidate is live if at most ``max_owners`` sources and ``max_repositories``
-    documents hold its value.
+    A candidate is live if at most ``max_owners`` sources hold its value. Copies inside
+    one source don't count, so a verdict does not depend on how large an owner is.
     """
     text = F.coalesce("text", F.lit(""))
     kinds = [pattern_spans(text, k) for k in KINDS]
@@ -70,11 +70,10 @@ def scan_secrets(docs: DataFrame, max_owners: int = 2, max_repositories: int = 8
     rows = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text_hash", base.alias("base"), outside.alias("opaque"))
     rows = materialize(rows, "secret-candidates")
 
-    each = rows.where("size(base) + size(opaque) > 0").select("row", "doc_id", "source", F.explode(F.concat("base", "opaque")).alias("span"))
-    by_document = each.select(F.col("span.hash").alias("hash"), "source", "doc_id").groupBy("hash", "source", "doc_id").agg(F.lit(1).alias("one"))
-    by_owner = by_document.groupBy("hash", "source").agg(F.sum("one").alias("repositories"))
-    owners = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    each = rows.where("size(base) + size(opaque) > 0").select("row", "source", F.explode(F.concat("base", "opaque")).alias("span"))
+    by_owner = each.select(F.col("span.hash").alias("hash"), "source").distinct()
+    owners = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
+    live = F.col("owners") <= max_owners
     judged = each.withColumn("hash", F.col("span.hash")).join(owners.select("hash", live.alias("live")), "hash")
     judged = judged.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("span.start", "span.kind", "span.end", "live"))).alias("judged"))
 
