@@ -7,8 +7,11 @@ distance above its limit fails the document. A sample of n words lies about 1 /
 off its own source, so each limit is ``limit + scatter / sqrt(words)``, and a guard skips
 the comparison altogether below a minimum length.
 
-References are held for the ``max_languages`` languages with most words; documents of
-other or no language are compared with the nearest reference.
+Every language has its references, a row of at most 64 words and 14 classes. Up to
+``broadcast_languages`` of them are broadcast. Beyond that they stay a table which is
+joined to the documents by language, and the documents without a language are compared
+with one block of about ``broadcast_languages`` after the other; the results are the same.
+Documents of no language are compared with the nearest of all references.
 
 Edge cases: null and empty texts have no words and fail the base rule; with no reference
 (an empty table) there is nothing to diverge from; repeated rows count as often as they
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +96,8 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def language_references(docs: DataFrame, common_words: int = 64, max_languages: int = 256) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """language -> (character classes, common words, their counts with all others last)."""
+def reference_table(docs: DataFrame, common_words: int = 64) -> DataFrame:
+    """lang, classes (class, n), common (word, n), total: one row a language, in the shared folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -120,21 +123,28 @@ def language_references(docs: DataFrame, common_words: int = 64, max_languages:
     counts = materialize(counts.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "reference-counts")
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     word_counts = counts.where("word is not null")
-    top = word_counts.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= common_words).select("lang", "word", F.lit(None).cast("int").alias("class"), "n")
-    totals = word_counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    rows = top.unionByName(counts.where("class is not null")).unionByName(totals.selectExpr("lang", "cast(null as binary) word", "-1 class", "n"))
-    kept = rows.join(totals.select("lang"), "lang", "left_semi").collect()
-    found: dict[str, tuple[np.ndarray, list[bytes], np.ndarray]] = {}
-    for lang in sorted({r.lang for r in kept}):
-        mine = [r for r in kept if r.lang == lang]
-        common = sorted((r for r in mine if r.word is not None), key=lambda r: (-r.n, bytes(r.word)))
-        classes = np.zeros(CLASSES)
-        for r in mine:
-            if r.word is None and r["class"] >= 0:
-                classes[r["class"]] = r.n
-        rest = sum(r.n for r in mine if r.word is None and r["class"] == -1) - sum(r.n for r in common)
-        found[lang] = (classes, [bytes(r.word) for r in common], np.array([*(r.n for r in common), rest], float))
-    return found
+    top = word_counts.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= common_words)
+    top = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "word"))).alias("common"))
+    classes = counts.where("class is not null").groupBy("lang").agg(F.collect_list(F.struct("class", "n")).alias("classes"))
+    totals = word_counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    return materialize(classes.join(top, "lang", "left").join(totals, "lang", "left").selectExpr(
+        "lang", "classes.class as classes", "classes.n as class_counts", "common.word as words", "common.less as less", "coalesce(total, 0) as total"), "references")
+
+
+def _reference(r: dict) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+    """Character classes, places of the common words, their counts with all others last."""
+    classes = np.zeros(CLASSES)
+    classes[r["classes"]] = r["class_counts"]
+    words, n = [bytes(w) for w in r["words"] or ()], [-x for x in r["less"] or ()]
+    return classes, {w: i for i, w in enumerate(words)}, np.array([*n, r["total"] - sum(n)], float)
+
+
+def _distances(classes: np.ndarray, lower: Iterable[tuple[bytes, int]], reference: tuple) -> tuple[float, float]:
+    known, spots, counts = reference
+    hist = np.zeros(len(counts))
+    for w, c in lower:
+        hist[spots.get(w, -1)] += c
+    return _classes_distance(classes, known), js_distance(hist, counts)
 
 
 def _counted(lang: str, words: list, classes: list, n: list) -> pa.RecordBatch:
@@ -144,38 +154,90 @@ def _counted(lang: str, words: list, classes: list, n: list) -> pa.RecordBatch:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def divergence_rules(docs: DataFrame, char_limit: float = 0.22, char_scatter: float = 1.3, word_limit: float = 0.26, word_scatter: float = 1.45, min_chars: int = 200, min_words: int = 50, **reference_options) -> DataFrame:
+def divergence_rules(docs: DataFrame, char_limit: float = 0.22, char_scatter: float = 1.3, word_limit: float = 0.26, word_scatter: float = 1.45, min_chars: int = 200, min_words: int = 50, broadcast_languages: int = 256, **reference_options) -> DataFrame:
     """Base counts, distances and verdict of every document (columns of ``SCHEMA``)."""
-    references = docs.sparkSession.sparkContext.broadcast(language_references(docs, **reference_options))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = references.value
-        place = {lang: {w: i for i, w in enumerate(words)} for lang, (_, words, _) in known.items()}
+    table = reference_table(docs, **reference_options)
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def row(text: bytes, classes: np.ndarray, char_d: float, word_d: float) -> tuple:
+        words = text.split()
+        n, repeats = len(words), repeated_window_words(words)
+        word_chars = int(classes.sum() - classes[CONTINUATION] - classes[SPACE])
+        failed = n < 50 or 100 * repeats > 50 * n
+        scale = math.sqrt(max(n, 1))
+        diverges = (word_chars >= min_chars and char_d > char_limit + char_scatter / scale) or (n >= min_words and word_d > word_limit + word_scatter / scale)
+        return n, word_chars, int(classes[SYMBOL]), duplicate_lines(text), repeats, failed, not failed and not diverges, char_d, word_d
+
+    def judged(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+        return pa.RecordBatch.from_arrays([ids, *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], names=names)
+
+    few = table.limit(broadcast_languages + 1).collect()
+    if len(few) <= broadcast_languages:
+        references = docs.sparkSession.sparkContext.broadcast({r.lang: _reference(r.asDict()) for r in sorted(few, key=lambda r: r.lang)})
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = references.value
+            for batch in batches:
+                rows = []
+                for lang, text in zip(batch.column(1).to_pylist(), texts_as_bytes(batch.column(2))):
+                    classes, lower = char_classes(text), Counter(text.lower().split()).items()
+                    found = [_distances(classes, lower, known[each]) for each in ((lang,) if lang in known else known)]
+                    rows.append(row(text, classes, *min(found, key=sum, default=(0.0, 0.0))))
+                yield judged(batch.column(0), rows)
+
+        return docs.select("doc_id", "lang", "text").mapInArrow(judge, SCHEMA)
+
+    # a null text has no words and no classes: its distance to any reference is 0
+    own = docs.where("lang is not null").select("doc_id", "lang", "text").join(table, "lang", "left")
+    fields = ["classes", "class_counts", "words", "less", "total"]
+
+    def judge_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, reference = None, None
         for batch in batches:
             rows = []
-            for lang, text in zip(batch.column(1).to_pylist(), texts_as_bytes(batch.column(2))):
-                words, classes = text.split(), char_classes(text)
-                n, repeats = len(words), repeated_window_words(words)
-                word_chars = int(classes.sum() - classes[CONTINUATION] - classes[SPACE])
-                failed = n < 50 or 100 * repeats > 50 * n
-                lower = Counter(text.lower().split())
-                chars, common = [], []
-                for each in (lang,) if lang in known else known:
-                    spots, hist = place[each], np.zeros(len(known[each][2]))
-                    for w, c in lower.items():
-                        hist[spots.get(w, -1)] += c
-                    chars.append(_classes_distance(classes, known[each][0]))
-                    common.append(js_distance(hist, known[each][2]))
-                best = min(range(len(chars)), key=lambda i: (chars[i] + common[i], i), default=None)
-                char_d, word_d = (chars[best], common[best]) if best is not None else (0.0, 0.0)
-                scale = math.sqrt(max(n, 1))
-                diverges = (word_chars >= min_chars and char_d > char_limit + char_scatter / scale) or (n >= min_words and word_d > word_limit + word_scatter / scale)
-                rows.append((n, word_chars, int(classes[SYMBOL]), duplicate_lines(text), repeats, failed, not failed and not diverges, char_d, word_d))
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(judge, SCHEMA)
+            for i, text in enumerate(texts_as_bytes(batch.column(2))):
+                lang, found = batch.column(1)[i].as_py(), (0.0, 0.0)
+                classes = char_classes(text)
+                if batch.column(3)[i].is_valid:
+                    if lang != last:
+                        last, reference = lang, _reference({f: batch.column(3 + k)[i].as_py() for k, f in enumerate(fields)})
+                    found = _distances(classes, Counter(text.lower().split()).items(), reference)
+                rows.append(row(text, classes, *found))
+            yield judged(batch.column(0), rows)
+
+    # documents without a language are compared with block after block, so that one block only is in memory
+    bare = materialize(docs.where("lang is null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "no-language")
+    blocks = -(-table.count() // broadcast_languages)
+    best = None
+    for block in range(blocks):
+        found = table.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == block).collect()
+        if not found:
+            continue
+        part = docs.sparkSession.sparkContext.broadcast({r.lang: _reference(r.asDict()) for r in found})
+
+        def nearest(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for text in texts_as_bytes(batch.column(1)):
+                    classes, lower = char_classes(text), Counter(text.lower().split()).items()
+                    out.append(min((sum(d), lang, *d) for lang, d in ((lang, _distances(classes, lower, r)) for lang, r in part.value.items())))
+                kinds = (pa.float64(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([b[k] for b in out], kind) for k, kind in enumerate(kinds)]], names=["row", "both", "near", "char_d", "word_d"])
+
+        each = bare.select("row", "text").mapInArrow(nearest, "row long, both double, near string, char_d double, word_d double")
+        if best is not None:
+            each = each.unionByName(best).groupBy("row").agg(F.min(F.struct("both", "near", "char_d", "word_d")).alias("x")).select("row", "x.*")
+        best = materialize(each, "nearest-reference")
+        part.unpersist()
+
+    def judge_bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield judged(batch.column(0), [row(text, char_classes(text), char_d, word_d) for text, char_d, word_d in columns])
+
+    others = bare.join(best, "row").select("doc_id", "text", "char_d", "word_d").mapInArrow(judge_bare, SCHEMA)
+    return own.select("doc_id", "lang", "text", *fields).mapInArrow(judge_own, SCHEMA).unionByName(others)
 
 
 def _classes_distance(found: np.ndarray, reference: np.ndarray) -> float:
