@@ -1,18 +1,26 @@
 """BPE encoding and decoding with a deterministic automaton compiled from the merges.
 
-The automaton accepts exactly the token sequences that BPE can produce. It starts with
-one state and a loop per byte and takes in one gadget per merge, in order: the gadget of
-``a + b -> c`` adds arcs labelled ``c`` beside every path ``a b`` and then removes the arc
-``b`` behind ``a``, since from now on that path is spelled ``c``. The states are thus "the
-last token read". Written out, that is a table of |tokens|^2 arcs, so the construction is
-kept in factored form: each gadget records its cut (a, b) with its time, and extends the
-two *spines* of the new token (what stood at its left and right edge at which time). An
-arc u -> v is there unless some gadget cut it, that is, unless at the time of a merge
-(x, y) x stood at the right edge of u and y at the left edge of v. Arcs once asked for are
-kept in a transition table.
-
-Encoding reads a pre-split word byte by byte; the state after each prefix is the only
-token ending there that has an arc from the state where it starts. Decoding emits the arc
+First the token automaton is built by merge gadgets. It accepts exactly the token sequences
+that BPE can produce: it starts with one state and a loop per byte and takes in one gadget
+per merge, in order. The gadget of ``a + b -> c`` adds arcs labelled ``c`` beside every path
+``a b`` and then removes the arc ``b`` behind ``a``, since from now on that path is spelled
+``c``. Its states are "the last token read". Written out, that is |tokens|^2 arcs, so it is
+kept in factored form: each gadget records its cut (a, b) with its time and extends the two
+*spines* of the new token (what stood at its left and right edge at which time). An arc
+u -> v is there unless, at the time of a merge (x, y), x stood at the right edge of u and y
+at the left edge of v.
+
+Then the token automaton is turned into a deterministic one over bytes. An arc labelled
+with a token is a path of its bytes through the trie of all tokens, so what may be going on
+after some bytes of a word is a set of pairs (state where an arc began, trie node reached).
+Such a set is one state of the byte automaton; it has one transition per byte, and it says
+which token ends here, of which there is exactly one since every string has one accepted
+spelling. A row of the transition table is compiled by this subset construction when a word
+first needs it and is read from the table ever after; the table starts anew beyond
+``ENTRY_TABLE`` entries, so its size is bounded.
+
+Encoding follows the transitions byte by byte, forward only, noting the token that ends at
+each byte; the tokens of the word are then read off from its end. Decoding emits the arc
 labels (each token's bytes).
 
 Edge cases: null text is encoded as the empty text (no ids; the hash of nothing); special
@@ -24,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +42,7 @@ from pyspark.sql import DataFrame
 
 NEVER = 1 << 62
 WORD_TABLE = 800_000
-ARC_TABLE = 2_000_000
+ENTRY_TABLE = 600_000
 
 
 def byte_names() -> dict[str, int]:
@@ -47,21 +56,30 @@ class MergeAutomaton:
     """The automaton of a list of merges; tokens are given as bytes -> id."""
 
     def __init__(self, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
-        self.tokens = tokens
         self.labels = {i: t for t, i in tokens.items()}
-        self.longest = max(map(len, tokens), default=1)
         self.cut: dict[tuple[int, int], int] = {}
         # spines from the innermost part outward: (token, time at which it is merged into the next one)
         self.left: dict[int, list[tuple[int, int]]] = {i: [(i, NEVER)] for t, i in tokens.items() if len(t) == 1}
         self.right: dict[int, list[tuple[int, int]]] = {i: [(i, NEVER)] for i in self.left}
         for time, (a, b) in enumerate(merges):
             self._add_gadget(time, tokens[a], tokens[b], tokens[a + b])
-        self.tokens = {t: i for t, i in tokens.items() if i in self.left}
-        # how long a token can be that starts with these bytes
-        self.reach: dict[bytes, int] = {}
-        for t in self.tokens:
-            self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
-        self.arcs: dict[int, bool] = {}
+        self.lengths = {i: len(self.labels[i]) for i in self.left}
+        # the trie of all tokens that have arcs: node << 8 | byte -> node, and the token that a node spells
+        self.child: dict[int, int] = {}
+        self.spells: list[int] = [-1]
+        self.inner: list[bool] = [True]
+        for i in self.left:
+            node = 0
+            for byte in self.labels[i]:
+                self.inner[node] = True
+                step = node << 8 | byte
+                node = self.child.get(step, 0)
+                if not node:
+                    node = self.child[step] = len(self.spells)
+                    self.spells.append(-1)
+                    self.inner.append(False)
+            self.spells[node] = i
+        self._clear()
 
     def _add_gadget(self, time: int, a: int, b: int, c: int) -> None:
         # no path a b, no arc c: an earlier gadget has cut it, or a part is never produced itself
@@ -84,46 +102,51 @@ class MergeAutomaton:
                 return True
             i, j = i + (end_x <= end_y), j + (end_y <= end_x)
 
-    def arc(self, u: int, v: int) -> bool:
-        found = self.arcs.get(u << 32 | v)
-        if found is None:
-            if len(self.arcs) >= ARC_TABLE:
-                self.arcs.clear()
-            found = self.arcs[u << 32 | v] = self._survives(u, v)
-        return found
+    def _clear(self) -> None:
+        """An empty table with the start state: no token read, at the trie's root."""
+        self.numbers: dict[tuple[int, ...], int] = {((-1 << 24),): 0}
+        self.members: list[tuple[int, ...]] = [((-1 << 24),)]
+        #: state << 8 | byte -> next state << 24 | token that ends there
+        self.table: dict[int, int] = {}
+
+    def _compile(self, state: int, byte: int) -> int:
+        """One entry of the transition table, by subset construction over (last token << 24 | trie node)."""
+        going, ended, child, spells, inner = [], -1, self.child.get, self.spells, self.inner
+        for member in self.members[state]:
+            node = child((member & 0xFFFFFF) << 8 | byte)
+            if node is None:
+                continue
+            if ended < 0 <= spells[node] and (member < 0 or self._survives(member >> 24, spells[node])):
+                ended = spells[node]
+            if inner[node]:
+                going.append(member & ~0xFFFFFF | node)
+        key = (*going, ended << 24)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.members)
+            self.members.append(key)
+        entry = self.table[state << 8 | byte] = number << 24 | ended
+        return entry
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Run through the automaton with the longest arcs first.
-
-        A prefix has one accepted spelling, so where a run breaks off its last state can be
-        left for good, and no place in the word is tried from twice.
-        """
-        token_of, arc_of, reach, n = self.tokens.get, self.arcs.get, self.reach.get, len(word)
-        whole = token_of(word)
-        if whole is not None:
-            return [whole]
-        ids: list[int] = []
-        ends: list[int] = []
-        broken: set[int] = set()
-        at, end = 0, min(n, reach(word[:3], 2))
-        while at < n:
-            while end > at:
-                token = token_of(word[at:end])
-                if token is not None and end not in broken:
-                    if not ids:
-                        break
-                    there = arc_of(ids[-1] << 32 | token)
-                    if there or (there is None and self.arc(ids[-1], token)):
-                        break
-                end -= 1
-            if end > at:
-                ids.append(token)
-                ends.append(at)
-                at, end = end, min(n, end + reach(word[end : end + 3], 2))
-            else:
-                broken.add(at)
-                ids.pop()
-                at, end = ends.pop(), at - 1
+        """Forward through the transition table; the tokens are read off from the end of the word."""
+        if len(self.table) > ENTRY_TABLE:
+            self._clear()
+        follow, state = self.table.get, 0
+        ends = array("i") if len(word) > 4096 else []
+        note = ends.append
+        for byte in word:
+            entry = follow(state << 8 | byte)
+            if entry is None:
+                entry = self._compile(state, byte)
+            note(entry & 0xFFFFFF)
+            state = entry >> 24
+        ids, at, lengths = [], len(word), self.lengths
+        while at:
+            token = ends[at - 1]
+            ids.append(token)
+            at -= lengths[token]
+        ids.reverse()
         return ids
 
 

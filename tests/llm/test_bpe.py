@@ -54,6 +54,28 @@ def test_automaton_equals_naive_merging_for_random_merges():
             assert [tokens[i] for i in automaton.encode_word(word.encode())] == naive_bpe(word, ranks)
 
 
+def test_long_words_take_few_states_and_a_small_table_gives_the_same(codec, library, monkeypatch):
+    rng = random.Random(7)
+    words = ["a" * 200_000, "-=" * 50_000, "".join(rng.choice("abcdefgh") for _ in range(20_000)), "日本" * 20_000, "ab" * 3]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert [codec.encode(w) for w in words] == want
+    before = len(codec.automaton.members)
+    codec.automaton.encode_word(b"a" * 300_000)
+    assert len(codec.automaton.members) == before
+    # a word may be met with an empty table at any time
+    monkeypatch.setattr(bpe, "ENTRY_TABLE", 3)
+    assert [[t for w in codec.split.findall(x) for t in codec.automaton.encode_word(w.encode())] for x in words] == want
+
+
+def test_every_state_has_one_token_per_byte(codec):
+    automaton = codec.automaton
+    automaton.encode_word(b" determinism")
+    for key, entry in list(automaton.table.items())[:2000]:
+        state, byte = key >> 8, key & 255
+        ending = [t for m in automaton.members[state] if (n := automaton.child.get((m & 0xFFFFFF) << 8 | byte)) is not None and (t := automaton.spells[n]) >= 0 and (m < 0 or automaton._survives(m >> 24, t))]
+        assert ending == [entry & 0xFFFFFF]
+
+
 def test_codec_equals_the_library_and_round_trips(codec, library):
     rng = random.Random(5)
     parts = ["a", " ", "\n", "  ", "==", "é", "日", "'s", "12", "<|endoftext|>", "🙂", "\x00", " the", " ", "aaaa", "x" * 300]
