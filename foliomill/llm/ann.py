@@ -2,15 +2,18 @@
 
 Unit vectors are dealt to coarse centroids; what is left of a vector beyond its centroid is
 cut into sub-vectors and each is replaced by the nearest of 256 codewords. A query looks
-into the lists of its nearest centroids only; there it is compared with the codes by an
-asymmetric distance table (query sub-vectors against codewords, looked up and summed), and
-the best of each block are compared again exactly, in double precision on the original
-vectors. Centroids and codebooks are fitted on a bounded sample (``sample`` vectors chosen
-by a hash); every vector is indexed.
+into the lists of some centroids only; all entries there are ranked by asymmetric distance
+tables (query sub-vectors against codewords, looked up by code and summed, plus the product
+with the centroid). Of that ranking over all probed lists together the first ``rerank``
+entries, and no others, are compared with the query exactly, in double precision on the
+original vectors. Lists are probed in order of the product with their centroid plus what
+their vectors' mean residual adds at ``spread`` deviations. Centroids and codebooks are
+fitted on a bounded sample (``sample`` vectors chosen by a hash); every vector is indexed.
 
 Equal vectors are one index entry with the smallest ids that a result can use, so that
-many copies can't crowd out what lies near them. Lists are cut into blocks of at most
-about ``block`` entries and queries into blocks of ``block`` too, so no task holds a list.
+many copies can't crowd out what lies near them. Lists are packed into shelves of at most
+about ``block`` entries, long lists cut, and queries into blocks of ``block`` too, so no
+task holds a list. Tasks that rank see codes only, vectors travel for the reranked alone.
 
 Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component take
 no part, nor do those of another dimension than the sample's most common one; queries
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliomill.operators.vectors import cosine
 from foliomill.plans.workspace import materialize
 
 CODEWORDS = 256
@@ -57,7 +61,9 @@ def k_means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.n
 
 
 def nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return (points @ centers.T - (centers**2).sum(1) / 2).argmax(1)
+    """Index of the nearest center; points go in blocks, so the matrix of distances stays small."""
+    half, step = (centers**2).sum(1) / 2, max(1, (1 << 22) // len(centers))
+    return np.concatenate([np.zeros(0, np.int64), *[(points[i : i + step] @ centers.T - half).argmax(1) for i in range(0, len(points), step)]])
 
 
 @dataclass
@@ -68,15 +74,18 @@ class ProductQuantiser:
     books: np.ndarray
     width: int
     part: int
+    rest: np.ndarray  # per list: mean length of its residuals
 
     @classmethod
     def fit(cls, vectors: np.ndarray, lists: int, part: int = 4) -> ProductQuantiser:
         width = vectors.shape[1]
         padded = _padded(_unit(vectors), part)
         centers = k_means(padded, max(1, min(lists, len(padded))))
-        rest = padded - centers[nearest(padded, centers)]
+        cell = nearest(padded, centers)
+        rest = padded - centers[cell]
+        lengths = np.sqrt(np.bincount(cell, (rest**2).sum(1), len(centers)) / np.maximum(np.bincount(cell, minlength=len(centers)), 1))
         books = np.stack([k_means(rest[:, i : i + part], CODEWORDS, 8, seed=i) for i in range(0, padded.shape[1], part)])
-        return cls(centers.astype(np.float32), books.astype(np.float32), width, part)
+        return cls(centers.astype(np.float32), books.astype(np.float32), width, part, lengths.astype(np.float32))
 
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list, codes) of each vector."""
@@ -86,10 +95,15 @@ class ProductQuantiser:
         codes = [nearest(rest[:, i * self.part : (i + 1) * self.part], book) for i, book in enumerate(self.books)]
         return cell, np.stack(codes, 1).astype(np.uint8)
 
-    def tables(self, vectors: np.ndarray) -> np.ndarray:
-        """Asymmetric tables: products of query sub-vectors with all codewords, (queries, parts, codewords)."""
-        padded = _padded(_unit(vectors), self.part).reshape(len(vectors), -1, self.part)
-        return np.einsum("qmd,mkd->qmk", padded, self.books)
+    def probes(self, queries: np.ndarray, spread: float) -> np.ndarray:
+        """All lists for each query, the most promising first."""
+        q = _padded(_unit(queries), self.part)
+        return np.argsort(-(q @ self.centers.T + spread * self.rest / np.sqrt(self.width)), axis=1, kind="stable")
+
+    def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(products with all centroids, products of sub-vectors with all codewords: (queries, parts * codewords))."""
+        q = _padded(_unit(queries), self.part)
+        return q @ self.centers.T, np.einsum("qmd,mkd->qmk", q.reshape(len(q), -1, self.part), self.books).reshape(len(q), -1)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -108,82 +122,112 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(chunk), -1) if len(chunk) else np.zeros((0, 0))
 
 
-def exact_cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    q, v = query.astype(np.float64), vectors.astype(np.float64)
-    return (v @ q) / (np.sqrt((v * v).sum(1)) * np.sqrt(q @ q))
+def shelves_of(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shelf, number of shelves) of each list: lists share a shelf up to ``block`` entries, longer ones have several."""
+    first, parts, at, held = [], [], 0, 0
+    for size in sizes.tolist():
+        if held and held + size > block:
+            at, held = at + 1, 0
+        n = max(1, math.ceil(size / block))
+        first.append(at)
+        parts.append(n)
+        at, held = (at, held + size) if n == 1 else (at + n, 0)
+    return np.array(first), np.array(parts)
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: float = 0.7, least_probed: int = 256, rerank: int = 200, sample: int = 20_000, block: int = 4096, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: float = 0.3, least_probed: int = 512, rerank: int = 200, sample: int = 20_000, block: int = 8192, spread: float = 2.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` nearest to each query by cosine.
 
     ``probe`` is the share of lists a query looks into, extended until they hold
-    ``least_probed`` entries. A row is no candidate for a query with its own id.
+    ``least_probed`` entries; ``rerank`` entries of each query are scored exactly. A row is
+    no candidate for a query with its own id.
     """
-    out = f"query_id long, {key} long, score double"
-    id_, vec = F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
+    spark, usable_row = vectors.sparkSession, usable(vector) & F.col(key).isNotNull()
     same = Window.partitionBy("v").orderBy("id")
-    rows = vectors.where(usable(vector) & F.col(key).isNotNull()).select(id_, vec)
-    few = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-    entries = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-entries")
+    few = vectors.where(usable_row).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
+    entries = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    entries = materialize(entries.select(F.monotonically_increasing_id().alias("entry"), "ids", "v"), "ann-entries")
     drawn = entries.orderBy(F.xxhash64("v")).limit(sample).select("v").collect()
     if not drawn:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     widths = [len(r.v) for r in drawn]
     width = max(sorted(set(widths)), key=widths.count)
     entries = entries.where(F.size("v") == width)
-    quantiser = ProductQuantiser.fit(np.array([r.v for r in drawn if len(r.v) == width]), int(math.sqrt(entries.count())) or 1)
-    shipped = vectors.sparkSession.sparkContext.broadcast(quantiser)
+    count = entries.count()
+    quantiser = ProductQuantiser.fit(np.array([r.v for r in drawn if len(r.v) == width]), int(min(16 * math.sqrt(count), count / 4, sample / 4)) or 1)
+    shipped = spark.sparkContext.broadcast(quantiser)
 
     def index(batches):
         for batch in batches:
-            cell, codes = shipped.value.encode(_matrix(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), batch.column(0)], names=["list", "code", "ids", "v"])
+            cell, codes = shipped.value.encode(_matrix(batch.column(1))) if batch.num_rows else (np.zeros(0), np.zeros((0, 1), np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["entry", "list", "code"])
 
-    indexed = materialize(entries.select("v", "ids").mapInArrow(index, "list int, code binary, ids array<long>, v array<double>"), "ann-index")
+    indexed = materialize(entries.select("entry", "v").mapInArrow(index, "entry long, list int, code binary"), "ann-index")
     lists = len(quantiser.centers)
-    held = dict(indexed.groupBy("list").count().collect())
+    held = dict(indexed.groupBy("list").count().collect())  # one row per list, of which there are at most sample / 4
     sizes = np.array([held.get(i, 0) for i in range(lists)])
+    first, parts = shelves_of(sizes, block)
     at_least = max(1, math.ceil(probe * lists))
 
-    def probes(batches):
+    def deal(batches):
         for batch in batches:
-            q = _matrix(batch.column(1))
-            if not len(q):
-                continue
-            order = np.argsort(-(_padded(_unit(q), quantiser.part) @ shipped.value.centers.T), axis=1, kind="stable")
-            enough = (np.cumsum(sizes[order], 1) >= least_probed).argmax(1) + 1
-            enough[sizes[order].sum(1) < least_probed] = lists
-            chosen = [o[: max(at_least, n)] for o, n in zip(order, enough)]
-            row = pa.array(np.repeat(np.arange(len(q)), [len(c) for c in chosen]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen), pa.int32()), batch.column(0).take(row), batch.column(1).take(row)], names=["list", "query_id", "q"])
-
-    asked = queries.where(usable(vector) & F.col(key).isNotNull() & (F.size(vector) == width)).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
-    asked = materialize(asked.mapInArrow(probes, "list int, query_id long, q array<double>"), "ann-probes")
-    cuts = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    asked_cuts = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("asked_parts"))
-    grid = F.broadcast(cuts.join(asked_cuts, "list"))  # one row per list, of which there are at most sqrt(sample) to sqrt(entries)
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = indexed.join(grid, "list").withColumn("part", F.pmod(F.hash("ids"), F.col("parts"))).withColumn("asked_part", each(F.col("asked_parts"))).drop("parts", "asked_parts")
-    right = asked.join(grid, "list").withColumn("asked_part", F.pmod(F.hash("query_id"), F.col("asked_parts"))).withColumn("part", each(F.col("parts"))).drop("parts", "asked_parts")
-
-    def search(held: pa.Table, asking: pa.Table) -> pa.Table:
-        found_q, found_id, found_score = [], [], []
-        if held.num_rows and asking.num_rows:
+            for at in range(0, batch.num_rows, 256):
+                asked = batch.slice(at, 256)
+                order = shipped.value.probes(_matrix(asked.column(1)), spread)
+                reached = np.cumsum(sizes[order], 1) >= min(least_probed, count)
+                rows, where, looked = [], [], []
+                for n, lists_in_order in enumerate(order):
+                    chosen = lists_in_order[: max(at_least, int(reached[n].argmax()) + 1)]
+                    by_shelf: dict[int, list[int]] = {}
+                    for x in chosen.tolist():
+                        for shelf in range(first[x], first[x] + parts[x]):
+                            by_shelf.setdefault(int(shelf), []).append(x)
+                    rows += [n] * len(by_shelf)
+                    where += by_shelf.keys()
+                    looked += by_shelf.values()
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), asked.column(0).take(take), asked.column(1).take(take), pa.array(looked, pa.list_(pa.int32()))], names=["shelf", "query_id", "q", "lists"])
+
+    kind = vectors.schema[vector].dataType.simpleString()
+    asked = queries.where(usable_row & (F.size(vector) == width)).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast(kind).alias("q")).distinct()
+    asked = materialize(asked, "ann-queries")
+    asked_parts = max(1, math.ceil(asked.count() / block))
+    groups = ["shelf", "asked_part"]
+    right = asked.mapInArrow(deal, f"shelf int, query_id long, q {kind}, lists array<int>").withColumn("asked_part", F.pmod(F.hash("query_id"), F.lit(asked_parts)))
+    shelf_table = spark.createDataFrame(list(zip(range(lists), first.tolist(), parts.tolist())), "list int, first int, parts int")
+    left = indexed.join(F.broadcast(shelf_table), "list").withColumn("shelf", F.col("first") + F.pmod(F.hash("entry"), F.col("parts")))
+    left = left.select("shelf", "entry", "list", "code").withColumn("asked_part", F.explode(F.sequence(F.lit(0), F.lit(asked_parts - 1))))
+
+    def by_tables(shelf: pa.Table, asking: pa.Table) -> pa.Table:
+        """The ``rerank`` best of a shelf for each query, by codes."""
+        found_q, found_entry, found_near = [], [], []
+        if shelf.num_rows and asking.num_rows:
             quantiser = shipped.value
-            codes = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(held.num_rows, -1)
-            ids, v, q = held["ids"].to_pylist(), _matrix(held["v"]), _matrix(asking["q"])
-            for i, query in enumerate(asking["query_id"].to_pylist()):
-                table = quantiser.tables(q[i : i + 1])[0]
-                near = table[np.arange(len(table)), codes].sum(1)
-                best = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
-                scores = exact_cosine(q[i], v[best])
-                ranked = sorted((-s, x) for s, b in zip(scores.tolist(), best) for x in ids[b] if x != query)[:k]
-                found_q += [query] * len(ranked)
-                found_score += [-s for s, _ in ranked]
-                found_id += [x for _, x in ranked]
-        return pa.table({"query_id": pa.array(found_q, pa.int64()), key: pa.array(found_id, pa.int64()), "score": pa.array(found_score, pa.float64())})
-
-    groups = ["list", "part", "asked_part"]
-    found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(search, out)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col(key).alias("vec_id"), "score")
+            codes = np.frombuffer(b"".join(shelf["code"].to_pylist()), np.uint8).reshape(shelf.num_rows, -1)
+            spots = codes.astype(np.int32) + CODEWORDS * np.arange(codes.shape[1], dtype=np.int32)
+            in_list, ids = shelf["list"].to_numpy(), shelf["entry"].to_numpy()
+            for at in range(0, asking.num_rows, 64):
+                part = asking.slice(at, 64)
+                coarse, tables = quantiser.tables(_matrix(part["q"]))
+                for n, (query, looked) in enumerate(zip(part["query_id"].to_pylist(), part["lists"].to_pylist())):
+                    probed = np.zeros(len(quantiser.centers), bool)
+                    probed[looked] = True
+                    here = np.flatnonzero(probed[in_list])
+                    near = coarse[n, in_list[here]] + tables[n][spots[here]].sum(1)
+                    if len(near) > rerank:
+                        best = np.argpartition(-near, rerank)[:rerank]
+                        here, near = here[best], near[best]
+                    found_q.append(np.full(len(here), query))
+                    found_entry.append(ids[here])
+                    found_near.append(near)
+        columns = [np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, found_q), (np.int64, found_entry), (np.float32, found_near))]
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "entry": pa.array(columns[1], pa.int64()), "near": pa.array(columns[2], pa.float32())})
+
+    ranked = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(by_tables, "query_id long, entry long, near float")
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "entry")
+    chosen = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank).select("query_id", "entry")
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    pairs = chosen.join(entries.select("entry", "ids", double("v").alias("v")), "entry").join(asked.select("query_id", double("q").alias("q")), "query_id")
+    found = pairs.select("query_id", F.explode(F.filter("ids", lambda x: x != F.col("query_id"))).alias("vec_id"), cosine(F.col("q"), F.col("v")).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
