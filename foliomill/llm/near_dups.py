@@ -1,24 +1,24 @@
 """Near-duplicate documents by MinHash with odd sketches.
 
 A document's set holds its distinct word shingles. Documents with equal sets are one
-class from the start, stood for by the smallest doc_id. Each class gets ``BANDS * ROWS``
-MinHash samples; classes that agree in all samples of some band are candidates (a pair at
-similarity 0.8 is missed with probability (1 - 0.8^6)^48, below one in a million), and
-candidates that hang together form a candidate component.
-
-Inside a component, classes are compared in blocks. The samples of each class have been
-folded into an odd sketch: every sample flips one bit of a 512-bit map. The popcount of
-two maps' XOR tells how many samples differ, and so the similarity, sharply where it is
-high; pairs clearly below the threshold stop there, the others are settled on their full
-sets with integers. A block is searched breadth first: a class that has been reached is
-only compared with those that have not, and only a spanning forest of the true links is
-put out, so no pair list of a group ever exists. Components of more than ``block`` classes
-are dealt to a grid of block pairs, which together see every pair.
+class from the start. Each class gets ``BANDS * ROWS`` MinHash samples, which are folded into
+an odd sketch: every sample flips one bit of a 512-bit map. Classes that agree in all samples
+of some band are candidates (a pair at similarity 0.8 is missed with probability
+(1 - 0.8^6)^48, below one in a million). The popcount of two maps' XOR tells how many samples
+differ, and so the similarity, sharply where it is high.
+
+Candidates are verified in two steps, both on the full sets, with integers. First each class
+is held against one of the classes that stand for its bands, the one whose sketch is
+nearest; the confirmed links join most families whole, and each text travels once for that.
+Classes that hang together by bands but fall into several confirmed clusters are then
+compared with each other: in blocks, dealt to a grid of block pairs that together see every
+pair, sketches first, never inside one cluster, and only links that join clusters are put
+out, so no pair list of a group ever exists. Blocks are bounded by rows and by bytes.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and stand
 alone; texts shorter than a shingle are one shingle; rows that share a doc_id are one
-document; rows with a null doc_id stand alone with a null component and are kept; other
-columns are ignored by the query and kept by ``keep_first``.
+document, linked by each of its texts; rows with a null doc_id stand alone with a null
+component and are kept; other columns are ignored by the query and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.arrow_text import texts_as_bytes
@@ -97,7 +97,7 @@ def estimate(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands, sketch."""
+    """doc_id, n_shingles, set_key (null for an empty set), bands, sketch (eight longs)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,14 +110,19 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 samples = minhash(found) if len(found) else None
                 keys.append(None if samples is None else xxhash.xxh3_128_digest(found.tobytes()))
                 bands.append(None if samples is None else band_keys(samples))
-                sketches.append(None if samples is None else odd_sketch(samples).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                sketches.append(None if samples is None else odd_sketch(samples).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
-def spanning_links(sets: list[np.ndarray], sketches: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links with ``100 * |common| >= percent * |union|`` among all pairs."""
+def linked(common, size, other, percent: int):
+    """Whether two sets are near: 100 * |common| >= percent * |union|."""
+    return 100 * common >= percent * (size + other - common)
+
+
+def joining_links(sets: list[np.ndarray], sketches: np.ndarray, clusters: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what ``clusters`` leaves apart: a spanning forest of all true ones between different clusters."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     every, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -128,64 +133,119 @@ def spanning_links(sets: list[np.ndarray], sketches: np.ndarray, percent: int) -
     place = np.empty(len(every), np.int64)
     place[order] = np.repeat(np.arange(len(first)), ends - first)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    unseen, links = np.ones(n, bool), []
-    for root in range(n):
-        if not unseen[root]:
+    clusters, links = clusters.copy(), []
+    for at in range(n - 1):
+        left = at + 1 + np.flatnonzero(clusters[at + 1 :] != clusters[at])
+        small, large = np.minimum(sizes[left], sizes[at]), np.maximum(sizes[left], sizes[at])
+        left = left[100 * small >= percent * large]
+        left = left[estimate(sketches[at], sketches[left]) >= percent / 100 - MARGIN]
+        if not len(left):
             continue
-        unseen[root] = False
-        queue = [root]
-        while queue:
-            at = queue.pop()
-            left = np.flatnonzero(unseen)
-            if not len(left):
-                return links
-            small, large = np.minimum(sizes[left], sizes[at]), np.maximum(sizes[left], sizes[at])
-            left = left[(100 * small >= percent * large) & (estimate(sketches[at], sketches[left]) >= percent / 100 - MARGIN)]
-            if not len(left):
-                continue
-            mine = place[begins[at] : begins[at + 1]]
-            common = np.bincount(np.concatenate([holders[first[s] : ends[s]] for s in mine]), minlength=n)[left]
-            for other in left[100 * common >= percent * (sizes[left] + sizes[at] - common)]:
-                unseen[other] = False
+        mine = place[begins[at] : begins[at + 1]]
+        common = np.bincount(np.concatenate([holders[first[s] : ends[s]] for s in mine]), minlength=n)[left]
+        for other in left[linked(common, sizes[at], sizes[left], percent)]:
+            if clusters[other] != clusters[at]:
                 links.append((at, int(other)))
-                queue.append(int(other))
+                clusters[clusters == clusters[other]] = clusters[at]
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 2000) -> DataFrame:
+def sketch_estimate(a: Column, b: Column) -> Column:
+    """As ``estimate``, of two sketch columns."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n).cast("double")
+    return 1 + F.lit(BITS / 4 / SAMPLES) * F.log(F.greatest(1 - 2 * differ / BITS, F.lit(1e-6)))
+
+
+def _pick(group: pa.Table, shingle: int, hashes: WordHashes) -> tuple[list[int], list[np.ndarray]]:
+    """(row, set) of the rows whose text has the set of their class: of rows sharing a doc_id not all do, and some repeat."""
+    rows, sets, seen = [], [], set()
+    for n, (cell, cls, key, text) in enumerate(zip(group["cell"].to_pylist(), group["cls"].to_pylist(), group["set_key"].to_pylist(), texts_as_bytes(group["text"].combine_chunks()))):
+        if (cell, cls) in seen:
+            continue
+        found = shingle_set(text, shingle, hashes)
+        if xxhash.xxh3_128_digest(found.tobytes()) == key:
+            seen.add((cell, cls))
+            rows.append(n)
+            sets.append(found)
+    return rows, sets
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; ``kept`` is true for the first document of a component."""
     signed = materialize(signatures(docs, shingle), "minhash-signatures")
     known = signed.where("set_key is not null and doc_id is not null")
-    classes = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("of")), "minhash-classes")
-
-    banded = classes.select("rep", F.explode("of.bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = banded.join(shared, "band").where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst"))
-    candidates = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("candidate"))
-    parts = candidates.groupBy("candidate").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    members = candidates.join(parts, "candidate").join(classes.select("rep", "set_key", F.col("of.sketch").alias("sketch")), "rep")
-    # a block meets itself and every other block of its component in some cell of the grid
-    here, there = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = members.withColumn("here", here).withColumn("there", there)
-    cells = cells.select("candidate", "rep", "set_key", "sketch", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"))
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch", "n_shingles"), "doc_id").alias("of"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "set_key", "rep", "of.bands", "of.sketch", "of.n_shingles"), "minhash-classes")
+
+    banded = classes.select("cls", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("cls").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = materialize(banded.join(shared, "band").where("cls <> low").select(F.col("cls").alias("src"), F.col("low").alias("dst")).distinct(), "minhash-candidates")
+
+    # first step: each class against the nearest of those that stand for its bands
+    traits = lambda end: classes.select(F.col("cls").alias(end), F.col("sketch").alias(f"{end}_sketch"), F.col("n_shingles").alias(f"{end}_size"))
+    nearest = near.join(traits("src"), "src").join(traits("dst"), "dst").withColumn("likely", sketch_estimate(F.col("src_sketch"), F.col("dst_sketch")))
+    nearest = nearest.where((100 * F.least("src_size", "dst_size") >= percent * F.greatest("src_size", "dst_size")) & (F.col("likely") >= percent / 100 - MARGIN))
+    nearest = materialize(nearest.groupBy("src").agg(F.max_by("dst", F.struct("likely", -F.col("dst"))).alias("dst"), F.first("src_size").alias("size")), "minhash-nearest")
+    # about nine bytes of text a shingle; a head's followers are cut into parts, parts are dealt to tasks by their hash
+    heads = nearest.groupBy("dst").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 9 / block_bytes)).cast("int").alias("parts"))
+    follow = nearest.join(heads, "dst").select("dst", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int").alias("part"), F.col("src").alias("cls"), F.lit(False).alias("head"))
+    lead = heads.select("dst", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("dst").alias("cls"), F.lit(True).alias("head"))
+    weight = nearest.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, int(weight * 9 // block_bytes))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("doc_id is not null")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def settle(group: pa.Table) -> pa.Table:
-        hashes, reps, sets, sketches = WordHashes(), [], [], []
-        for rep, key, sketch, text in zip(group["rep"].to_pylist(), group["set_key"].to_pylist(), group["sketch"].to_pylist(), texts_as_bytes(group["text"].combine_chunks())):
-            found = shingle_set(text, shingle, hashes)
-            # of rows sharing a doc_id the one whose set stands for the class
-            if xxhash.xxh3_128_digest(found.tobytes()) == key and rep not in reps[-1:]:
-                reps.append(rep)
-                sets.append(found)
-                sketches.append(np.frombuffer(sketch, np.uint64))
-        links = spanning_links(sets, np.stack(sketches), percent) if len(sets) > 1 else []
-        return pa.table({"src": pa.array([reps[a] for a, _ in links], group["rep"].type), "dst": pa.array([reps[b] for _, b in links], group["rep"].type)})
-
-    linked = cells.join(texts, "rep").groupBy("candidate", "i", "j").applyInArrow(settle, f"src {kind}, dst {kind}")
-    labels = connected_components(linked).select(F.col("node").alias("rep"), "component")
-    by_class = classes.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    known_as = classes.select("cls", "rep", "set_key", "sketch")
+
+    def confirm(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("dst", "ascending"), ("part", "ascending"), ("head", "descending")])
+        group = group.append_column("cell", pa.array([f"{a}/{b}" for a, b in zip(group["dst"].to_pylist(), group["part"].to_pylist())], pa.string()))
+        rows, sets = _pick(group, shingle, WordHashes())
+        dst, cls, head, cell = (group[c].to_pylist() for c in ("dst", "cls", "head", "cell"))
+        src, to, of, of_cell = [], [], None, None
+        for row, found in zip(rows, sets):
+            if head[row]:
+                of, of_cell = found, cell[row]
+            elif of_cell == cell[row] and linked(len(np.intersect1d(found, of, assume_unique=True)), len(found), len(of), percent):
+                src.append(cls[row])
+                to.append(dst[row])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(to, pa.int64())})
+
+    met = follow.unionByName(lead).join(known_as, "cls").join(texts, "rep").select("dst", "part", "cls", "head", "set_key", "text")
+    confirmed = met.groupBy(F.pmod(F.xxhash64("dst", "part"), F.lit(tasks)).alias("task")).applyInArrow(confirm, "src long, dst long")
+    # rows of one document are linked by that
+    twice = known.join(classes.select("set_key", "cls"), "set_key").groupBy("doc_id").agg(F.min("cls").alias("src"), F.max("cls").alias("dst"), F.collect_set("cls").alias("all")).where("src <> dst")
+    same = twice.select("src", F.explode("all").alias("dst")).where("src <> dst")
+    confirmed = materialize(confirmed.unionByName(same), "minhash-confirmed")
+    clusters = materialize(connected_components(confirmed).select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "minhash-clusters")
+
+    # second step: what bands hold together and the first step left apart
+    candidates = connected_components(near).select(F.col("node").alias("cls"), F.col("component").alias("candidate"))
+    members = candidates.join(clusters, "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls")).join(classes.select("cls", "n_shingles"), "cls")
+    open_ones = members.groupBy("candidate").agg(
+        F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") * 9 / block_bytes)).cast("int").alias("parts")
+    )
+    members = materialize(members.join(open_ones.where("low <> high").select("candidate", "parts"), "candidate").drop("n_shingles"), "minhash-open")
+    links = confirmed
+    if not members.isEmpty():
+        # a block meets itself and every other block of its component in some cell of the grid
+        here, there = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        cells = members.withColumn("here", here).withColumn("there", there)
+        cells = cells.select("cls", "cluster", F.concat_ws("/", "candidate", F.least("here", "there"), F.greatest("here", "there")).alias("cell"))
+
+        def settle(group: pa.Table) -> pa.Table:
+            rows, sets = _pick(group, shingle, WordHashes())
+            cls, found = group["cls"].to_pylist(), []
+            if len(sets) > 1:
+                take = group.take(pa.array(rows))
+                sketches = np.array(take["sketch"].to_pylist(), np.int64).view(np.uint64)
+                found = joining_links(sets, sketches, np.unique(take["cluster"].to_numpy(), return_inverse=True)[1], percent)
+            return pa.table({"src": pa.array([cls[rows[a]] for a, _ in found], pa.int64()), "dst": pa.array([cls[rows[b]] for _, b in found], pa.int64())})
+
+        joined = cells.join(known_as, "cls").join(texts, "rep").select("cell", "cls", "cluster", "set_key", "sketch", "text")
+        links = materialize(joined.groupBy("cell").applyInArrow(settle, "src long, dst long").unionByName(confirmed), "minhash-links")
+        clusters = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+    by_class = classes.select("set_key", "cls", "rep").join(clusters, "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
+    lowest = by_class.groupBy("cluster").agg(F.min("rep").alias("component"))
+    by_class = by_class.join(lowest, "cluster").select("set_key", "component")
     out = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -75,6 +75,43 @@ def test_families_of_near_copies_in_small_blocks(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in brute(texts).values()}) and kept.columns == docs.columns
 
 
+def test_chains_of_unlike_families_are_joined_across_clusters(spark):
+    """Windows sliding over one sequence: neighbours are near, the ends of the chain share nothing."""
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words[3 * i : 3 * i + 60]) for i in range(110)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    same(near_dups.near_duplicates(docs, shingle=2, block=16).collect(), texts)
+
+
+def test_a_large_family_of_different_near_copies(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(10_000):
+        copy = list(base)
+        copy[rng.integers(0, 120)] = f"own{d}"
+        rows.append((d, " ".join(copy)))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert len(got) == 10_000 and {r.component_id for r in got} == {0}
+
+
+def test_texts_of_a_repeated_id_both_link(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " more"), (3, b + " more"), (9, "alone")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
+
+
+def test_sketch_columns_estimate_like_the_arrays(spark):
+    rng = np.random.default_rng(3)
+    maps = rng.integers(0, 1 << 63, (20, 8), dtype=np.int64)
+    near = maps ^ (rng.random((20, 8)) < 0.3).astype(np.int64)
+    rows = [(a.tolist(), b.tolist()) for a, b in zip(maps, near)]
+    table = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [r.e for r in table.select(near_dups.sketch_estimate(table.a, table.b).alias("e")).collect()]
+    assert np.allclose(got, [near_dups.estimate(a.view(np.uint64), b.view(np.uint64)[None])[0] for a, b in zip(maps, near)])
+
+
 def test_sketch_estimates_high_similarity():
     rng = np.random.default_rng(0)
     for share in (0.8, 0.9, 0.97):
