@@ -1,21 +1,23 @@
-"""Removal of long repeated strings by longest-previous-factor arrays.
-
-The order of all suffixes of a corpus, cut at ``length`` bytes, puts equal strings side by
-side. In each run of equal ones, sorted by position, the previous smaller position is the
-neighbour before and the next one the neighbour behind: a start whose longest previous
-factor reaches ``length`` has an earlier copy, one whose longest next factor does has a
-later copy. ``keep_first`` removes later copies only; otherwise every byte that an
-occurrence with any copy covers goes.
-
-No task can hold that order for a whole corpus, so it is cut into buckets that can't
-separate equal strings. Every string of ``length`` bytes has an anchor, the smallest hash
-among its 64-byte grams, at the same place in all its copies. Strings are bucketed by
-anchor, and an anchor that occurs once has no repeated string, so only the strings of
-repeated anchors are sent around, neighbours together in one stretch of bytes. Inside a
-bucket the order is built with numpy on 64-bit hashes of the strings, which only ever
-compare strings of one anchor (two 64-bit hashes would have to collide at once). Anchors
-of more than ``hot`` occurrences are compared string by string in a Spark aggregation
-instead, which splits them over all tasks.
+"""Removal of long repeated strings by longest previous factors at content anchors.
+
+A byte goes if a string of ``length`` bytes that covers it has another occurrence
+(``keep_first``: an earlier one). No task can hold the order of all suffixes of a whole
+collection, so it is thinned out and cut into parts that can't separate equal strings: every
+string of ``length`` bytes has an anchor, the smallest hash among its 64-byte grams, at the
+same place in all its copies. Strings are dealt by anchor, and an anchor that occurs once has
+no repeated string, so only the surroundings of repeated anchors are sent around.
+
+Among the occurrences of one anchor, the suffixes that begin there are put in order, as are
+the texts before it, read backwards. The longest common prefix of two suffixes plus that of
+the texts before them is the factor that both places share; where it reaches ``length``, the
+bytes of the factor are covered. Small groups are compared in one matrix of common lengths,
+large ones by the classes that their orders, cut at each length, fall into. Bytes decide,
+hashes only say where to look. Stretches that repeat themselves at a short distance (long
+rows of dashes) are settled inside their text, and only one period of them is sent.
+
+Anchors of more than ``hot`` occurrences would make one group too large. Their strings are
+spelled out as 128-bit hashes and each is compared with the first and last place of equal
+ones in a Spark aggregation, which splits them over all tasks.
 
 Texts are handled once per distinct text; rows with equal texts are copies of each other.
 
@@ -28,10 +30,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +42,19 @@ from foliomill.llm.arrow_text import slices, texts_as_bytes
 from foliomill.plans.workspace import materialize
 
 GRAM = 64
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 PIECE = 1 << 20
 PART_BYTES = 1 << 21
+#: up to so many different surroundings of one anchor are compared in one matrix
+MATRIX = 24
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, for a piece of text."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up, down = np.full(PIECE + 1024, BASE), np.full(PIECE + 1024, inverse)
+@lru_cache(maxsize=2)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64, for a piece of text."""
+    inverse = np.uint64(pow(int(BASES[base]), -1, 1 << 64))
+    up, down = np.full(PIECE + 1024, BASES[base]), np.full(PIECE + 1024, inverse)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -60,13 +65,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int, base: int = 0) -> np.ndarray:
     """Hash of every gram of ``size`` bytes; ``data`` is at most a piece long."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
-    up, down = _powers()
+    up, down = _powers(base)
+    # bytes are spread over 64 bits first: sums of small numbers are equal too often in regular texts
+    spread = _mix(np.arange(1, 257, dtype=np.uint64) * BASES[1 - base])
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    np.cumsum(spread[data] * up[: len(data)], out=sums[1:])
     return _mix((sums[size:] - sums[:-size]) * down[: len(data) - size + 1])
 
 
@@ -80,9 +87,15 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first start, last start) of the anchors of all strings of ``length`` bytes."""
-    parts = []
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(rows of hash, place, first start, last start; own copies as begin, distance, end).
+
+    A row is a stretch of strings whose anchors are equal; ``place`` is the anchor of its
+    first string. A stretch that equals itself ``distance`` bytes further on, from ``begin``
+    until ``end`` of the copy, is an own copy, and its strings after the first
+    ``distance`` ones are left out of the rows.
+    """
+    parts, own = [], []
     for at in range(0, max(1, len(data) - length + 1), PIECE - length):
         piece = data[at : at + PIECE - 1]
         if len(piece) < length:
@@ -90,71 +103,142 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         hashes = gram_hashes(piece, GRAM)
         spots = np.arange(len(hashes), dtype=np.uint64)
         low = _sliding_min((hashes & ~_PLACE) | spots, length - GRAM + 1)[: PIECE - length]
-        cut = np.flatnonzero(low[1:] != low[:-1]) + 1
-        first = np.concatenate([[0], cut])
-        last = np.concatenate([cut - 1, [len(low) - 1]])
-        place = (low[first] & _PLACE).astype(np.int64)
-        parts.append((hashes[place].view(np.int64), place + at, first + at, last + at))
-    if not parts:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def repeated_starts(keys: np.ndarray, owners: np.ndarray, starts: np.ndarray, keep_first: bool) -> np.ndarray:
-    """Which strings have another occurrence (``keep_first``: an earlier one).
-
-    ``keys`` are equal for equal strings; (owner, start) is the position. Sorting by key and
-    position gives the truncated suffix order; a neighbour in a run of equal keys is the
-    previous or next smaller position, and the common prefix with it is a whole string.
+        place = (low & _PLACE).astype(np.int64)
+        value = hashes[place]
+        cut = np.flatnonzero(value[1:] != value[:-1]) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(low) - 1]])
+        rows = np.stack([value[first].view(np.int64), place[first], first, last], 1)
+        several = np.flatnonzero((place[last] != place[first]) & (last - first > 2 * length))
+        if len(several):
+            rows, copies = _without_own_copies(piece, length, rows, several, place)
+            own += [(b + at, d, e + at) for b, d, e in copies]
+        rows[:, 1:] += at
+        parts.append(rows)
+    return (np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)), own
+
+
+def _without_own_copies(data: np.ndarray, length: int, rows: np.ndarray, several: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    kept, own = [np.delete(rows, several, 0)], []
+    for h, _, first, last in rows[several].tolist():
+        steps, often = np.unique(np.diff(np.unique(place[first : last + 1])), return_counts=True)
+        distance = int(steps[often.argmax()])
+        seg = data[first : last + length]
+        a, b = _runs(seg[:-distance] == seg[distance:])
+        starts = [first]
+        for u, v in zip(a.tolist(), b.tolist()):
+            if v - u + 1 >= length:
+                own.append((first + u, distance, first + v + 1 + distance))
+                starts += [first + u + distance, first + v + 2 - length + distance]
+        starts.append(last + 1)
+        kept += [np.array([[h, place[i], i, j - 1]]) for i, j in zip(starts[::2], starts[1::2]) if i < j]
+    rows = np.concatenate(kept)
+    return rows[np.argsort(rows[:, 2], kind="stable")], own
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of true flags."""
+    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+
+
+def anchored(stretch: bytes, place: int, length: int) -> list[tuple[int, int, int]]:
+    """(place, first start, last start) for each place of the anchor that is the first one in some string of a stretch."""
+    gram, out, begin, most = stretch[place : place + GRAM], [], 0, len(stretch) - length
+    while True:
+        out.append((place, begin, min(place, most)))
+        if place >= most:
+            return out
+        begin = place + 1
+        place = stretch.find(gram, begin)
+        if place < 0:
+            return out
+
+
+def _matrix_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as rows of one matrix, and their lengths; the padding equals nothing in another row."""
+    sizes = np.array([len(t) for t in texts])
+    width = int(sizes.max())
+    padded = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
+    return padded, sizes
+
+
+def common_lengths(texts: list[bytes]) -> np.ndarray:
+    """Lengths of the common prefixes of all pairs."""
+    padded, sizes = _matrix_of(texts)
+    same = np.logical_and.accumulate(padded[:, None] == padded[None], axis=2).sum(2, dtype=np.int64)
+    return np.minimum(same, np.minimum(sizes[:, None], sizes[None]))
+
+
+def ordered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the texts, longest common prefix of each with the one before it in that order; -1 for the first)."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    padded, sizes = _matrix_of([texts[i] for i in order])
+    same = np.logical_and.accumulate(padded[1:] == padded[:-1], axis=1).sum(1, dtype=np.int64)
+    return np.array(order), np.concatenate([[-1], np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))])
+
+
+def shared_factors(before: list[bytes], suffixes: list[bytes], rank: np.ndarray, length: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How far the factors that an anchor's places share with others (``keep_first``: of smaller rank) reach back and ahead.
+
+    ``before`` are the texts before the places, read backwards, ``suffixes`` those that
+    begin there. (0, 0) where no factor has ``length`` bytes.
     """
-    order = np.lexsort((starts, owners, keys))
-    same = keys[order][1:] == keys[order][:-1]
-    # one string may be met in two stretches: the same position is no other occurrence
-    again = same & (owners[order][1:] == owners[order][:-1]) & (starts[order][1:] == starts[order][:-1])
-    earlier, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    if again.any():
-        run = np.concatenate([[0], np.cumsum(~same)])
-        fresh = np.concatenate([[True], ~again])
-        first = np.concatenate([[True], ~same])
-        group_sizes = np.bincount(run, weights=fresh)
-        rank = np.cumsum(fresh) - np.cumsum(fresh)[first][run]
-        earlier[order], later[order] = rank > 0, rank < group_sizes[run] - 1
-    return earlier if keep_first else earlier | later
-
-
-def _runs(flags: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of true flags within one row."""
-    at = np.flatnonzero(flags)
-    if not len(at):
-        return at, at
-    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(row[at]) != 0))
-    return at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-
-
-def stretch_keys(hashes: list[int], places: list[int], stretches: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every string in every stretch: (key, stretch, start within the stretch)."""
-    keys, rows, starts = [], [], []
-    begin = 0
-    while begin < len(stretches):
-        end, held = begin, 0
-        while end < len(stretches) and (held == 0 or held + len(stretches[end]) < PIECE >> 1):
-            held += len(stretches[end])
-            end += 1
-        sizes = np.array([len(s) for s in stretches[begin:end]])
-        grams = gram_hashes(np.frombuffer(b"".join(stretches[begin:end]), np.uint8), length)
-        counts = sizes - length + 1
-        row = np.repeat(np.arange(end - begin), counts)
-        start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        anchor = np.array(hashes[begin:end], np.int64).view(np.uint64)[row]
-        offset = (np.array(places[begin:end], np.int64)[row] - start).astype(np.uint64)
-        at = np.repeat(np.cumsum(sizes) - sizes, counts) + start
-        keys.append(_mix(grams[at] + anchor * np.uint64(0xC2B2AE3D27D4EB4F) + offset * np.uint64(0x165667B19E3779F9)))
-        rows.append(row + begin)
-        starts.append(start)
-        begin = end
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(starts)
+    n = len(rank)
+    if n <= MATRIX:
+        back, ahead = common_lengths(before), common_lengths(suffixes)
+        valid = (back + ahead >= length) & ((rank[None] < rank[:, None]) if keep_first else ~np.eye(n, dtype=bool))
+        return (back * valid).max(1), (ahead * valid).max(1)
+    order_b, prefix_b = ordered(before)
+    order_s, prefix_s = ordered(suffixes)
+    sizes_b, sizes_s = np.array([len(x) for x in before]), np.array([len(x) for x in suffixes])
+    reach_back, reach_ahead = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    class_b, class_s = np.empty(n, np.int64), np.empty(n, np.int64)
+    for back in range(length - GRAM + 1):
+        # strings that begin ``back`` bytes before the anchor are equal if both sides fall into one class at these lengths
+        class_b[order_b] = np.cumsum(prefix_b < back)
+        class_s[order_s] = np.cumsum(prefix_s < length - back)
+        there = np.flatnonzero((sizes_b >= back) & (sizes_s >= length - back))
+        if not len(there):
+            continue
+        key = class_b[there] * (n + 1) + class_s[there]
+        in_order = np.lexsort((rank[there], key))
+        same = key[in_order][1:] == key[in_order][:-1]
+        hit = np.zeros(len(there), bool)
+        hit[in_order[1:]] = same
+        if not keep_first:
+            hit[in_order[:-1]] |= same
+        found = there[hit]
+        reach_back[found] = back
+        reach_ahead[found] = np.maximum(reach_ahead[found], length - back)
+    return reach_back, reach_ahead
+
+
+def repeated_spans(stretches: list[bytes], places: list[int], rank: np.ndarray, length: int, keep_first: bool) -> Iterator[tuple[int, int, int]]:
+    """(stretch, begin, end) of what other occurrences cover; ``rank`` orders the stretches by position."""
+    groups: dict[bytes, dict[tuple[bytes, bytes], list[tuple[int, int]]]] = {}
+    for n, (stretch, first) in enumerate(zip(stretches, places)):
+        for place, begin, end in anchored(stretch, first, length):
+            around = stretch[begin:place][::-1], stretch[place : end + length]
+            groups.setdefault(stretch[first : first + GRAM], {}).setdefault(around, []).append((n, place))
+    for group in groups.values():
+        heads, before, suffixes = [], [], []
+        for (back, suffix), members in group.items():
+            members.sort(key=lambda x: (rank[x[0]], x[1]))
+            # surroundings that are equal all over: every place but the first has an earlier one, and the first a later one
+            for n, place in members[1:] if keep_first else members if len(members) > 1 else ():
+                yield n, place - len(back), place + len(suffix)
+            heads.append(members[0])
+            before.append(back)
+            suffixes.append(suffix)
+        if len(heads) == 1:
+            continue
+        position = np.empty(len(heads), np.int64)
+        position[sorted(range(len(heads)), key=lambda i: (rank[heads[i][0]], heads[i][1]))] = np.arange(len(heads))
+        back, ahead = shared_factors(before, suffixes, position, length, keep_first)
+        for i in np.flatnonzero(ahead).tolist():
+            # what holds for the first place of equal surroundings holds for all of them
+            for n, place in group[before[i], suffixes[i]] if not keep_first else [heads[i]]:
+                yield n, int(place - back[i]), int(place + ahead[i])
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False, digest: bool = False, hot: int = 20_000, bucket: int = 8_000) -> DataFrame:
@@ -175,29 +259,45 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add((a, b))
-                hashes, place, _, _ = anchors(np.frombuffer(data, np.uint8), length)
+                rows, own = anchors(np.frombuffer(data, np.uint8), length)
+                hashes, place = rows[:, 0], rows[:, 1]
+                # an anchor that a stretch holds twice, or that has an own copy, occurs twice
+                again = np.flatnonzero(rows[:, 3] > place)
+                inside = np.isin(np.arange(len(rows)), np.searchsorted(rows[:, 2], [o[0] for o in own], side="right") - 1) if own else np.zeros(len(rows), bool)
+                again = np.union1d(again, np.flatnonzero(inside))
+                hashes, place = np.concatenate([hashes, hashes[again]]), np.concatenate([place, -1 - place[again]])
                 found.append((np.full(len(hashes), a), np.full(len(hashes), b), hashes, place))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=["t1", "t2", "h", "place"])
 
-    found = keyed.select("t1", "t2", "text").mapInArrow(find, "t1 long, t2 long, h long, place long")
+    found = materialize(keyed.select("t1", "t2", "text").mapInArrow(find, "t1 long, t2 long, h long, place long"), "repeat-found")
     occurrence = F.xxhash64("t1", "t2", "place")
     repeated = found.groupBy("h").agg(F.min(occurrence).alias("low"), F.max(occurrence).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    wanted = found.select("h", "t1", "t2").join(repeated.select("h", (F.col("n") > hot).alias("hot")), "h")
-    wanted = materialize(wanted.groupBy("t1", "t2").agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cool"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot")), "repeat-anchors")
-    count = wanted.agg(F.sum(F.size("cool")), F.sum(F.size("hot"))).first()
+    repeated = materialize(repeated.select("h", "n"), "repeat-repeated")
+    # at most 1,024 anchors can stand for over a 1,024th of all occurrences each: their rows are found without a shuffle
+    often = F.broadcast(repeated.where(F.col("n") > found.count() / 1024))
+    marked = found.select("h", "t1", "t2").join(often, "h", "left")
+    wanted = marked.where("n is not null").unionByName(marked.where("n is null").drop("n").join(repeated, "h"))
+    is_hot = F.col("n") > hot
+    wanted = materialize(wanted.groupBy("t1", "t2").agg(F.collect_set(F.when(~is_hot, F.col("h"))).alias("cool"), F.collect_set(F.when(is_hot, F.col("h"))).alias("hot")), "repeat-anchors")
+    count = repeated.agg(F.sum(F.when(~is_hot, F.col("n"))), F.sum(F.when(is_hot, F.col("n")))).first()
     buckets = max(1, int(count[0] or 0) // bucket)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, 3):
-            columns: list[list] = [[] for _ in range(8)]
+            columns, held = [[] for _ in range(8)], 0
             for t1, t2, first, data, cool, heated in zip(*(batch.column(i).to_pylist() for i in range(3)), texts_as_bytes(batch.column(3)), *(batch.column(i).to_pylist() for i in (4, 5))):
-                hashes, place, begin, end = anchors(np.frombuffer(data, np.uint8), length)
-                for keep, is_hot in ((cool, False), (heated, True)):
-                    for i in np.flatnonzero(np.isin(hashes, np.array(keep, np.int64))) if keep else ():
-                        row = (t1, t2, first, int(begin[i]), int(hashes[i]), int(place[i] - begin[i]), is_hot, data[begin[i] : end[i] + length])
-                        for column, value in zip(columns, row):
-                            column.append(value)
+                rows, own = anchors(np.frombuffer(data, np.uint8), length)
+                found = [(h, place, begin, end, is_hot) for keep, is_hot in ((cool, False), (heated, True)) if keep for h, place, begin, end in rows[np.isin(rows[:, 0], np.array(keep, np.int64))].tolist()]
+                sent = [(t1, t2, first, begin, h, place - begin, is_hot, data[begin : end + length]) for h, place, begin, end, is_hot in found]
+                sent += [(t1, t2, first, begin + (distance if keep_first else 0), end, None, None, None) for begin, distance, end in own]
+                for row in sent:
+                    for column, value in zip(columns, row):
+                        column.append(value)
+                    held += len(row[7] or b"")
+                    if held > PART_BYTES:
+                        yield _stretches(columns)
+                        columns, held = [[] for _ in range(8)], 0
             yield _stretches(columns)
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
@@ -206,31 +306,34 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
     spans = "t1 long, t2 long, begin long, end long"
 
     def order(group: pa.Table) -> pa.Table:
+        copies = group.filter(pc.is_null(group["bytes"]))  # own copies are spans already
+        group = group.filter(pc.is_valid(group["bytes"]))
         t1, t2, begin = (group[c].to_numpy() for c in ("t1", "t2", "begin"))
-        keys, row, start = stretch_keys(group["h"].to_pylist(), group["place"].to_pylist(), group["bytes"].to_pylist(), length)
-        # owners in document order, so that "earlier" means the smaller doc_id
-        owner = np.unique(np.rec.fromarrays([group["first"].fill_null(-(1 << 62)).to_numpy(), t1, t2]), return_inverse=True)[1]
-        flags = repeated_starts(keys, owner[row], begin[row] + start, keep_first)
-        a, b = _runs(flags, row)
-        return pa.table({"t1": t1[row[a]], "t2": t2[row[a]], "begin": begin[row[a]] + start[a], "end": begin[row[b]] + start[b] + length})
-
-    parts = [sent.where("not hot").groupBy(F.pmod("h", F.lit(buckets))).applyInArrow(order, spans)]
+        # stretches in document order, so that "earlier" means the smaller doc_id
+        rank = np.empty(group.num_rows, np.int64)
+        rank[np.lexsort((begin, t2, t1, group["first"].fill_null(-(1 << 62)).to_numpy()))] = np.arange(group.num_rows)
+        found = list(repeated_spans(group["bytes"].to_pylist(), group["place"].to_pylist(), rank, length, keep_first))
+        row = np.array([x[0] for x in found], np.int64)
+        out = pa.table({"t1": t1[row], "t2": t2[row], "begin": begin[row] + np.array([x[1] for x in found], np.int64), "end": begin[row] + np.array([x[2] for x in found], np.int64)})
+        return pa.concat_tables([out, copies.select(["t1", "t2", "begin", "h"]).rename_columns(out.column_names)])
+
+    parts = [sent.where("hot is null or not hot").groupBy(F.pmod("h", F.lit(buckets))).applyInArrow(order, spans)]
     if count[1]:
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys, row, start = stretch_keys(batch.column("h").to_pylist(), batch.column("place").to_pylist(), batch.column("bytes").to_pylist(), length)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(take) for c in ("t1", "t2", "first")), pa.array(batch.column("begin").to_numpy()[row] + start)], names=["k", "t1", "t2", "first", "begin"])
-
-        spelled = sent.where("hot").mapInArrow(spell, f"k long, t1 long, t2 long, first {id_kind}, begin long")
+            for batch in _parts(batches, 4):
+                for t1, t2, first, begin, stretch in zip(*(batch.column(i) for i in range(4)), batch.column(4).to_pylist()):
+                    grams = np.frombuffer(stretch, np.uint8)
+                    keys = [pa.array(gram_hashes(grams, length, base).view(np.int64)) for base in (0, 1)]
+                    n = len(keys[0])
+                    yield pa.RecordBatch.from_arrays([*keys, *(pa.repeat(x, n) for x in (t1, t2, first)), pa.array(begin.as_py() + np.arange(n))], names=["k1", "k2", "t1", "t2", "first", "begin"])
+
+        spelled = sent.where("hot").select("t1", "t2", "first", "begin", "bytes").mapInArrow(spell, f"k1 long, k2 long, t1 long, t2 long, first {id_kind}, begin long")
         position = F.struct("first", "t1", "t2", "begin")
-        ends = spelled.groupBy("k").agg(F.min(position).alias("low"), F.max(position).alias("high")).where("low <> high")
-        again = spelled.join(ends, "k").where(position > F.col("low") if keep_first else F.lit(True))
+        ends = spelled.groupBy("k1", "k2").agg(F.min(position).alias("low"), F.max(position).alias("high")).where("low <> high")
+        again = spelled.join(ends, ["k1", "k2"]).where(position > F.col("low") if keep_first else F.lit(True))
         parts.append(again.select("t1", "t2", "begin", (F.col("begin") + length).alias("end")))
-    covered = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    covered = reduce(DataFrame.unionByName, parts)
     covered = materialize(covered.groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("covered")), "repeat-spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
