@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliomill.functions.text import form_text, hue
 from foliomill.operators.flags import is_short
+from foliomill.plans.ordering import running
 
 IN_PROGRESS = ("extracting", "chunking", "embedding")
 KNOWN_STATUSES = ("queued", *IN_PROGRESS, "review", "done", "failed")
@@ -57,9 +57,9 @@ def status_lines(documents: DataFrame) -> DataFrame:
 
 
 def document_colours(documents: DataFrame) -> DataFrame:
-    """(document_id, position, hue): a colour by order of arrival. One row per document passes the ordering."""
-    position = F.row_number().over(Window.orderBy("created_at", "document_id")) - 1
-    return documents.select("document_id", position.alias("position")).withColumn("hue", hue(F.col("position")))
+    """(document_id, position, hue): a colour by order of arrival."""
+    placed = running(documents.select("document_id", "created_at"), [F.col("created_at"), F.col("document_id")])
+    return placed.select("document_id", F.col("position").cast("int").alias("position"), hue(F.col("position")).alias("hue"))
 
 
 def lit_links(edges: DataFrame, matches: DataFrame) -> DataFrame:
