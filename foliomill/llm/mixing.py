@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliomill.plans.ordering import running
 from foliomill.plans.workspace import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,29 +40,27 @@ def word_count(text: Column) -> Column:
 def source_targets(items: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, n_items, target): ``share`` of all sizes split by weight.
 
-    Weights repeat over the sources in code point order, null last. A target stops at
+    Weights repeat over the sources in code point order, null last; sources are ordered by
+    ranges, so their number has no bound in one task. A target stops at
     ``cap`` times its source's size and the excess is shared again by weight. The fixed
     point of that resharing is found in one pass: in order of size / weight the capped
     sources come first, and the first source that the remaining mass per weight does not
     fill settles the level for all after it.
     """
     sums = items.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_items"))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = running(sums, [F.col("source").asc_nulls_last()]).withColumnRenamed("position", "rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    fill = Window.orderBy(F.col("source_size") / F.col("weight"), "rank")
-    whole = Window.partitionBy()
-    level = (
-        ranked.withColumn("weight", weight)
-        .withColumn("pos", F.row_number().over(fill))
-        .withColumn("before", F.coalesce(F.sum("source_size").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(cap)))
-        .withColumn("rest", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.sum("source_size").over(whole) * F.lit(float(share)) - F.col("before")) / F.col("rest"))
-        .withColumn("open", F.col("source_size") * F.lit(float(cap)) > F.col("level") * F.col("weight"))
-        .withColumn("first_open", F.min(F.when(F.col("open"), F.struct("pos", "level"))).over(whole))
-    )
-    capped = F.col("first_open").isNull() | (F.col("pos") < F.col("first_open.pos"))
-    target = F.when(capped, F.col("source_size") * F.lit(float(cap))).otherwise(F.col("first_open.level") * F.col("weight"))
-    return level.select("source", "source_size", "n_items", target.alias("target"))
+    filled = ranked.withColumn("weight", weight).withColumn("fill", F.col("source_size") / F.col("weight"))
+    filled = materialize(running(filled, [F.col("fill"), F.col("rank")], ("source_size", "weight")), "mix-fill")
+    total = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if total.size is None:
+        return filled.select("source", "source_size", "n_items", F.lit(0.0).alias("target"))
+    level = (F.lit(float(total.size) * share) - F.lit(float(cap)) * F.col("before_source_size")) / (F.lit(total.weight) - F.col("before_weight"))
+    is_open = F.col("source_size") * F.lit(float(cap)) > level * F.col("weight")
+    first = filled.where(is_open).agg(F.min(F.struct("position", level.alias("level"))).alias("x")).first().x
+    full = F.col("source_size") * F.lit(float(cap))
+    target = full if first is None else F.when(F.col("position") < first.position, full).otherwise(F.lit(first.level) * F.col("weight"))
+    return filled.select("source", "source_size", "n_items", target.alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -131,9 +130,7 @@ def mix(items: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     most = targets.agg(F.max("n_items")).first()[0] or 0
     level, rest = 0, start.where(~settled)
     while True:
-        rounded = _round_level(rest, level, seed)
-        if level == 0:
-            rounded = materialize(rounded, "mix-level")
+        rounded = materialize(_round_level(rest, level, seed), "mix-level")
         whole = F.col("p").isin(0.0, 1.0)
         last = most <= BLOCK ** (level + 1)
         if last:
@@ -152,11 +149,15 @@ def mix(items: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """Every row of ``docs`` as an item: doc_id, source, size, source_size, target, copies, taken."""
-    items = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row_no"))
-    # repeated rows differ by row_no only, so a document's draws depend on its id wherever ids are unique
-    first = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(0))).otherwise(F.xxhash64(F.lit(None).cast("long"), "row_no"))
-    return mix(items.select("doc_id", "source", "size", first.alias("id")), **options).withColumn("taken", F.col("copies") * F.col("size"))
+    """Every row of ``docs`` as an item: doc_id, source, size, source_size, target, copies, taken.
+
+    An item's draws depend on its doc_id and text; rows alike in both, and in source, are
+    numbered, so that they are items of their own and are dealt to different blocks.
+    """
+    items = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("t"))
+    alike = F.row_number().over(Window.partitionBy("doc_id", "source", "t").orderBy("size"))
+    items = items.withColumn("id", F.xxhash64("doc_id", "t", alike))
+    return mix(items.select("doc_id", "source", "size", "id"), **options).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
@@ -164,10 +165,14 @@ def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows alike in doc_id, source and text are one item of their joint size.
     """
-    key = docs.withColumn("_mix_text", F.xxhash64("text")).withColumn("_mix_size", word_count(F.col("text")))
-    units = key.groupBy("doc_id", "source", "_mix_text").agg(F.sum("_mix_size").alias("size"))
-    units = units.select("doc_id", "source", "_mix_text", "size", F.xxhash64("doc_id", "_mix_text").alias("id"))
-    taken = mix(units, **options).select(F.col("doc_id").alias("_mix_d"), F.col("source").alias("_mix_s"), F.col("_mix_text").alias("_mix_t"), F.col("copies").alias("_mix_copies"))
-    same = key["doc_id"].eqNullSafe(taken["_mix_d"]) & key["source"].eqNullSafe(taken["_mix_s"]) & key["_mix_text"].eqNullSafe(taken["_mix_t"])
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))
-    return key.join(taken.where("_mix_copies > 0"), same).withColumn("_mix_copy", copies).select(*docs.columns)
+    own = "_mix"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    d, s, t, size, copies, copy = (f"{own}_{x}" for x in ("doc", "source", "text", "size", "copies", "copy"))
+    key = docs.withColumn(t, F.xxhash64("text")).withColumn(size, word_count(F.col("text")))
+    units = key.groupBy("doc_id", "source", t).agg(F.sum(size).alias("size"))
+    units = units.select("doc_id", "source", F.col(t).alias("t"), "size", F.xxhash64("doc_id", t).alias("id"))
+    taken = mix(units, **options).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), "t", F.col("copies").alias(copies))
+    same = key["doc_id"].eqNullSafe(taken[d]) & key["source"].eqNullSafe(taken[s]) & key[t].eqNullSafe(taken["t"])
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return key.join(taken, same).withColumn(copy, each).select(*[key[c] for c in docs.columns])

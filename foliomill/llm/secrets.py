@@ -1,14 +1,18 @@
-"""Secret scans with corpus-wide ownership frequency (DataFrame functions only).
+"""Secret scans with collection-wide ownership frequency (DataFrame functions only).
 
 Three base kinds are found by pattern: ``assign`` (a keyword, a separator, a value),
 ``access`` and ``hex``. A fourth, ``opaque``, takes long letter-digit runs that may be
-credentials or not. All candidate values are hashed and counted over the whole corpus by
+credentials or not. All candidate values are hashed and counted over the whole collection by
 distinct owners (sources), summed in two steps so that no value and no owner gathers in
 one task. A value known to few owners is owner-specific and counts as live, in however
 many of their repositories (documents) it stands; one that many owners hold is a copied
 example. Base spans always stay; opaque runs outside them are added as kind ``owned``
 when they are owner-specific.
 
+A text's matches leave the scan as gaps and lengths; positions are running sums of these in
+windows over one text's matches, so the work grows in proportion to the matches, however
+densely they stand.
+
 Positions are code points, end exclusive. Edge cases: null text is scanned as the empty
 text; a null source is an owner of its own; repeated rows get the same spans each; other
 columns are ignored by the scan and kept by ``redact_secrets``.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliomill.plans.workspace import materialize
 
@@ -31,23 +36,16 @@ PATTERNS = {
 }
 
 
-def pattern_spans(text: Column, kind: str) -> Column:
-    """All matches of a kind, left to right without overlap: array of (start, kind, end, hash)."""
+def pattern_matches(text: Column, kind: str) -> Column:
+    """All matches of a kind, left to right without overlap: array of (kind, n, gap before it, len, hash or null if too short)."""
     pattern, group, least = PATTERNS[kind]
-    spans = "array<struct<start:int,kind:int,end:int,hash:string>>"
     whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    sized = F.zip_with(gaps, whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len")))
-    items = F.zip_with(sized, value, lambda s, v: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), v.alias("value")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + x["len"]).alias("end"), F.substring(F.sha2(x["value"], 256), 1, 32).alias("hash"))
-        kept = F.when(F.length(x["value"]) >= least, F.array(span)).otherwise(F.array().cast(spans))
-        return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], kept).alias("out"))
-
-    found = F.aggregate(items, F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(spans))
+    pairs = F.zip_with(gaps, whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len")))
+    digest = lambda v: F.when(F.length(v) >= least, F.substring(F.sha2(v, 256), 1, 32))
+    items = F.zip_with(pairs, value, lambda s, v: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), digest(v).alias("hash")))
+    found = F.transform(items, lambda x, n: F.struct(F.lit(KINDS.index(kind)).alias("kind"), n.alias("n"), x["gap"].alias("gap"), x["len"].alias("len"), x["hash"].alias("hash")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<kind:int,n:int,gap:int,len:int,hash:string>>"))
 
 
 def _listed(spans: Column) -> Column:
@@ -56,37 +54,47 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, one))
 
 
+def judged_spans(docs: DataFrame, max_owners: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows with row, doc_id, text_hash; their spans: row, start, kind, end, live)."""
+    text = F.coalesce("text", F.lit(""))
+    found = F.concat(*[pattern_matches(text, k) for k in KINDS])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_hash"), found.alias("found"))
+    rows = materialize(rows, "secret-candidates")
+
+    each = rows.where("size(found) > 0").select("row", "source", F.explode("found").alias("x")).select("row", "source", "x.*").repartition("row")
+    so_far = Window.partitionBy("row", "kind").orderBy("n")
+    spans = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far).cast("int")).where("hash is not null")
+    spans = spans.select("row", "source", (F.col("end") - F.col("len")).alias("start"), "kind", "end", "hash")
+    # opaque runs count where no base span meets them: none that began before reaches in, none begins before their end
+    owned = F.col("kind") == KINDS.index("owned")
+    reach = F.max(F.when(~owned, F.col("end"))).over(Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(~owned, F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("end"), F.lit(True))
+    spans = materialize(spans.withColumn("reach", reach).withColumn("ahead", ahead).where(~owned | free).drop("reach", "ahead"), "secret-spans")
+
+    by_owner = spans.select("hash", "source").distinct()
+    owners = by_owner.groupBy("hash").agg((F.count(F.lit(1)) <= max_owners).alias("live"))
+    return rows.drop("found"), spans.join(owners, "hash").select("row", "start", "kind", "end", "live")
+
+
 def scan_secrets(docs: DataFrame, max_owners: int = 2) -> DataFrame:
     """Per row: doc_id, text_hash, counts, base_sha256, spans, and the spans as an array with their verdict.
 
     A candidate is live if at most ``max_owners`` sources hold its value. Copies inside
     one source don't count, so a verdict does not depend on how large an owner is.
     """
-    text = F.coalesce("text", F.lit(""))
-    kinds = [pattern_spans(text, k) for k in KINDS]
-    found = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), *[s.alias(k) for k, s in zip(KINDS, kinds)])
-    base = F.array_sort(F.concat("assign", "access", "hex"))
-    outside = F.filter("owned", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text_hash", base.alias("base"), outside.alias("opaque"))
-    rows = materialize(rows, "secret-candidates")
-
-    each = rows.where("size(base) + size(opaque) > 0").select("row", "source", F.explode(F.concat("base", "opaque")).alias("span"))
-    by_owner = each.select(F.col("span.hash").alias("hash"), "source").distinct()
-    owners = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
-    live = F.col("owners") <= max_owners
-    judged = each.withColumn("hash", F.col("span.hash")).join(owners.select("hash", live.alias("live")), "hash")
-    judged = judged.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("span.start", "span.kind", "span.end", "live"))).alias("judged"))
-
+    rows, spans = judged_spans(docs, max_owners)
+    judged = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("judged"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
     owned = KINDS.index("owned")
     out = rows.join(judged, "row", "left").withColumn("judged", F.coalesce("judged", none))
-    kept = F.filter("judged", lambda s: (s["kind"] != owned) | s["live"])
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    base, kept = F.filter("judged", lambda s: s["kind"] != owned), F.filter("judged", lambda s: (s["kind"] != owned) | s["live"])
+    count = lambda k: F.size(F.filter("judged", lambda s: s["kind"] == k)).cast("long")
     verdict = lambda live: F.size(F.filter("judged", lambda s: s["live"] == F.lit(live))).cast("long")
     return out.select(
         "doc_id", "text_hash",
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
-        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(kept).alias("spans"),
         F.size(F.filter(kept, lambda s: s["kind"] == owned)).cast("long").alias("n_owned"),
         verdict(True).alias("n_live"), verdict(False).alias("n_examples"),
@@ -95,17 +103,23 @@ def scan_secrets(docs: DataFrame, max_owners: int = 2) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every live span of its text replaced by ``mask``; copied examples stay readable."""
-    live = F.filter("found", lambda s: s["live"])
-    # overlapping spans (a hex value inside an assignment) are replaced as one
-    grow = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    merged = F.aggregate(live, F.array().cast("array<struct<start:int,end:int>>"), grow)
-    hits = scan_secrets(docs, **options).where("n_live > 0").select(F.col("doc_id").alias("_secret_d"), F.col("text_hash").alias("_secret_t"), merged.alias("_secret_spans"))
-    hits = hits.dropDuplicates(["_secret_d", "_secret_t"])
+    """``docs`` with every live span of its text replaced by ``mask``; copied examples stay readable.
+
+    Overlapping spans (a hex value inside an assignment) are replaced as one. Null texts
+    stay null; rows alike in doc_id and text are masked alike; all columns are kept.
+    """
+    rows, spans = judged_spans(docs, **options)
+    in_order = Window.partitionBy("row").orderBy("start", "end")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    live = spans.where("live").withColumn("held", F.coalesce(F.max("end").over(before), F.lit(0)))
+    live = live.withColumn("island", F.sum((F.col("start") >= F.col("held")).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = live.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("held").alias("after"))
+    cuts = cuts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "after"))).alias("_secret_cuts"))
+    hits = rows.join(cuts, "row").select(F.col("doc_id").alias("_secret_d"), F.col("text_hash").alias("_secret_t"), "_secret_cuts").dropDuplicates(["_secret_d", "_secret_t"])
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_secret_d"]) & (F.xxhash64(docs["text"]) == hits["_secret_t"]), "left")
-    masked = F.aggregate(F.reverse("_secret_spans"), docs["text"], lambda acc, s: F.overlay(acc, F.lit(mask), s["start"] + 1, s["end"] - s["start"]))
-    text = F.when(F.col("_secret_spans").isNull(), docs["text"]).otherwise(masked)
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    text = docs["text"]
+    cuts = hits["_secret_cuts"]
+    pieces = F.transform(cuts, lambda s: F.concat(F.substring(text, s["after"] + 1, s["start"] - s["after"]), F.lit(mask)))
+    rest = F.substring(text, F.element_at(cuts, -1)["end"] + 1, F.length(text))
+    masked = F.when(cuts.isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return joined.select(*[masked.alias("text") if c == "text" else docs[c] for c in docs.columns])

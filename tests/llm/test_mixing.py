@@ -49,6 +49,47 @@ def test_large_source_goes_through_several_levels(spark):
     assert len(got) == 6000 and abs((got["size"] * got.copies).sum() - got.target.iloc[0]) <= 37
 
 
+def test_rounding_by_hand(spark):
+    """One block, one source: every meeting leaves one item whole, and the weighted sum never moves."""
+    sizes = [3, 5, 7, 11, 2]
+    items = [(i, "s", float(x), 0.4, i) for i, x in enumerate(sizes)]
+    rest = spark.createDataFrame(items, "id long, source string, size double, p double, row long").withColumn("n_items", F.lit(5).cast("long"))
+    for seed in range(12):
+        got = mixing._round_level(rest, 0, seed).collect()
+        fractional = [r for r in got if r.p not in (0.0, 1.0)]
+        assert len(got) == 5 and len(fractional) <= 1
+        assert sum(r.size * r.p for r in got) == pytest.approx(0.4 * sum(sizes)) and all(0 <= r.p <= 1 for r in got)
+
+
+def test_expected_copies_are_kept(spark):
+    """Over many seeds each item is taken as often as its share says."""
+    items = spark.createDataFrame([(i, "s", float(x), 0.3, i) for i, x in enumerate([4, 9, 2, 8])], "id long, source string, size double, p double, row long").withColumn("n_items", F.lit(4).cast("long"))
+    many = items.crossJoin(spark.range(3000).select(F.col("id").alias("n"))).withColumn("id", F.xxhash64("id", "n")).withColumn("source", F.col("n").cast("string"))
+    got = mixing._round_level(many, 0, 5).groupBy("row").agg(F.avg("p").alias("p")).collect()
+    assert [round(abs(r.p - 0.3), 1) for r in got] == [0.0] * 4
+
+
+def test_many_sources_and_repeated_rows(spark):
+    items = spark.range(4000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("source"), (F.col("id") % 50 + 1).alias("size"))
+    got = {r.source: r.target for r in mixing.source_targets(items).collect()}
+    assert got == pytest.approx(reshared({f"h{i}": i % 50 + 1 for i in range(4000)}))
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") % 3 > 0, "a").alias("source"))
+    docs = docs.unionByName(docs.select((F.col("doc_id") * 0).cast("long").alias("doc_id"), F.lit("x " * 9000).alias("text"), F.lit("b").alias("source")).limit(1))
+    rows = mixing.mix_documents(docs).collect()
+    assert len(rows) == 3001
+    taken = {s: sum(r.taken for r in rows if r.source == s) for s in ("a", None)}
+    target = {r.source: r.target for r in rows}
+    assert all(abs(taken[s] - target[s]) <= 3 for s in taken)
+    again = mixing.mix_documents(docs.repartition(5)).collect()
+    assert sorted((str(r.source), r.taken) for r in again) == sorted((str(r.source), r.taken) for r in rows)
+
+
+def test_clashing_columns_of_the_stage(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", 7, "t") for i in range(20)], "doc_id long, text string, source string, _mix_text int, t string")
+    out = mixing.repeat_by_mix(docs)
+    assert out.columns == docs.columns and {(r._mix_text, r.t) for r in out.collect()} <= {(7, "t")}
+
+
 def test_edge_cases(spark):
     schema = "doc_id long, text string, source string, copies string, size string"
     docs = spark.createDataFrame([(1, None, "a", "x", "y"), (2, "", None, "x", "y"), (3, "w " * 5000, "a", "x", "y"), (3, "w " * 5000, "a", "x", "y"), (None, "b c", None, None, None)], schema)

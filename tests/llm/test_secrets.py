@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -66,6 +67,24 @@ def test_tricky_texts_and_edge_cases(spark):
     assert secrets.scan_secrets(nulls).first().n_assign == 1
 
 
+def test_dense_hits_in_one_text_take_time_in_proportion(spark):
+    dense = " ".join(f"{i:016x}" for i in range(50_000)) + " " + " ".join(f"Zx81Qp47LmNo39Ty{i:05d}" for i in range(5_000))
+    docs = spark.createDataFrame([(1, dense, "s"), (2, "nothing here", "s")], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    check(got.values(), {1: dense, 2: "nothing here"})
+    assert got[1].n_hex == 50_000 and got[1].n_owned == 5_000 and time.time() - began < 60
+
+
+def test_opaque_runs_that_meet_base_spans_are_left_out(spark):
+    text = "token=Zx81Qp47LmNo39TyUv55-more_9 x-Zx81Qp47LmNo39TyUv55-0123456789abcdef0 Zx81Qp47LmNo39TyUv56"
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    owned = [tuple(map(int, s.split(":")[1:])) for s in got.spans.split(",") if s.startswith("owned")]
+    base = [(a, b) for a, _, b in brute(text)]
+    runs = [(m.start(), m.end()) for m in re.finditer(secrets.PATTERNS["owned"][0], text)]
+    assert owned == [(a, b) for a, b in runs if not any(x < b and a < y for x, y in base)] and len(owned) == 1
+
+
 def test_widely_copied_values_are_examples(spark):
     docs = tricky(spark, [(100 + i, "see token=EXAMPLEexample123456 and Zx11Qp47LmNo39TyUv00 here", f"o{i}", 0) for i in range(12)])
     rows = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
