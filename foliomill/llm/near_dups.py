@@ -190,8 +190,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     heads = nearest.groupBy("dst").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 9 / block_bytes)).cast("int").alias("parts"))
     follow = nearest.join(heads, "dst").select("dst", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int").alias("part"), F.col("src").alias("cls"), F.lit(False).alias("head"))
     lead = heads.select("dst", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("dst").alias("cls"), F.lit(True).alias("head"))
-    weight = nearest.agg(F.sum("size")).first()[0] or 0
-    tasks = max(1, int(weight * 9 // block_bytes))
+    weight = nearest.agg(F.sum("size"), F.count(F.lit(1))).first()
+    tasks = max(1, int((weight[0] or 0) * 9 // block_bytes), weight[1] // block)
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("doc_id is not null")
     known_as = classes.select("cls", "rep", "set_key", "sketch")
 
