@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,13 @@ NO_CONTENT = "NO_CONTENT"
 DOC_TYPES = ("engineering_manual", "install_manual", "datasheet", "user_manual", "other")
 
 
+#: all white space, as the Unicode standard lists it, and the four separators U+001C to U+001F
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -59,26 +65,27 @@ def is_toc_line(c: Column) -> Column:
     return c.rlike(TOC_LINE)
 
 
-def _share(c: Column, pattern: str, least: float, lines: int) -> Column:
+def _share(c: Column, test: Callable[[Column], Column], least: float, lines: int) -> Column:
     every = text_lines(c)
-    hits = F.size(F.filter(every, lambda x: x.rlike(pattern)))
+    hits = F.size(F.filter(every, test))
     return (F.size(every) >= lines) & (hits >= F.lit(least) * F.size(every))
 
 
 def is_table(c: Column) -> Column:
-    return _share(c, r"\|", 0.8, 2)
+    return c.contains("|") & _share(c, lambda x: x.contains("|"), 0.8, 2)
 
 
 def is_procedure(c: Column) -> Column:
-    return _share(c, STEP_LINE, 0.6, 1)
+    return c.rlike(r"(?U)\d[.)]") & _share(c, lambda x: x.rlike(STEP_LINE), 0.6, 1)
 
 
 def is_heading_shaped(c: Column) -> Column:
-    return (F.size(text_lines(c)) == 1) & (F.length(c) <= MAX_HEADING_CHARS) & ~c.rlike(r"[.,;:]$") & ~c.rlike(FIELD_LINE)
+    return (F.length(c) <= MAX_HEADING_CHARS) & (F.size(text_lines(c)) == 1) & ~c.rlike(r"[.,;:]$") & ~c.rlike(FIELD_LINE)
 
 
-def block_kind(c: Column, repeated: Column) -> Column:
-    return F.when(is_table(c), "table").when(is_procedure(c), "procedure").when(is_heading_shaped(c) & ~repeated, "heading").otherwise("text")
+def block_kind(c: Column, is_heading: Column) -> Column:
+    """The first that fits of table, procedure, heading (as the caller knows), text."""
+    return F.when(is_table(c), "table").when(is_procedure(c), "procedure").when(is_heading, "heading").otherwise("text")
 
 
 def is_table_dense(c: Column) -> Column:
@@ -130,7 +137,8 @@ def parse_metadata(raw: Column) -> Column:
 
 
 def form_text(c: Column) -> Column:
-    return F.nullif(F.btrim(c), F.lit(""))
+    """Stripped of all white space at the ends; blank as null."""
+    return F.nullif(strip(c), F.lit(""))
 
 
 def looks_like_prose(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """From clean pages to chunks: block kinds, sections, packing with overlap, runts.
 
-Order-dependent steps are ordered folds over one document's blocks. A fold carries block
-numbers only, never texts, so its state stays small; texts are joined once at the end.
+Order-dependent steps are windows over one document's blocks where a block's neighbour
+decides, and one ordered fold for packing. The fold sees numbers and token counts only; texts
+stay in rows of their own and are joined by span, so no row ever holds a document.
 """
 
 from __future__ import annotations
@@ -12,31 +13,30 @@ from pyspark.sql.window import Window
 
 from foliomill.functions import text as T
 from foliomill.operators.cleaning import page_blocks
+from foliomill.plans.workspace import materialize
 
 
 def _in_order():
     return Window.partitionBy("document_id").orderBy("page", "pos")
 
 
-
 def repeated_headings(blocks: DataFrame, least_pages: int = 3) -> DataFrame:
     """document_id, heading, pages of heading-shaped paragraphs on several pages."""
-    shaped = blocks.where(T.is_heading_shaped(F.col("block"))).select("document_id", T.normalize_heading(F.col("block")).alias("heading"), "page").distinct()
+    if "heading" not in blocks.columns:
+        blocks = blocks.withColumn("heading", F.when(T.is_heading_shaped(F.col("block")), T.normalize_heading(F.col("block"))))
+    shaped = blocks.where("heading is not null").select("document_id", "heading", "page").distinct()
     return shaped.groupBy("document_id", "heading").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
 
 
 def typed_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks with kind, tokens, and the page's extraction_path and structural flag where it has them."""
-    blocks = page_blocks(pages)
+    """Blocks with kind, tokens, and the page's extraction_path and structural flag (``text`` and false where it has none)."""
+    blocks = page_blocks(pages).withColumn("heading", F.when(T.is_heading_shaped(F.col("block")), T.normalize_heading(F.col("block"))))
     repeated = repeated_headings(blocks).select("document_id", "heading", F.lit(True).alias("again"))
-    typed = blocks.withColumn("heading", T.normalize_heading(F.col("block"))).join(repeated, ["document_id", "heading"], "left")
-    typed = typed.withColumn("kind", T.block_kind(F.col("block"), F.coalesce("again", F.lit(False)))).drop("heading", "again")
-    extra = [c for c in ("extraction_path", "structural") if c in pages.columns]
-    if extra:
-        typed = typed.join(pages.select("document_id", "page", *extra), ["document_id", "page"])
+    typed = blocks.join(repeated, ["document_id", "heading"], "left")
+    kind = T.block_kind(F.col("block"), F.col("heading").isNotNull() & F.col("again").isNull())
     for name, default in (("extraction_path", F.lit("text")), ("structural", F.lit(False))):
-        typed = typed.withColumn(name, F.coalesce(name, default) if name in extra else default)
-    return typed.withColumn("tokens", T.estimate_tokens(F.col("block")))
+        typed = typed.withColumn(name, F.coalesce(name, default) if name in typed.columns else default)
+    return typed.select("document_id", "page", "pos", "block", "extraction_path", "structural", kind.alias("kind"), T.estimate_tokens(F.col("block")).alias("tokens"))
 
 
 def merge_atomic(blocks: DataFrame) -> DataFrame:
@@ -62,22 +62,28 @@ def with_sections(blocks: DataFrame) -> DataFrame:
 def pack(blocks: DataFrame, most: int = 1000, overlap: int = 100) -> DataFrame:
     """Greedy packing; chunks may share ``overlap`` tokens of whole blocks, tables and procedures are never split.
 
+    A block that does not fit closes the open chunk; the next one begins with the shortest
+    tail of whole blocks that holds ``overlap`` tokens. A table or procedure of over ``most``
+    tokens is a chunk of its own. A chunk's section is the one at the block that opened it.
     Result: document_id, chunk_index, content, page_start, page_end, section,
     extraction_path, structural, token_count.
     """
-    ordered = blocks.withColumn("before", F.coalesce(F.sum("tokens").over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    before = F.coalesce(F.sum("tokens").over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    placed = blocks.withColumn("before", before).withColumn("i", F.row_number().over(_in_order()))
     if "page_end" not in blocks.columns:
-        ordered = ordered.withColumn("page_end", F.col("page"))
-    fields = ["page", "pos", "page_end", "kind", "block", "extraction_path", "structural", "tokens", "section", "before"]
-    documents = ordered.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("b"))
+        placed = placed.withColumn("page_end", F.col("page"))
+    placed = materialize(placed, "pack-blocks")
+    atomic = F.col("kind").isin("table", "procedure")
+    documents = placed.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("i", "tokens", "before", atomic.alias("atomic")))).alias("b"))
     span = "array<struct<first:int,last:int,section_at:int>>"
     one = lambda a, z, s: F.array(F.struct(a.cast("int").alias("first"), z.cast("int").alias("last"), s.cast("int").alias("section_at")))
     none = F.array().cast(span)
     at = lambda i: F.element_at("b", i.cast("int"))
+
     # blocks are numbered from 1; the open chunk is first..i-1, empty where first = i
     def step(acc, i):
         x, is_open = at(i), acc["first"] < i
-        alone = x["kind"].isin("table", "procedure") & (x["tokens"] > most)
+        alone = x["atomic"] & (x["tokens"] > most)
         flush = F.when(is_open, one(acc["first"], i - 1, acc["section_at"])).otherwise(none)
         full = is_open & (x["before"] - at(acc["first"])["before"] + x["tokens"] > most)
         tail = F.filter(F.sequence(acc["first"], i - 1), lambda s: x["before"] - at(s)["before"] >= overlap)
@@ -92,48 +98,39 @@ def pack(blocks: DataFrame, most: int = 1000, overlap: int = 100) -> DataFrame:
     n = F.size("b")
     begin = F.struct(F.lit(1).alias("first"), F.lit(1).alias("section_at"), none.alias("out"))
     finish = lambda acc: F.concat(acc["out"], F.when(acc["first"] <= n, one(acc["first"], n, acc["section_at"])).otherwise(none))
-    spans = documents.withColumn("spans", F.aggregate(F.sequence(F.lit(1), n), begin, step, finish))
-    chunks = spans.select("document_id", "b", F.posexplode("spans").alias("chunk_index", "s"))
-    part = F.slice("b", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1)
-    chunks = chunks.select("document_id", "chunk_index", part.alias("p"), F.element_at("b", F.col("s.section_at"))["section"].alias("section"))
-    content = F.array_join(F.col("p.block"), "\n\n")
-    return chunks.select(
-        "document_id", "chunk_index", content.alias("content"), F.array_min("p.page").alias("page_start"), F.array_max("p.page_end").alias("page_end"), "section",
-        F.when(F.forall("p", lambda x: x["extraction_path"] == "text"), "text").otherwise("vision").alias("extraction_path"),
-        F.exists("p", lambda x: x["structural"]).alias("structural"), T.estimate_tokens(content).alias("token_count"),
+    spans = documents.select("document_id", F.posexplode(F.aggregate(F.sequence(F.lit(1), n), begin, step, finish)).alias("chunk_index", "s"))
+    members = spans.select("document_id", "chunk_index", "s.section_at", F.explode(F.sequence("s.first", "s.last")).alias("i"))
+    parts = members.join(placed.select("document_id", "i", "block", "page", "page_end", "section", "extraction_path", "structural"), ["document_id", "i"])
+    chunks = parts.groupBy("document_id", "chunk_index").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("i", "block")))["block"], "\n\n").alias("content"), F.min("page").alias("page_start"), F.max("page_end").alias("page_end"),
+        F.max(F.when(F.col("i") == F.col("section_at"), F.col("section"))).alias("section"),
+        F.when(F.bool_and(F.col("extraction_path") == "text"), "text").otherwise("vision").alias("extraction_path"), F.bool_or("structural").alias("structural"),
     )
+    return chunks.withColumn("token_count", T.estimate_tokens(F.col("content")))
 
 
 def merge_runts(chunks: DataFrame, least: int = 50) -> DataFrame:
     """Short chunks join the chunk before them if it has their section and is not structural; else they are tagged.
 
-    Result: document_id, chunk_index (anew), content, page_start, page_end, section,
-    extraction_path, token_count, section_type (null, ``structural`` or ``runt``).
+    A chunk that has taken others in keeps its section and is structural or not as before,
+    so whether a chunk joins depends on its neighbour alone: islands in a window. An island
+    of under ``least`` tokens is a runt. Result: document_id, chunk_index (anew), content,
+    page_start, page_end, section, extraction_path, token_count, section_type (null,
+    ``structural`` or ``runt``).
     """
-    fields = ["chunk_index", "content", "page_start", "page_end", "section", "extraction_path", "structural", "token_count"]
-    documents = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
-    shape = "struct<first:int,last:int,chars:int,tokens:int,kind:string,section:string>"
-
-    def step(acc, x):
-        chars = F.length(x["content"])
-        kind = F.when(x["structural"], "structural").when(x["token_count"] < least, "runt")
-        prev = F.get(acc, F.size(acc) - 1)
-        joined = prev["chars"] + 2 + chars
-        tokens = F.greatest(F.lit(1), F.floor(joined / 4).cast("int"))
-        merge = (F.size(acc) > 0) & ~x["structural"] & (x["token_count"] < least) & ~F.coalesce(prev["kind"] == "structural", F.lit(False)) & prev["section"].eqNullSafe(x["section"])
-        row = lambda first, last, ch, tok, k, s: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), ch.cast("int").alias("chars"), tok.cast("int").alias("tokens"), k.cast("string").alias("kind"), s.alias("section"))
-        grown = row(prev["first"], x["chunk_index"], joined, tokens, F.when(tokens < least, prev["kind"]), prev["section"])
-        alone = row(x["chunk_index"], x["chunk_index"], chars, x["token_count"], kind, x["section"])
-        return F.when(merge, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(alone)))
-
-    merged = documents.select("document_id", "c", F.posexplode(F.aggregate("c", F.array().cast(f"array<{shape}>"), step)).alias("chunk_index", "m"))
-    part = F.slice("c", F.col("m.first") + 1, F.col("m.last") - F.col("m.first") + 1)
-    rows = merged.select("document_id", "chunk_index", "m", part.alias("p"))
-    return rows.select(
-        "document_id", "chunk_index", F.array_join(F.col("p.content"), "\n\n").alias("content"), F.element_at("p", 1)["page_start"].alias("page_start"), F.array_max("p.page_end").alias("page_end"), F.col("m.section").alias("section"),
-        F.when(F.forall("p", lambda x: x["extraction_path"] == "text"), "text").otherwise("vision").alias("extraction_path"),
-        F.col("m.tokens").alias("token_count"), F.col("m.kind").alias("section_type"),
+    order = Window.partitionBy("document_id").orderBy("chunk_index")
+    before = F.lag(F.struct("section", "structural")).over(order)
+    joins = F.col("before").isNotNull() & ~F.col("structural") & (F.col("token_count") < least) & ~F.col("before")["structural"] & F.col("before")["section"].eqNullSafe(F.col("section"))
+    fresh = F.when(joins, 0).otherwise(1)
+    islands = chunks.withColumn("before", before).withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    in_order = lambda c: F.min_by(c, "chunk_index").alias(c)
+    merged = islands.groupBy("document_id", "island").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("chunk_index", "content")))["content"], "\n\n").alias("content"), in_order("page_start"), F.max("page_end").alias("page_end"), in_order("section"),
+        F.when(F.bool_and(F.col("extraction_path") == "text"), "text").otherwise("vision").alias("extraction_path"), F.bool_or("structural").alias("structural"),
     )
+    merged = merged.withColumn("token_count", T.estimate_tokens(F.col("content")))
+    kind = F.when(F.col("structural"), "structural").when(F.col("token_count") < least, "runt")
+    return merged.select("document_id", (F.col("island") - 1).cast("int").alias("chunk_index"), "content", "page_start", "page_end", "section", "extraction_path", "token_count", kind.alias("section_type"))
 
 
 def chunk_documents(pages: DataFrame, most: int = 1000, overlap: int = 100, least: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.plans.ordering import running
 from foliomill.plans.workspace import materialize
 
 
@@ -64,6 +65,26 @@ def cluster_sizes(components: DataFrame, least: int = 2) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= least)
 
 
+def dense_clusters(components: DataFrame, order: str = "node") -> DataFrame:
+    """(node, component, cluster): clusters numbered from 0 in the order of their first member by ``order``."""
+    first = components.groupBy("component").agg(F.min(order).alias("first"))
+    numbered = running(first, [F.col("first"), F.col("component")]).select("component", F.col("position").alias("cluster"))
+    return components.join(numbered, "component").select("node", "component", "cluster")
+
+
+def graph_nodes(nodes: DataFrame, edges: DataFrame, components: DataFrame, documents: DataFrame, colours: DataFrame) -> DataFrame:
+    """(node, document_id, document_name, degree, cluster, cluster_size, hue) of ``nodes`` (node, document_id).
+
+    ``documents`` gives names (file_name; ``?`` where there is none), ``colours`` hues by
+    document; a node without edges has degree 0 and a cluster of its own.
+    """
+    clusters = dense_clusters(components)
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
+    out = nodes.select("node", "document_id").join(clusters, "node", "left").join(sizes, "component", "left").join(degrees(edges), "node", "left")
+    out = out.join(documents.select("document_id", F.col("file_name").alias("document_name")), "document_id", "left").join(colours.select("document_id", "hue"), "document_id", "left")
+    return out.select("node", "document_id", F.coalesce("document_name", F.lit("?")).alias("document_name"), F.coalesce("degree", F.lit(0)).alias("degree"), "cluster", F.coalesce("cluster_size", F.lit(1)).alias("cluster_size"), "hue")
+
+
 def document_graph(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """(doc_a, doc_b, links, similarity): edges between chunks of different documents, by pair; ``owners`` is (node, document)."""
     a = owners.select(F.col("node").alias("source"), F.col("document").alias("x"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import zlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 
@@ -37,7 +38,13 @@ class HashingProvider:
         return "NO_CONTENT"
 
 
-def with_retries(call: Callable, attempts: int = 5, least: float = 2.0, most: float = 60.0, retry: Callable[[Exception], bool] = lambda e: True, sleep: Callable[[float], None] = time.sleep) -> Callable:
+def is_transient(error: Exception) -> bool:
+    """Lost connections, timeouts, too many requests and server errors pass; other errors stay."""
+    status = getattr(error, "status_code", None)
+    return isinstance(error, (ConnectionError, TimeoutError)) or (isinstance(status, int) and (status == 429 or status >= 500))
+
+
+def with_retries(call: Callable, attempts: int = 5, least: float = 2.0, most: float = 60.0, retry: Callable[[Exception], bool] = is_transient, sleep: Callable[[float], None] = time.sleep) -> Callable:
     """``call`` tried again on passing errors, with waits that double from ``least`` to ``most`` seconds."""
 
     def run(*args, **kwargs):
@@ -52,3 +59,35 @@ def with_retries(call: Callable, attempts: int = 5, least: float = 2.0, most: fl
                 wait = min(most, 2 * wait)
 
     return run
+
+
+def with_timeout(call: Callable, seconds: float) -> Callable:
+    """``call`` given up after so many seconds with a TimeoutError; what it does meanwhile is left to itself."""
+
+    def run(*args, **kwargs):
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(call, *args, **kwargs).result(seconds)
+        finally:
+            pool.shutdown(wait=False)
+
+    return run
+
+
+class PatientProvider:
+    """Another provider's calls with a time limit, tried again on passing errors."""
+
+    def __init__(self, provider: Provider, seconds: float = 120.0, **retries) -> None:
+        self.provider, self.seconds, self.retries = provider, seconds, retries
+
+    def _ask(self, name: str, *args):
+        return with_retries(with_timeout(getattr(self.provider, name), self.seconds), **self.retries)(*args)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._ask("embed", texts)
+
+    def complete(self, prompt: str) -> str:
+        return self._ask("complete", prompt)
+
+    def transcribe(self, image: bytes, prompt: str) -> str:
+        return self._ask("transcribe", image, prompt)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.text import needs_vision
+from foliomill.functions.text import NO_CONTENT, cut_repetition, needs_vision, without_sentinel
+
+TRANSCRIBE = f"Write down all text of this page in reading order, tables as rows with | between cells. Answer {NO_CONTENT} if there is nothing to read."
 
 
 def pixel_figures(pixels: DataFrame, cell: int = 10, white: int = 250, blank_share: float = 0.002, texture: float = 12.0, flat_share: float = 0.3) -> DataFrame:
@@ -30,3 +35,31 @@ def triage(pages: DataFrame, figures: DataFrame | None = None) -> DataFrame:
     seen = figures.select("page_id", (F.col("blank") | F.col("flat")).alias("nothing"))
     joined = pages.join(seen, "page_id", "left").withColumn("nothing", F.coalesce("nothing", F.lit(True)))
     return joined.withColumn("extraction_path", F.when(needs_vision(F.col("text"), F.col("nothing")), "vision").otherwise("text")).drop("nothing")
+
+
+def transcribe(pages: DataFrame, provider, prompt: str = TRANSCRIBE) -> DataFrame:
+    """``pages`` (document_id, page, text, image, extraction_path) with the texts of vision pages read from their images.
+
+    Replies are cut where they fall into a loop, and one that says that there is nothing to
+    read gives an empty text. ``error`` is null, or says why a page could not be read; its
+    text stays as it was. The image column is dropped. Only vision pages go to the provider.
+    """
+    kind = pages.schema["document_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replies, errors = [], []
+            for image in batch.column(2).to_pylist():
+                try:
+                    replies.append(provider.transcribe(image, prompt))
+                    errors.append(None)
+                except Exception as error:  # one unreadable page must not fail its whole task
+                    replies.append(None)
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(replies, pa.string()), pa.array(errors, pa.string()), batch.column(3)], names=["document_id", "page", "reply", "error", "text"])
+
+    seen = pages.where("extraction_path = 'vision'").select("document_id", "page", "image", "text").mapInArrow(read, f"document_id {kind}, page {pages.schema['page'].dataType.simpleString()}, reply string, error string, text string")
+    reply = without_sentinel(cut_repetition(F.col("reply")))
+    seen = seen.select("document_id", "page", F.coalesce(reply, "text").alias("text"), F.lit("vision").alias("extraction_path"), "error")
+    rest = pages.where("extraction_path = 'text'").select("document_id", "page", "text", "extraction_path", F.lit(None).cast("string").alias("error"))
+    return rest.unionByName(seen)

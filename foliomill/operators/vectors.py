@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -17,6 +18,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def usable(vector: str = "embedding") -> Column:
+    """Not null, not zero, all components finite."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda x: x != 0)
+
+
 def retrievable(chunks: DataFrame) -> DataFrame:
     """Chunks that retrieval may use: embedded, and not set aside unless overridden."""
     overridden = F.coalesce(F.col("retrieval_override") == "true", F.lit(False))
@@ -25,30 +32,35 @@ def retrievable(chunks: DataFrame) -> DataFrame:
 
 def search(chunks: DataFrame, query: list[float], k: int = 40) -> DataFrame:
     """(chunk_id, similarity) of the k retrievable chunks nearest to one query; ties by id. A bounded top-k plan."""
+    if not query:  # a blank query finds nothing
+        return chunks.select("chunk_id", F.lit(None).cast("double").alias("similarity")).limit(0)
     vector = F.array(*[F.lit(float(x)) for x in query])
-    scored = retrievable(chunks).select("chunk_id", cosine(F.col("embedding"), vector).alias("similarity")).where("similarity is not null")
+    scored = retrievable(chunks).where(usable() & (F.size("embedding") == len(query))).select("chunk_id", cosine(F.col("embedding"), vector).alias("similarity")).where("similarity is not null")
     return scored.orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
 
-def knn_edges(chunks: DataFrame, k: int = 5, threshold: float = 0.75, blocks: int = 8) -> DataFrame:
+def knn_edges(chunks: DataFrame, k: int = 5, threshold: float = 0.75, block: int = 4096) -> DataFrame:
     """(chunk_id, neighbor_id, similarity): each chunk's k nearest others, then only those at the threshold or above.
 
-    Exact. Both sides are cut into ``blocks`` and every pair of blocks is one group of two
-    matrices; a cell gives at most k rows per chunk, so what shuffles is blocks * k rows a
-    chunk and never a row per pair. More blocks bound a task's memory for larger tables.
+    Exact. Both sides are cut into blocks of about ``block`` rows and every pair of blocks
+    is one group of two matrices, so a task's memory does not grow with the table; a cell
+    gives at most k rows per chunk, so what shuffles is k rows a chunk and block and never
+    a row per pair. The work grows with the square of the rows; very large tables are for
+    an approximate index. Vectors that are null, zero or hold a null or non-finite
+    component take no part; vectors of unlike dimensions are never compared.
     """
-    rows = retrievable(chunks).select("chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows = rows.where(F.exists("v", lambda x: x != 0))
+    rows = retrievable(chunks).where(usable()).select("chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("width", F.size("v"))
+    blocks = max(1, -(-rows.count() // block))
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     mine = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
-    left = rows.select(mine.alias("i"), each.alias("j"), F.col("chunk_id").alias("id"), "v")
-    right = rows.select(each.alias("i"), mine.alias("j"), F.col("chunk_id").alias("id"), "v")
+    left = rows.select("width", mine.alias("i"), each.alias("j"), F.col("chunk_id").alias("id"), "v")
+    right = rows.select("width", each.alias("i"), mine.alias("j"), F.col("chunk_id").alias("id"), "v")
     kind = chunks.schema["chunk_id"].dataType.simpleString()
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if a.num_rows and b.num_rows:
-            x, y = (np.array(t["v"].to_pylist()) for t in (a, b))
+            x, y = (t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (a, b))
             x, y = (m / np.sqrt((m**2).sum(1, keepdims=True)) for m in (x, y))
             ids, others = a["id"].to_pylist(), b["id"].to_pylist()
             order = np.argsort(np.array(others), kind="stable")
@@ -62,32 +74,57 @@ def knn_edges(chunks: DataFrame, k: int = 5, threshold: float = 0.75, blocks: in
                     out[2].extend(float(sims[n, c]) for c in near)
         return pa.table({"chunk_id": pa.array(out[0], a["id"].type), "neighbor_id": pa.array(out[1], a["id"].type), "similarity": pa.array(out[2], pa.float64())})
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, f"chunk_id {kind}, neighbor_id {kind}, similarity double")
+    found = left.groupBy("width", "i", "j").cogroup(right.groupBy("width", "i", "j")).applyInArrow(cell, f"chunk_id {kind}, neighbor_id {kind}, similarity double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("similarity"), "neighbor_id")))
     return ranked.where((F.col("rank") <= k) & (F.col("similarity") >= threshold)).drop("rank")
 
 
 def embed(chunks: DataFrame, provider, key: str = "chunk_id", content: str = "content", batch: int = 16) -> DataFrame:
-    """(key, embedding) by a provider with ``embed(list[str]) -> list[list[float]]``, ``batch`` texts a call.
+    """``chunks`` with the vectors that are null filled in, and ``embed_error`` (null where all went well).
 
-    The provider is sent to the executors once and called per partition; a repeated task
-    asks again for the same texts, so providers must be safe to call twice.
+    A provider has ``embed(list[str]) -> list[list[float]]`` and is asked for ``batch`` texts
+    a call, rows that have a vector already aside. If a call fails, its texts are asked for
+    one by one; those that fail again stay without a vector and with the error. The provider is sent to the
+    executors once; a repeated task asks again for the same texts.
     """
-    kind = chunks.schema[key].dataType.simpleString()
+    names = chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for at in range(0, rows.num_rows, batch):
-                part = rows.slice(at, batch)
-                vectors = provider.embed([x or "" for x in part.column(1).to_pylist()])
-                if len(vectors) != part.num_rows:
-                    raise ValueError(f"{len(vectors)} vectors for {part.num_rows} texts")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=[key, "embedding"])
-
-    return chunks.select(key, content).mapInArrow(run, f"{key} {kind}, embedding array<float>")
+            vectors, texts = rows.column(names.index("embedding")).to_pylist(), rows.column(names.index(content)).to_pylist()
+            errors = [None] * len(vectors)
+            waiting = [range(at, min(at + batch, len(texts))) for at in range(0, len(texts), batch)]
+            while waiting:
+                part = waiting.pop()
+                try:
+                    fresh = provider.embed([texts[i] or "" for i in part])
+                    if len(fresh) != len(part):
+                        raise ValueError(f"{len(fresh)} vectors for {len(part)} texts")
+                    vectors[part.start : part.stop] = fresh
+                except Exception as error:  # one text's failure must not undo the others: they are asked for singly
+                    if len(part) > 1:
+                        waiting += [range(i, i + 1) for i in part]
+                    else:
+                        errors[part.start] = f"{type(error).__name__}: {error}"
+            columns = [pa.array(vectors, pa.list_(pa.float32())) if n == "embedding" else c for n, c in zip(names, rows.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(errors, pa.string())], names=[*names, "embed_error"])
+
+    fresh = chunks.where(F.col("embedding").isNull()).mapInArrow(run, StructType([*chunks.schema.fields, StructField("embed_error", StringType())]))
+    return chunks.where(F.col("embedding").isNotNull()).withColumn("embed_error", F.lit(None).cast("string")).unionByName(fresh)
 
 
 def embed_pending(chunks: DataFrame, provider, **options) -> DataFrame:
-    """``chunks`` with the vectors that are null filled in; others are left alone."""
-    fresh = embed(chunks.where(F.col("embedding").isNull()), provider, **options).withColumnRenamed("embedding", "fresh")
-    return chunks.join(fresh, "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "fresh")).drop("fresh").select(*chunks.columns)
+    """``chunks`` with the vectors that are null filled in; others are left alone. A failed call raises."""
+    done = embed(chunks, provider, **options)
+    error = F.concat(F.lit("embedding failed: "), F.col("embed_error"))
+    return done.withColumn("embedding", F.when(F.col("embed_error").isNotNull(), F.raise_error(error).cast("array<float>")).otherwise(F.col("embedding"))).select(*chunks.columns)
+
+
+def query_vector(text: str | None, provider) -> list[float]:
+    """The vector of a search text; none for a blank one."""
+    return list(map(float, provider.embed([text.strip()])[0])) if text and text.strip() else []
+
+
+def missing_vectors(chunks: DataFrame, document_id) -> DataFrame:
+    """One document's chunks that have no vector yet."""
+    return chunks.where((F.col("document_id") == F.lit(document_id)) & F.col("embedding").isNull())

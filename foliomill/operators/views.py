@@ -34,6 +34,23 @@ def chunk_states(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.when(out, "excluded").when(short, "flagged").otherwise("normal").alias("state"), (short & ~out).alias("short_badge"))
 
 
+def graph_chunks(chunks: DataFrame) -> DataFrame:
+    """What a similarity graph shows: embedded chunks, structural ones and runts among them, without their texts."""
+    names = ["chunk_id", "document_id", "chunk_index", "section", "page_start", "page_end", "token_count", "section_type"]
+    return chunks.where(F.col("embedding").isNotNull()).select(*[c for c in names if c in chunks.columns])
+
+
+def status_poll(documents: DataFrame) -> DataFrame:
+    """document_id, status, error_message of all documents."""
+    return documents.select("document_id", "status", "error_message")
+
+
+def with_document_names(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """``chunks`` with ``document_name``, ``?`` where the document or its name is not known."""
+    names = documents.select("document_id", F.col("file_name").alias("document_name"))
+    return chunks.join(names, "document_id", "left").withColumn("document_name", F.coalesce("document_name", F.lit("?")))
+
+
 def document_chunks(chunks: DataFrame, document_id) -> DataFrame:
     return chunks.where(F.col("document_id") == F.lit(document_id)).orderBy("chunk_index")
 
@@ -88,7 +105,8 @@ def approve(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def report_json(report: DataFrame, furniture: DataFrame) -> DataFrame:
     """(document_id, json): the cleaning report with its furniture lines, most pages first."""
     columns = [c for c in furniture.columns if c != "document_id"]
-    lines = furniture.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("page_count", *[c for c in columns if c != "page_count"])), asc=False).alias("furniture"))
+    lines = furniture.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*(["rank"] if "rank" in columns else []), (-F.col("page_count")).alias("order"), *[c for c in columns if c != "rank"]))).alias("furniture"))
+    lines = lines.withColumn("furniture", F.transform("furniture", lambda x: F.struct(*[x[c].alias(c) for c in columns if c != "rank"])))
     both = report.join(lines, "document_id", "left")
     return both.select("document_id", F.to_json(F.struct(*[c for c in both.columns if c != "document_id"])).alias("json"))
 

@@ -16,12 +16,14 @@ _sent: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local runs and tests) a temporary folder is
-    made and registered as the checkpoint folder; a cluster has to name its own.
+    Only where that setting is absent in a local run (as in tests) a temporary folder is
+    made and registered as the checkpoint folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-foliomill-")
@@ -42,6 +44,22 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_working_files(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote for this application; frames that read it can't be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """``table`` dealt to as many partitions as there are cores, if its files give fewer than that.
+
+    A file with one row group is one task however large it is; tables of many files or row
+    groups are left as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def ensure_code(spark: SparkSession) -> None:
     """Let the executors' Python import this package.
 

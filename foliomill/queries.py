@@ -10,12 +10,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliomill.functions import text as T
 from foliomill.operators import chunking, cleaning, flags, graph, store, triage, vectors, views
 from foliomill.operators.providers import HashingProvider
 from foliomill.plans.documents import DocumentPipeline
-from foliomill.plans.workspace import ensure_code, materialize, shared_dir
+from foliomill.plans.workspace import ensure_code, materialize, shared_dir, spread
+from foliomill.sources import files
 from foliomill.streaming.ingest import deduplicate_texts
 
 QUERIES = {}
@@ -34,7 +36,8 @@ def query(sql: str | None = None):
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_code(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def pages_of(spark, sf_dir):
@@ -91,18 +94,17 @@ def furniture_lines_default(spark, sf_dir):
 
 
 @query(f"""WITH {_furniture_sql('0.1')}, first AS (
-  SELECT document_id, normalized, page_count, page, arg_min(line, n) AS line FROM marked JOIN furniture USING (document_id, normalized) WHERE candidate GROUP BY ALL)
-SELECT document_id, normalized, page_count, list(page ORDER BY page)[1:2] AS example_pages, list(line ORDER BY page)[1:2] AS example_lines FROM first GROUP BY 1, 2, 3""")
+  SELECT document_id, normalized, page_count, page, arg_min(line, n) AS line, min(n) AS n FROM marked JOIN furniture USING (document_id, normalized) WHERE candidate GROUP BY ALL)
+SELECT document_id, normalized, page_count, list(page ORDER BY page)[1:2] AS example_pages, list(line ORDER BY page)[1:2] AS example_lines,
+  CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_count DESC, min(page), arg_min(n, page)) AS INT) AS rank FROM first GROUP BY 1, 2, 3""")
 def furniture_examples(spark, sf_dir):
     pages = pages_of(spark, sf_dir)
-    lines = cleaning.page_lines(pages)
-    return cleaning.furniture_examples(lines, cleaning.furniture(pages, lines, 0.1))
+    candidates = materialize(cleaning.candidate_lines(pages), "candidates")
+    return cleaning.furniture_examples(candidates, cleaning.furniture(pages, candidates, 0.1))
 
 
-def _marked(spark, sf_dir):
-    pages = pages_of(spark, sf_dir)
-    lines = cleaning.page_lines(pages)
-    return pages, cleaning.mark_furniture(lines, cleaning.furniture(pages, lines, 0.1))
+def _cleaned(spark, sf_dir, **options):
+    return cleaning.clean(pages_of(spark, sf_dir), 0.1, **options)
 
 
 REPORT = f"""WITH {_furniture_sql('0.1')}, counts AS (
@@ -115,12 +117,12 @@ report AS (
 
 @query(f"{REPORT} SELECT *, stripped_pct > 15 AS safety_rail_triggered FROM report")
 def clean_report(spark, sf_dir):
-    return cleaning.clean_report(*_marked(spark, sf_dir))
+    return _cleaned(spark, sf_dir).report
 
 
 @query(f"{REPORT} SELECT document_id, stripped_pct FROM report WHERE stripped_pct > 1")
 def safety_rail(spark, sf_dir):
-    return cleaning.clean_report(*_marked(spark, sf_dir), rail_pct=1.0).where("safety_rail_triggered").select("document_id", "stripped_pct")
+    return _cleaned(spark, sf_dir, rail_pct=1.0).report.where("safety_rail_triggered").select("document_id", "stripped_pct")
 
 
 @query(f"""WITH {_furniture_sql('0.1')}, kept AS (
@@ -128,17 +130,33 @@ def safety_rail(spark, sf_dir):
   WHERE NOT (candidate AND EXISTS (SELECT 1 FROM furniture f WHERE f.document_id = m.document_id AND f.normalized = m.normalized)) GROUP BY 1, 2)
 SELECT source AS document_id, doc_id AS page, coalesce(kept.text, '') AS text FROM documents LEFT JOIN kept ON document_id = source AND page = doc_id""")
 def cleaned_pages(spark, sf_dir):
-    return cleaning.cleaned_pages(*_marked(spark, sf_dir))
+    return _cleaned(spark, sf_dir).pages.select("document_id", "page", "text")
+
+
+ORDER_PAGES = r"""order_pages AS (
+  SELECT o_custkey AS document_id, o_orderkey AS page, CASE
+    WHEN o_orderpriority LIKE '1%' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Contents' ELSE 'See contents' END || chr(10) || chr(10) || 'Order ' || o_orderkey || ' was placed.'
+    WHEN o_orderpriority LIKE '2%' THEN 'Panel ' || o_orderkey || ' ........ ' || o_orderkey % 1000 || chr(10) || 'Order ' || o_orderkey || ' was placed.'
+    WHEN o_orderpriority LIKE '3%' THEN 'Panel ' || o_orderkey || ' . ' || o_orderkey % 1000 || chr(10) || 'Order ' || o_orderkey || '   ' || o_orderkey
+    ELSE 'Order ' || o_orderkey || ' was placed.' END AS text FROM orders)"""
 
 
-@query(r"""SELECT o_custkey AS document_id, o_orderkey AS page,
-  o_orderpriority LIKE '1%' OR (o_orderpriority LIKE '2%') AS structural FROM orders""")
+@query(rf"""WITH {ORDER_PAGES}, blocks AS (SELECT document_id, page, unnest(string_split(text, chr(10) || chr(10))) AS block FROM order_pages),
+lines AS (SELECT document_id, page, block, string_split(block, chr(10)) AS l FROM blocks)
+SELECT document_id, page, bool_or(len(l) = 1 AND regexp_matches(block, '(?i)^(contents|index|revision|document history)'))
+  OR sum(len(list_filter(l, lambda x: regexp_matches(x, '(\.{{2,}}|\s{{2,}})\s*\d{{1,4}}\s*$')))) >= 0.5 * sum(len(l)) AS structural FROM lines GROUP BY 1, 2""")
 def structural_pages(spark, sf_dir):
     """Contents pages, dot-leader pages and prose, spelled from orders."""
     o = _read(spark, sf_dir, "orders")
-    toc = F.concat(F.lit("Panel "), F.col("o_orderkey").cast("string"), F.lit(" ........ "), (F.col("o_orderkey") % 1000).cast("string"))
-    prose = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" was placed."))
-    text = F.when(F.col("o_orderpriority").startswith("1"), F.concat(F.lit("Contents\n\n"), prose)).when(F.col("o_orderpriority").startswith("2"), F.concat(toc, F.lit("\n"), prose)).otherwise(prose)
+    key, number = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 1000).cast("string")
+    prose = F.concat(F.lit("Order "), key, F.lit(" was placed."))
+    is_a = lambda n: F.col("o_orderpriority").startswith(n)
+    text = (
+        F.when(is_a("1"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Contents").otherwise("See contents"), F.lit("\n\n"), prose))
+        .when(is_a("2"), F.concat(F.lit("Panel "), key, F.lit(" ........ "), number, F.lit("\n"), prose))
+        .when(is_a("3"), F.concat(F.lit("Panel "), key, F.lit(" . "), number, F.lit("\nOrder "), key, F.lit("   "), key))
+        .otherwise(prose)
+    )
     return cleaning.structural_pages(o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("page"), text.alias("text")))
 
 
@@ -152,11 +170,11 @@ def estimate_tokens(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(r"""SELECT o_orderkey, o_orderkey % 3 <> 2 AS is_toc FROM orders""")
+@query(r"""SELECT o_orderkey, regexp_matches(CASE o_orderkey % 4 WHEN 0 THEN 'Wiring ... ' WHEN 1 THEN 'Zones   ' WHEN 2 THEN 'Zones ' ELSE 'Pages  ' END || o_orderkey % 20000, '(\.{2,}|\s{2,})\s*\d{1,4}\s*$') AS is_toc FROM orders""")
 def toc_lines(spark, sf_dir):
     k = F.col("o_orderkey")
-    line = F.when(k % 3 == 0, F.concat(F.lit("Wiring ... "), (k % 100).cast("string"))).when(k % 3 == 1, F.concat(F.lit("Zones   "), (k % 100).cast("string"))).otherwise(F.concat(F.lit("Zones "), (k % 100).cast("string")))
-    return _read(spark, sf_dir, "orders").select(k, T.is_toc_line(line).alias("is_toc"))
+    start = F.when(k % 4 == 0, "Wiring ... ").when(k % 4 == 1, "Zones   ").when(k % 4 == 2, "Zones ").otherwise("Pages  ")
+    return _read(spark, sf_dir, "orders").select(k, T.is_toc_line(F.concat(start, (k % 20000).cast("string"))).alias("is_toc"))
 
 
 SINGLE = r"""raw AS (
@@ -317,10 +335,41 @@ def metadata_parse(spark, sf_dir):
     return c.select("c_custkey", T.parse_metadata(reply).alias("x")).select("c_custkey", "x.manufacturer", "x.doc_type", "x.revision")
 
 
-@query("SELECT sha256(text) AS file_hash, min(doc_id) AS first_id, count(*) - 1 AS duplicates FROM documents GROUP BY 1")
-def ingest_dedupe(spark, sf_dir):
+def _files(spark, sf_dir):
+    """Documents as files; those with an id divisible by 17 can't be read."""
     docs = _read(spark, sf_dir, "documents")
-    return docs.groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.min("doc_id").alias("first_id"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    path = F.concat(F.lit("/inbox/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".pdf"))
+    content = F.when(F.col("doc_id") % 17 > 0, F.encode("text", "utf-8"))
+    return docs.select("doc_id", path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("file_name"), F.sha2(content, 256).alias("file_hash"), content.alias("content"))
+
+
+def _known(spark, sf_dir):
+    return _files(spark, sf_dir).where("doc_id % 7 = 1 and file_hash is not null").select("file_hash").distinct()
+
+
+FILES = """files AS (SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') || '.pdf' AS file_name, CASE WHEN doc_id % 17 > 0 THEN sha256(text) END AS h FROM documents),
+known AS (SELECT DISTINCT h FROM files WHERE doc_id % 7 = 1 AND h IS NOT NULL),
+judged AS (SELECT *, h IS NOT NULL AND (h IN (SELECT h FROM known) OR row_number() OVER (PARTITION BY h ORDER BY file_name) > 1) AS duplicate, h IS NULL AS failed FROM files)"""
+
+
+@query(f"WITH {FILES} SELECT h AS document_id, file_name, h AS file_hash, 'queued' AS status FROM judged WHERE NOT duplicate AND NOT failed")
+def ingest_dedupe(spark, sf_dir):
+    return files.ingest(_files(spark, sf_dir), _known(spark, sf_dir))[0]
+
+
+@query(f"WITH {FILES} SELECT count(*) FILTER (NOT duplicate AND NOT failed) AS ingested, count(*) FILTER (duplicate) AS duplicates, count(*) FILTER (failed) AS failed, count(*) AS total FROM judged")
+def ingest_tallies(spark, sf_dir):
+    return files.ingest(_files(spark, sf_dir), _known(spark, sf_dir))[1]
+
+
+@query(f"WITH {FILES} SELECT '/inbox/' || file_name AS path, file_name, h AS document_id, duplicate, failed FROM judged")
+def ingest_files(spark, sf_dir):
+    return files.ingest_results(_files(spark, sf_dir), _known(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT h AS file_hash, any_value(octet_length(encode(text))) AS bytes FROM files JOIN documents USING (doc_id) WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM known) GROUP BY 1")
+def store_contents(spark, sf_dir):
+    return files.store_files(_files(spark, sf_dir), _known(spark, sf_dir)).select("file_hash", F.octet_length("content").cast("long").alias("bytes"))
 
 
 ELIGIBLE = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 20 = 0)"
@@ -529,12 +578,30 @@ def flat_graphic_grid(spark, sf_dir):
     return triage.pixel_figures(v.select("page_id", "x", "y", gray.alias("gray"))).withColumn("ink", F.round("ink", 6))
 
 
-@query()
+class CountingProvider:
+    """Offline: the figures of a text as its vector, so that SQL can tell them too."""
+
+    def embed(self, texts):
+        return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+    def complete(self, prompt):
+        """The length of the prompt as a revision; every fifth prompt gets no object."""
+        return "no idea" if len(prompt) % 5 == 0 else f'{{"doc_type": "datasheet", "revision": "{len(prompt)}"}}'
+
+    def transcribe(self, image, prompt):
+        """A loop, a blank page, or the number of bytes."""
+        n = len(image)
+        return ["again\n\n" * 5 + "end", "NO_CONTENT", f"{n} bytes"][n % 3]
+
+
+@query("""SELECT doc_id AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE length(text) END::DOUBLE AS chars, CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE length(text) - length(replace(text, ' ', '')) END::DOUBLE AS spaces,
+  CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE length(text) - length(replace(text, chr(10), '')) END::DOUBLE AS breaks FROM documents""")
 def embed_pending(spark, sf_dir):
     """Vectors of every document's text; those with an even id have one already."""
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    known = F.when(F.col("chunk_id") % 2 == 0, F.array_repeat(F.lit(0.5).cast("float"), 64))
-    return vectors.embed_pending(docs.withColumn("embedding", known), HashingProvider()).select("chunk_id", "embedding")
+    known = F.when(F.col("chunk_id") % 2 == 0, F.array_repeat(F.lit(0.5).cast("float"), 3))
+    done = vectors.embed_pending(docs.withColumn("embedding", known), CountingProvider())
+    return done.select("chunk_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("chars", "spaces", "breaks"))])
 
 
 @query()
@@ -554,3 +621,292 @@ def stream_ingest(spark, sf_dir):
     run = fresh.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("file_hash string").parquet(f"{out}/table")
+
+
+def _documents(spark, sf_dir):
+    """Sources as documents; those of an even length of name came with an old error."""
+    docs = _read(spark, sf_dir, "documents").groupBy(F.col("source").alias("document_id")).agg(F.count(F.lit(1)).alias("page_count"))
+    late = F.when(F.length("document_id") % 2 == 0, "late")
+    return docs.select("document_id", "page_count", F.lit("queued").alias("status"), late.alias("error_message"), F.lit(None).cast("string").alias("doc_type"), F.create_map().cast("map<string,string>").alias("metadata"))
+
+
+def _broken(documents):
+    """Documents whose file can't be read: those with few pages for their name."""
+    return documents.where("page_count % 5 = 0").select("document_id", F.lit("ValueError: broken").alias("error_message"))
+
+
+@query(f"""WITH {REPORT.removeprefix("WITH ")},
+d AS (SELECT source AS document_id, count(*) AS n FROM documents GROUP BY 1)
+SELECT document_id, CASE WHEN n % 5 = 0 THEN 'failed' ELSE 'review' END AS status, CASE WHEN n % 5 = 0 THEN 'ValueError: broken' END AS error_message,
+  n % 5 <> 0 AND stripped_pct > 1 AS warned FROM d LEFT JOIN report USING (document_id)""")
+def process_documents(spark, sf_dir):
+    """All stages with states: unreadable documents fail, the safety rail stops some, the others end in review."""
+    documents = _documents(spark, sf_dir)
+    run = DocumentPipeline(CountingProvider(), min_ratio=0.1, rail_pct=1.0).process(documents, pages_of(spark, sf_dir), failures=_broken(documents), ask=False)
+    warned = F.try_element_at("metadata", F.lit("cleaning_warning")).isNotNull()
+    return run.documents.select("document_id", "status", "error_message", warned.alias("warned"))
+
+
+@query(f"""WITH {_furniture_sql('0.1')}, left_over AS (SELECT document_id, normalized FROM furniture WHERE length(normalized) % 2 = 1),
+counts AS (SELECT m.document_id, count(*) AS total_lines, count(*) FILTER (candidate AND f.normalized IS NOT NULL) AS stripped_lines FROM marked m LEFT JOIN left_over f USING (document_id, normalized) GROUP BY 1)
+SELECT document_id, total_lines, stripped_lines FROM counts""")
+def restore_furniture(spark, sf_dir):
+    """People restore the furniture lines of even length; their documents are cleaned again without stripping these."""
+    pages = pages_of(spark, sf_dir)
+    found = cleaning.furniture(pages, min_ratio=0.1)
+    old = found.limit(0).select("document_id", "normalized")
+    json = files.write_overrides(old.select("document_id", F.lit("[]").alias("json")), found.where("length(normalized) % 2 = 0"))
+    again = cleaning.clean(pages, 0.1, overrides=files.read_overrides(json))
+    return again.report.select("document_id", "total_lines", "stripped_lines")
+
+
+@query("""WITH first AS (SELECT source, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3)
+SELECT source AS document_id, string_agg(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10) ORDER BY doc_id) AS prompt_text FROM first GROUP BY 1""")
+def metadata_prompt(spark, sf_dir):
+    return files.prompt_text(pages_of(spark, sf_dir))
+
+
+@query("""WITH first AS (SELECT source, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3),
+prompts AS (SELECT source AS document_id, length(string_agg(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10) ORDER BY doc_id)) + QUESTION AS n FROM first GROUP BY 1)
+SELECT document_id, 'datasheet' AS doc_type, n::VARCHAR AS revision FROM prompts WHERE n % 5 <> 0""".replace("QUESTION", str(len(files.METADATA_QUESTION.format(kinds=", ".join(T.DOC_TYPES))))))
+def infer_metadata(spark, sf_dir):
+    """What the model says about each document's first pages; replies without an object leave a document as it is."""
+    found = DocumentPipeline(CountingProvider()).metadata(_documents(spark, sf_dir), pages_of(spark, sf_dir))
+    return found.select("document_id", "doc_type", "revision")
+
+
+def _extractor(content):
+    """Lines as pages; a text of an odd number of bytes that ends in a full stop is no file."""
+    if len(content) % 2 and content.endswith(b"."):
+        raise ValueError("broken")
+    return [(line.decode(), len(line) % 4 == 0, line) for line in content.split(b"\n")]
+
+
+EXTRACTED = """texts AS (SELECT sha256(text) AS document_id, any_value(text) AS text, max(doc_id % 2) AS odd FROM documents GROUP BY 1),
+files AS (SELECT *, octet_length(encode(text)) % 2 = 1 AND text LIKE '%.' AS broken FROM texts),
+pages AS (SELECT document_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS page, odd FROM files WHERE NOT broken)"""
+
+
+@query(f"""WITH {EXTRACTED}, sized AS (SELECT *, octet_length(encode(text)) AS n FROM pages WHERE page > 1 OR odd = 1)
+SELECT document_id, page::INT AS page, CASE WHEN length(trim(text)) < 50 AND n % 4 <> 0 THEN 'vision' ELSE 'text' END AS extraction_path,
+  CASE WHEN NOT (length(trim(text)) < 50 AND n % 4 <> 0) THEN text WHEN n % 3 = 0 THEN 'again' WHEN n % 3 = 1 THEN '' ELSE n || ' bytes' END AS text FROM sized""")
+def extract_pages(spark, sf_dir):
+    """Files to pages: those done are left out, broken files stand aside, short pages with ink are read by the model."""
+    docs = _read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("file_hash"), F.encode("text", "utf-8").alias("content"), (F.col("doc_id") % 2).alias("odd"))
+    once = docs.groupBy("file_hash").agg(F.first("content").alias("content"), F.max("odd").alias("odd"))
+    done = once.where("odd = 0").select(F.col("file_hash").alias("document_id"), F.lit(1).alias("page"))
+    pages, _ = DocumentPipeline(CountingProvider()).extract(once, done, _extractor)
+    return pages.select("document_id", "page", "extraction_path", "text")
+
+
+@query(f"WITH {EXTRACTED} SELECT document_id, 'ValueError: broken' AS error_message FROM files WHERE broken")
+def extract_failures(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("file_hash"), F.encode("text", "utf-8").alias("content")).dropDuplicates(["file_hash"])
+    done = docs.limit(0).select(F.col("file_hash").alias("document_id"), F.lit(1).alias("page"))
+    return files.extract_pages(docs, done, _extractor)[1]
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'en' THEN 'vision' ELSE 'text' END AS extraction_path, doc_id % 3 = 0 AS structural, text, CASE WHEN doc_id < 100 THEN lpad(doc_id::VARCHAR, 3, '0') ELSE doc_id::VARCHAR END || '.md' AS name FROM documents""")
+def page_files(spark, sf_dir):
+    """Pages written with their markers and read back."""
+    docs = _read(spark, sf_dir, "documents")
+    path, structural = F.when(F.col("lang") == "en", "vision").otherwise("text"), F.col("doc_id") % 3 == 0
+    written = docs.select("doc_id", F.when(structural, T.write_page_file(path, F.col("text"), structural)).otherwise(T.write_page_file(path, F.col("text"))).alias("file"))
+    return written.select("doc_id", T.read_page_file(F.col("file")).alias("x"), T.page_file_name(F.col("doc_id")).alias("name")).select("doc_id", "x.*", "name")
+
+
+@query("""SELECT o_custkey AS document_id, lower(regexp_replace('## ' || o_orderpriority || ' **', '^[#*\\s]+|[#*\\s]+$', '', 'g')) AS heading, count(DISTINCT o_orderkey) AS pages
+FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderkey) >= 3""")
+def headings_on_several_pages(spark, sf_dir):
+    """A page per order under its priority as a heading, in customers' documents."""
+    o = _read(spark, sf_dir, "orders")
+    text = F.concat(F.lit("## "), "o_orderpriority", F.lit(" **\n\nOrder "), F.col("o_orderkey").cast("string"), F.lit(" was placed."))
+    return chunking.repeated_headings(cleaning.page_blocks(o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("page"), text.alias("text"))))
+
+
+TABLE_PAGES = """items AS (SELECT l_orderkey, list(l_partkey || CASE WHEN l_linenumber % 4 = 3 THEN ' of ' ELSE ' | ' END || l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rows FROM lineitem GROUP BY 1),
+typed AS (SELECT l_orderkey, array_to_string(rows, chr(10)) AS block,
+  CASE WHEN len(rows) >= 2 AND len(list_filter(rows, lambda x: contains(x, '|'))) >= 0.8 * len(rows) THEN 'table' WHEN len(rows) = 1 THEN 'heading' ELSE 'text' END AS kind FROM items)"""
+
+
+@query(f"WITH {TABLE_PAGES} SELECT kind, count(*) AS n, sum(greatest(1, length(block) // 4)) AS tokens FROM typed GROUP BY 1")
+def table_blocks(spark, sf_dir):
+    """A page of rows per order: tables where four in five lines hold a cell border, single lines as headings."""
+    border = F.when(F.col("l_linenumber") % 4 == 3, " of ").otherwise(" | ")
+    row = F.concat(F.col("l_partkey").cast("string"), border, F.col("l_suppkey").cast("string"))
+    items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row"))))["row"].alias("rows"))
+    blocks = chunking.typed_blocks(items.select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("page"), F.array_join("rows", "\n").alias("text")))
+    return blocks.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+
+
+STEPS = """items AS (SELECT l_orderkey % 100 AS d, l_orderkey AS page, list((l_linenumber || '. fit part ' || l_partkey) ORDER BY l_linenumber, l_partkey) AS x FROM lineitem GROUP BY 1, 2),
+parts AS (SELECT d, page, array_to_string(x, chr(10)) AS block, len(x) AS steps FROM items),
+both_kinds AS (SELECT d, page, 1 AS pos, block, 'procedure' AS kind FROM parts UNION ALL SELECT d, page, 2, 'Order ' || page || ' is complete.', 'text' FROM parts WHERE page % 2 = 0),
+islands AS (SELECT *, sum(CASE WHEN kind = 'procedure' AND prev = 'procedure' THEN 0 ELSE 1 END) OVER (PARTITION BY d ORDER BY page, pos ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, lag(kind) OVER (PARTITION BY d ORDER BY page, pos) AS prev FROM both_kinds)),
+merged AS (SELECT d, island, any_value(kind) AS kind, string_agg(block, chr(10) ORDER BY page, pos) AS block, min(page) AS page, max(page) AS page_end, bool_and(page % 3 > 0) AS plain, bool_or(page % 7 = 0) AS structural FROM islands GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {STEPS} SELECT d AS document_id, page AS page_start, page_end, block AS content, CASE WHEN plain THEN 'text' ELSE 'vision' END AS extraction_path, structural, greatest(1, length(block) // 4) AS token_count
+FROM merged""")
+def oversized_procedures(spark, sf_dir):
+    """Steps across pages with a limit of one token: each block is a chunk, with its pages, path and structural flag."""
+    pages = _steps(spark, sf_dir).withColumn("extraction_path", F.when(F.col("page") % 3 == 0, "vision").otherwise("text")).withColumn("structural", F.col("page") % 7 == 0)
+    blocks = chunking.with_sections(chunking.merge_atomic(chunking.typed_blocks(pages)))
+    return chunking.pack(blocks, most=1, overlap=0).select("document_id", "page_start", "page_end", "content", "extraction_path", "structural", "token_count")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS seen FROM customer""")
+def vision_sentinel(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer")
+    return c.select("c_custkey", T.without_sentinel(F.when(F.col("c_custkey") % 3 == 0, f" {T.NO_CONTENT}\n").otherwise(F.col("c_name"))).alias("seen"))
+
+
+@query("""SELECT c_custkey AS document_id, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END ELSE 'old' END AS manufacturer, c_custkey % 3 = 0 AS metadata_confirmed,
+  CASE WHEN c_custkey % 4 = 1 THEN 'done' ELSE 'review' END AS status FROM customer""")
+def review_forms(spark, sf_dir):
+    """Confirmed metadata, blank fields as null, and approvals."""
+    k = F.col("document_id")
+    documents = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), "c_mktsegment", F.lit("old").alias("manufacturer"), F.lit(False).alias("metadata_confirmed"), F.lit("review").alias("status"))
+    forms = documents.where(k % 3 == 0).select("document_id", F.when(k % 2 == 0, " \t ").otherwise(F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("manufacturer"))
+    confirmed = views.confirm_metadata(documents, forms)
+    return views.approve(confirmed, documents.where(k % 4 == 1)).drop("c_mktsegment")
+
+
+@query("SELECT c_custkey AS document_id, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'new' || c_custkey ELSE c_mktsegment END AS manufacturer, c_name AS revision FROM customer")
+def patched_documents(spark, sf_dir):
+    """Column patches by key; a null is written too."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_mktsegment").alias("manufacturer"), F.col("c_name").alias("revision"))
+    k = F.col("document_id")
+    return store.patch(c, c.where(k % 3 < 2).select("document_id", F.when(k % 3 == 1, F.concat(F.lit("new"), k.cast("string"))).alias("manufacturer")), "document_id")
+
+
+@query("SELECT c_custkey AS document_id, CASE WHEN c_custkey % 2 = 0 THEN 'done' ELSE 'queued' END AS status, c_custkey % 2 = 0 AS metadata_confirmed, true AS has_times FROM customer")
+def inserted_documents(spark, sf_dir):
+    """New rows get the defaults of the table, given values stay."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"))
+    shape = c.select("document_id", F.lit("done").alias("status"), F.lit(True).alias("metadata_confirmed"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))
+    table, _ = store.insert_documents(shape.where("document_id % 2 = 0"), c.where("document_id % 2 = 1"))
+    return table.select("document_id", "status", "metadata_confirmed", (F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()).alias("has_times"))
+
+
+@query("""SELECT c_custkey AS document_id, CASE WHEN c_custkey % 3 = 0 THEN 'queued' ELSE 'review' END AS status, CASE WHEN c_custkey % 3 <> 0 THEN 'late' END AS error_message, count(o_orderkey) FILTER (c_custkey % 3 <> 0) AS vectors, count(o_orderkey) AS chunks
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def reprocess_embeddings(spark, sf_dir):
+    """Documents set back to embedding: queued without an error, their vectors cleared, their chunks kept."""
+    c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
+    documents = c.select(F.col("c_custkey").alias("document_id"), F.lit("review").alias("status"), F.lit("late").alias("error_message"))
+    chunks = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding"))
+    out = store.reprocess({"documents": documents, "chunks": chunks}, documents.where("document_id % 3 = 0"), "embed")
+    counts = out["chunks"].groupBy("document_id").agg(F.count("embedding").alias("vectors"), F.count(F.lit(1)).alias("chunks"))
+    return out["documents"].join(counts, "document_id", "left").fillna(0, ["vectors", "chunks"])
+
+
+@query("""SELECT c_custkey AS document_id, count(o_orderkey) AS chunks FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 <> 0 GROUP BY 1""")
+def hard_reset(spark, sf_dir):
+    c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
+    tables = {"documents": c.withColumnRenamed("c_custkey", "document_id"), "chunks": o.withColumnRenamed("o_custkey", "document_id")}
+    left = store.hard_reset(tables, tables["documents"].where("document_id % 5 = 0"))
+    counts = left["chunks"].groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return left["documents"].select("document_id").join(counts, "document_id", "left").fillna(0, ["chunks"])
+
+
+@query("SELECT rpad(o_orderkey::VARCHAR, 12, ' ') || '  ' || rpad(CASE o_orderstatus WHEN 'O' THEN 'queued' ELSE 'done' END, 10, ' ') || '  ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '?' END AS line FROM orders")
+def status_report(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    documents = o.select(F.col("o_orderkey").cast("string").alias("document_id"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("file_name"), F.col("o_orderdate").alias("created_at"))
+    return views.status_lines(documents)
+
+
+@query("""SELECT o_orderkey AS document_id, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS position,
+  CAST(round(((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) * 137.508::DOUBLE) % 360, 0) AS INT) AS hue FROM orders""")
+def document_colours(spark, sf_dir):
+    return views.document_colours(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").alias("created_at")))
+
+
+@query(f"""WITH {COMPONENTS}, degree AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1),
+numbered AS (SELECT component, CAST(row_number() OVER (ORDER BY min(node)) - 1 AS BIGINT) AS cluster, count(*) AS cluster_size FROM components GROUP BY 1)
+SELECT node, label AS document_id, CASE WHEN label % 2 = 0 THEN 'file ' || label ELSE '?' END AS document_name, coalesce(degree, 0) AS degree, cluster, cluster_size
+FROM components JOIN embeddings ON vec_id = node JOIN numbered USING (component) LEFT JOIN degree USING (node)""")
+def graph_nodes(spark, sf_dir):
+    """Nodes of the similarity graph with names, degrees and clusters numbered in order of their first member."""
+    chunks = chunks_of(spark, sf_dir)
+    nodes = chunks.select(F.col("chunk_id").alias("node"), F.col("document").alias("document_id"))
+    documents = nodes.where("document_id % 2 = 0").select("document_id", F.concat(F.lit("file "), F.col("document_id").cast("string")).alias("file_name")).distinct()
+    colours = documents.select("document_id", F.lit(0).alias("hue"))
+    return graph.graph_nodes(nodes, _edges(spark, sf_dir), _components(spark, sf_dir), documents, colours).drop("hue")
+
+
+@query(f"""WITH {COMPONENTS} SELECT (SELECT count(*) FROM customer) AS documents, (SELECT count(*) FROM embeddings WHERE vec_id % 3 > 0) AS embedded_chunks,
+  (SELECT count(*) FROM (SELECT component FROM components GROUP BY 1 HAVING count(*) >= 2)) AS clusters""")
+def headline_counts(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 3 > 0, F.col("embedding")).alias("embedding"))
+    return flags.headline_counts(_read(spark, sf_dir, "customer"), chunks, _components(spark, sf_dir))
+
+
+@query("""SELECT doc_id % 100 AS document_id, count(*) AS n_chunks, array_to_string(list(doc_id || ':' || greatest(1, length(text) // 4) || ':' || CASE WHEN doc_id % 9 = 0 THEN 'runt' ELSE '' END ORDER BY doc_id), ',') AS stats FROM documents GROUP BY 1""")
+def chunk_lists(spark, sf_dir):
+    lists = flags.chunk_lists(_flag_tables(spark, sf_dir)[1])
+    each = lambda x: F.concat_ws(":", x["chunk_id"].cast("string"), x["token_count"].cast("string"), F.coalesce(x["section_type"], F.lit("")))
+    return lists.select("document_id", "n_chunks", F.array_join(F.transform("stats", each), ",").alias("stats"))
+
+
+@query(f"""WITH {FLAGS.replace("THEN 'cleaning-safety-rail'", "THEN 'Cleaning stopped: stopped'").replace("THEN 'no-chunks'", "THEN 'No chunks from ' || pages || ' pages'").replace("THEN 'low-content-density'", "THEN 'Little text: ' || CAST(round(tokens / pages, 0) AS INT) || ' tokens a page'").replace("THEN 'short-chunks'", "THEN short_chunks || ' very short chunks'").replace("THEN 'heavily-vision'", "THEN vision_chunks || ' of ' || n_chunks || ' chunks were read from images'").replace("THEN 'manufacturer-prose'", "THEN 'Manufacturer reads like a sentence'").replace("THEN 'revision-prose'", "THEN 'Revision reads like a sentence'").replace("THEN 'no-doc-type'", "THEN 'Document type is not known'")}
+SELECT document_id, array_to_string(f, '; ') AS labels FROM flags""")
+def flag_labels(spark, sf_dir):
+    found = flags.document_flags(*_flag_tables(spark, sf_dir))
+    return found.select("document_id", F.array_join("flags.label", "; ").alias("labels"))
+
+
+@query("""WITH lines AS (SELECT DISTINCT n_regionkey, regexp_replace(n_name, '\\d+', '#', 'g') AS l FROM nation)
+SELECT n_regionkey AS document_id, '["' || array_to_string(list(l ORDER BY l), '","') || '"]' AS json FROM lines GROUP BY 1""")
+def override_files(spark, sf_dir):
+    """Lines that people restored, as sorted JSON lists: old and new ones together, each once."""
+    n = _read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("document_id"), T.normalize_line(F.col("n_name")).alias("normalized"), "n_nationkey")
+    old = n.where("n_nationkey % 2 = 0").groupBy("document_id").agg(F.to_json(F.collect_list("normalized")).alias("json"))
+    return files.write_overrides(old, n)
+
+
+@query(f"{REPORT} SELECT document_id, total_pages, total_lines, stripped_lines, stripped_pct, stripped_pct > 15 AS safety_rail_triggered, (SELECT count(*) FROM furniture f WHERE f.document_id = r.document_id) AS furniture FROM report r")
+def report_files(spark, sf_dir):
+    """Reports written as JSON with their furniture lines, and read back."""
+    done = _cleaned(spark, sf_dir)
+    json = views.report_json(done.report, cleaning.furniture_examples(done.candidates, done.furniture))
+    lines = json.select("document_id", F.coalesce(F.json_array_length(F.get_json_object("json", "$.furniture")), F.lit(0)).cast("long").alias("furniture"))
+    return views.read_report(json).join(lines, "document_id")
+
+
+@query("SELECT vec_id AS chunk_id, CAST(vec_id % 5 AS INT) AS found_width FROM embeddings WHERE vec_id % 5 <> 3")
+def vector_widths(spark, sf_dir):
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.slice("embedding", F.lit(1), (F.col("vec_id") % 5).cast("int")).alias("embedding"))
+    return views.check_vectors(v, 3)
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 9 = 0")
+def set_aside_chunks(spark, sf_dir):
+    return views.set_aside(_flag_tables(spark, sf_dir)[1]).select("chunk_id")
+
+
+@query("""SELECT vec_id AS chunk_id, label AS document_id, CASE WHEN label % 3 = 0 THEN '?' ELSE 'file ' || label END AS document_name FROM embeddings WHERE vec_id % 4 > 0""")
+def named_chunks(spark, sf_dir):
+    """Embedded chunks of the graph page with the names of their documents."""
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"), F.when(F.col("vec_id") % 4 > 0, F.col("embedding")).alias("embedding"))
+    names = v.where("document_id % 3 > 0").select("document_id", F.concat(F.lit("file "), F.col("document_id").cast("string")).alias("file_name")).distinct()
+    return views.with_document_names(views.graph_chunks(v), names)
+
+
+@query("SELECT doc_id AS chunk_id, source AS document_id FROM documents WHERE source = (SELECT min(source) FROM documents) AND doc_id % 3 = 0")
+def missing_vectors(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    low = docs.agg(F.min("source")).first()[0]
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.when(F.col("doc_id") % 3 > 0, F.array(F.lit(1.0))).alias("embedding"))
+    return vectors.missing_vectors(chunks, low).drop("embedding")
+
+
+@query("SELECT doc_id AS chunk_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS chunk_index FROM documents WHERE source = (SELECT max(source) FROM documents)")
+def chunks_in_order(spark, sf_dir):
+    """One document's chunks in order."""
+    docs = _read(spark, sf_dir, "documents")
+    last = docs.agg(F.max("source")).first()[0]
+    index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), index.alias("chunk_index"))
+    return views.document_chunks(chunks, last).select("chunk_id", "chunk_index")

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliomill.functions.text import read_page_file
+from foliomill.functions.text import DOC_TYPES, read_page_file
+from foliomill.plans.workspace import materialize
 
 
 def document_files(spark: SparkSession, directory: str, pattern: str = "*.pdf") -> DataFrame:
@@ -17,20 +19,37 @@ def document_files(spark: SparkSession, directory: str, pattern: str = "*.pdf")
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_hash"), "content")
 
 
+def ingest_results(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """(path, file_name, document_id, duplicate, failed) of every file, in path order if sorted by path.
+
+    The first file by path of a hash that ``documents`` lacks is new; others of known or
+    repeated content are duplicates; a file without content could not be read and failed.
+    Only names and hashes are kept, and they are written once, so contents are read once.
+    """
+    named = materialize(files.select("path", "file_name", "file_hash"), "ingest-files")
+    first = named.where("file_hash is not null").groupBy("file_hash").agg(F.min("path").alias("first_path"))
+    known = documents.select("file_hash", F.lit(True).alias("known")).distinct()
+    judged = named.join(first, "file_hash", "left").join(known, "file_hash", "left")
+    failed = F.col("file_hash").isNull()
+    duplicate = ~failed & (F.coalesce("known", F.lit(False)) | (F.col("path") != F.col("first_path")))
+    return judged.select("path", "file_name", F.col("file_hash").alias("document_id"), duplicate.alias("duplicate"), failed.alias("failed"))
+
+
 def ingest(files: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new rows, tallies): the first file by path of each hash that ``documents`` lacks is queued."""
-    first = files.groupBy("file_hash").agg(F.min_by("file_name", "path").alias("file_name"), F.min("path").alias("path"), F.count(F.lit(1)).alias("files"))
-    fresh = first.join(documents.select("file_hash").distinct(), "file_hash", "left_anti")
-    rows = fresh.select(F.col("file_hash").alias("document_id"), "file_name", "file_hash", F.lit("queued").alias("status"))
-    known = documents.select("file_hash", F.lit(1).alias("known")).distinct()
-    tally = first.join(known, "file_hash", "left").agg(
-        F.coalesce(F.count_if(F.col("known").isNull()), F.lit(0)).alias("ingested"),
-        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("files") - 1).otherwise(F.col("files"))), F.lit(0)).alias("duplicates"),
-        F.coalesce(F.sum("files"), F.lit(0)).alias("total"),
-    )
+    results = materialize(ingest_results(files, documents), "ingest-results")
+    fresh = results.where("not duplicate and not failed")
+    rows = fresh.select("document_id", "file_name", F.col("document_id").alias("file_hash"), F.lit("queued").alias("status"))
+    tally = results.agg(F.count_if(~F.col("duplicate") & ~F.col("failed")).alias("ingested"), F.count_if("duplicate").alias("duplicates"), F.count_if("failed").alias("failed"), F.count(F.lit(1)).alias("total"))
     return rows, tally
 
 
+def store_files(files: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """(file_hash, content) that a content-addressed store lacks: each content once."""
+    fresh = files.where("file_hash is not null").groupBy("file_hash").agg(F.first("content").alias("content"))
+    return fresh if store is None else fresh.join(store.select("file_hash"), "file_hash", "left_anti")
+
+
 def check_upload_names(names: list[str]) -> None:
     """All names of an upload must end in .pdf, in either case, and there must be one."""
     wrong = [n for n in names if not n.lower().endswith(".pdf")]
@@ -41,33 +60,43 @@ def check_upload_names(names: list[str]) -> None:
 def page_files(spark: SparkSession, directory: str) -> DataFrame:
     """(document_id, page, extraction_path, structural, text) of ``<directory>/<document>/<page>.md``; pages are numbers."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(directory, wholetext=True).withColumn("path", F.input_file_name())
+    if files.isEmpty():
+        raise FileNotFoundError(f"no pages in {directory}")
     named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.md$", 1).alias("document_id"), F.regexp_extract("path", r"(\d+)\.md$", 1).cast("int").alias("page"), read_page_file(F.col("value")).alias("x"))
     return named.select("document_id", "page", "x.extraction_path", "x.structural", "x.text")
 
 
-def extract_pages(files: DataFrame, done: DataFrame, extractor: Callable[[bytes], list[str]]) -> DataFrame:
-    """(document_id, page, text) of the pages that ``done`` (document_id, page) lacks.
+def extract_pages(files: DataFrame, done: DataFrame, extractor: Callable[[bytes], list], page_counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages that ``done`` (document_id, page) lacks; failures).
 
-    ``extractor`` turns a file's bytes into page texts; a file it fails on gives one row
-    with page 0 and the error as text, and the others go on.
+    Pages are document_id, page, text, nothing (blank or flat), image; failures are
+    document_id, error_message. ``extractor`` turns a file's bytes into pages, each a text or a
+    (text, nothing, image) triple. Pages are numbered from 1; those done already are left
+    out before anything is kept of them, and files whose ``page_counts`` (document_id,
+    page_count) are all done are not opened. A file that fails gives a failure and no page,
+    and the others go on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, content, known in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                known = set(known or ())
                 try:
-                    pages = list(enumerate(extractor(content), 1))
+                    found = [(n, *(x if isinstance(x, tuple) else (x, False, None))) for n, x in enumerate(extractor(content), 1) if n not in known]
+                    rows = [(key, *row, None) for row in found]
                 except Exception as error:  # one unreadable file must not fail its whole task
-                    pages = [(0, f"{type(error).__name__}: {error}")]
-                for page, text in pages:
-                    out[0].append(key)
-                    out[1].append(page)
-                    out[2].append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["document_id", "page", "text"])
+                    rows = [(key, None, None, None, None, f"{type(error).__name__}: {error}")]
+                columns = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["document_id", "page", "text", "nothing", "image", "error_message"])
 
-    pages = files.select(F.col("file_hash").alias("document_id"), "content").mapInArrow(run, "document_id string, page int, text string")
-    return pages.join(done.select("document_id", "page"), ["document_id", "page"], "left_anti")
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.binary(), pa.string()]
+    known = done.groupBy("document_id").agg(F.collect_set("page").alias("known"))
+    todo = files.select(F.col("file_hash").alias("document_id"), "content").join(known, "document_id", "left")
+    if page_counts is not None:
+        todo = todo.join(page_counts.select("document_id", "page_count"), "document_id", "left").where("page_count is null or size(known) < page_count or known is null").drop("page_count")
+    shape = "document_id string, page int, text string, nothing boolean, image binary, error_message string"
+    found = materialize(todo.select("document_id", "content", "known").mapInArrow(run, shape), "extracted")
+    return found.where("error_message is null").drop("error_message"), found.where("error_message is not null").select("document_id", "error_message")
 
 
 def read_overrides(table: DataFrame) -> DataFrame:
@@ -82,7 +111,20 @@ def write_overrides(old: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def prompt_text(pages: DataFrame, first: int = 3) -> DataFrame:
-    """(document_id, prompt_text): the first pages, joined by blank lines."""
-    top = F.slice(F.array_sort(F.collect_list(F.struct("page", "text"))), 1, first)
-    low = pages.where(F.col("page") <= first)  # pages are numbered from 1
-    return low.groupBy("document_id").agg(top.alias("x")).select("document_id", F.array_join(F.col("x.text"), "\n\n").alias("prompt_text"))
+    """(document_id, prompt_text): the first pages that there are, in order, joined by blank lines."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("page"))
+    low = pages.select("document_id", "page", "text").withColumn("place", place).where(F.col("place") <= first)
+    texts = low.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
+    return texts.select("document_id", F.array_join(F.col("x.text"), "\n\n").alias("prompt_text"))
+
+
+METADATA_QUESTION = """Below are the first pages of a technical document. Answer with one JSON object and nothing else, with the keys
+manufacturer, panel_model, doc_type (one of {kinds}) and revision; use null for what the pages don't say.
+
+"""
+
+
+def metadata_prompt(pages: DataFrame, first: int = 3) -> DataFrame:
+    """(document_id, prompt): the question about a document's metadata with its first pages."""
+    question = METADATA_QUESTION.format(kinds=", ".join(DOC_TYPES))
+    return prompt_text(pages, first).select("document_id", F.concat(F.lit(question), "prompt_text").alias("prompt"))

@@ -13,10 +13,8 @@ def pages(spark, texts, doc="d"):
 
 def cleaned(spark, texts, overrides=None, **options):
     p = pages(spark, texts)
-    lines = cleaning.page_lines(p)
-    marked = cleaning.mark_furniture(lines, cleaning.furniture(p, lines, overrides=overrides, **options))
-    report = cleaning.clean_report(p, marked).first()
-    return [r.text for r in cleaning.cleaned_pages(p, marked).orderBy("page").collect()], report
+    done = cleaning.clean(p, overrides=overrides, **options)
+    return [r.text for r in done.pages.orderBy("page").collect()], done.report.first()
 
 
 BODY = ["alpha", "bravo", "carbon", "delta", "echo", "fox", "golf", "hotel", "india", "julia", "kilo", "lima"]
@@ -63,76 +61,76 @@ def test_atomic_blocks_are_not_split(spark):
     assert sum(table in r.content for r in out) == 1 and sum("1. turn screw 1\n2. turn" in r.content and "11. turn" in r.content for r in out) == 1
 
 
-def reference_pack(blocks, most, overlap):
-    """Plain model: blocks are (kind, tokens, text, section); chunks are (texts, section)."""
-    out, cur, section = [], [], None
-    for i, (kind, tokens, _, head) in enumerate(blocks):
-        if kind in ("table", "procedure") and tokens > most:
-            if cur:
-                out.append((cur, section))
-            out.append(([i], head))
-            cur = []
-            continue
-        if cur and sum(blocks[j][1] for j in cur) + tokens > most:
-            out.append((cur, section))
-            tail, total = [], 0
-            while overlap > 0 and total < overlap and len(tail) < len(cur):
-                tail.insert(0, cur[-1 - len(tail)])
-                total += blocks[tail[0]][1]
-            cur, section = tail, head
-        if not cur:
-            section = head
-        cur = [*cur, i]
-    if cur:
-        out.append((cur, section))
-    return [("\n\n".join(blocks[j][2] for j in c), s) for c, s in out]
-
-
-def reference_runts(chunks, least):
-    out = []
-    for content, section, structural in chunks:
-        tokens = max(1, len(content) // 4)
-        short = tokens < least and not structural
-        if short and out and out[-1][2] != "structural" and out[-1][1] == section:
-            text = out[-1][0] + "\n\n" + content
-            out[-1] = (text, section, out[-1][2] if len(text) // 4 < least else None)
-        else:
-            out.append((content, section, "structural" if structural else "runt" if short else None))
-    return out
-
-
-def test_folds_equal_plain_models(spark):
+def check_packing(blocks, chunks, most, overlap):
+    """What holds for any packing: ``blocks`` are (text, tokens, atomic, heading), ``chunks`` (content, section) in order."""
+    spans = []
+    for content, _ in chunks:
+        spans.append([next(i for i, b in enumerate(blocks) if b[0] == part) for part in content.split("\n\n")])
+    big = [b[2] and b[1] > most for b in blocks]
+    total = lambda span: sum(blocks[i][1] for i in span)
+    assert all(s == list(range(s[0], s[-1] + 1)) for s in spans) and {i for s in spans for i in s} == set(range(len(blocks)))
+    assert all(len(s) == 1 for s in spans for i in s if big[i])
+    opened = []
+    for n, span in enumerate(spans):
+        end = spans[n - 1][-1] if n else -1
+        new = [i for i in span if i > end]
+        opened.append(new[0])
+        # past its overlap and the block that opened it, a chunk only takes what fits
+        assert new and (len(new) == 1 or total(span) <= most)
+        if n + 1 < len(spans) and not big[span[-1]]:
+            # it ends where the next block does not fit, or must stand alone
+            assert big[span[-1] + 1] or total(span) + blocks[span[-1] + 1][1] > most
+        begin = end + 1
+        if n and not big[end] and not big[new[0]]:
+            # the overlap is the shortest tail of the chunk before that is long enough, or all of it
+            tails = [i for i in spans[n - 1] if total(range(i, end + 1)) >= overlap]
+            begin = max(tails) if tails else spans[n - 1][0]
+        assert span[0] == begin
+    for (_, section), at in zip(chunks, opened):
+        heads = [b[0] for b in blocks[: at + 1] if b[3]]
+        assert section == (heads[-1] if heads else None)
+
+
+def check_merging(before, after, least):
+    """``before`` are (content, section, structural), ``after`` (content, section, section_type) in order."""
+    tokens = lambda text: max(1, len(text) // 4)
+    joined = [n > 0 and tokens(c) < least and not f and not before[n - 1][2] and before[n - 1][1] == s for n, (c, s, f) in enumerate(before)]
+    starts = [n for n, j in enumerate(joined) if not j]
+    assert len(after) == len(starts)
+    for (content, section, kind), a, z in zip(after, starts, [*starts[1:], len(before)]):
+        assert content == "\n\n".join(c for c, _, _ in before[a:z]) and section == before[a][1]
+        assert kind == ("structural" if before[a][2] else "runt" if tokens(content) < least else None)
+
+
+def test_packing_and_merging_keep_their_properties(spark):
     rng = random.Random(2)
-    rows, want_packed, want_merged = [], {}, {}
+    rows, blocks = [], {}
     for d in range(25):
-        blocks, head = [], None
+        blocks[d], head = [], None
         for i in range(rng.randint(1, 25)):
             kind = rng.choice(["text", "text", "heading", "table"])
             text = f"{i}" + "x" * rng.choice([3, 30, 200, 500])
             head = text if kind == "heading" else head
-            blocks.append((kind, max(1, len(text) // 4), text, head))
-            rows.append((d, 1, i, kind, text, "text", False, blocks[-1][1], head))
-        want_packed[d] = reference_pack(blocks, 100, 20)
-        flags = [rng.random() < 0.2 for _ in want_packed[d]]
-        want_merged[d] = (flags, reference_runts([(c, s, f) for (c, s), f in zip(want_packed[d], flags)], 40))
+            blocks[d].append((text, max(1, len(text) // 4), kind == "table", kind == "heading"))
+            rows.append((d, 1, 10 * i, kind, text, "text", False, blocks[d][-1][1], head))
     df = spark.createDataFrame(rows, "document_id int, page int, pos int, kind string, block string, extraction_path string, structural boolean, tokens int, section string")
-    packed = chunking.pack(df, 100, 20)
-    got = {}
+    packed = chunking.pack(df, 100, 20).withColumn("structural", F.pmod(F.hash("content"), F.lit(5)) == 0).withColumn("chunk_index", F.col("chunk_index") * 3)
+    before, after = {}, {}
     for r in packed.orderBy("document_id", "chunk_index").collect():
-        got.setdefault(r.document_id, []).append((r.content, r.section))
-    assert got == want_packed
-    marks = spark.createDataFrame([(d, i, f) for d, (fs, _) in want_merged.items() for i, f in enumerate(fs)], "document_id int, chunk_index int, mark boolean")
-    tagged = packed.join(marks, ["document_id", "chunk_index"]).withColumn("structural", F.col("mark")).drop("mark")
-    got = {}
-    for r in chunking.merge_runts(tagged, 40).orderBy("document_id", "chunk_index").collect():
-        got.setdefault(r.document_id, []).append((r.content, r.section, r.section_type))
-    assert got == {d: m for d, (_, m) in want_merged.items()}
+        before.setdefault(r.document_id, []).append((r.content, r.section, r.structural))
+    for r in chunking.merge_runts(packed, 40).orderBy("document_id", "chunk_index").collect():
+        assert r.chunk_index == len(after.setdefault(r.document_id, []))
+        after[r.document_id].append((r.content, r.section, r.section_type))
+    for d in range(25):
+        check_packing(blocks[d], [(c, s) for c, s, _ in before[d]], 100, 20)
+        check_merging(before[d], after[d], 40)
 
 
 def test_pipeline_runs_again_without_new_work(spark):
     pipeline = DocumentPipeline(HashingProvider(8))
     p = pages(spark, [f"Body {b} goes on for a while.\n\nMore {b} text." for b in BODY])
-    clean, report = pipeline.clean(p)
+    done = pipeline.clean(p)
+    clean, report = done.passed(), done.report
     chunks = pipeline.embed(pipeline.chunk(clean))
     rows = chunks.collect()
     assert rows and all(len(r.embedding) == 8 for r in rows) and not report.first().safety_rail_triggered
@@ -140,7 +138,7 @@ def test_pipeline_runs_again_without_new_work(spark):
     assert sorted(r.chunk_id for r in pipeline.embed(chunks).collect()) == sorted(r.chunk_id for r in rows)
     docs = spark.createDataFrame([("d", None)], "document_id string, doc_type string")
     assert pipeline.metadata(docs, p).first().doc_type == "other"
-    stopped, report = pipeline.clean(pages(spark, [f"Body {b}.\n\nFoot" for b in BODY]))
-    assert report.first().safety_rail_triggered and stopped.count() == 0
+    done = pipeline.clean(pages(spark, [f"Body {b}.\n\nFoot" for b in BODY]))
+    assert done.report.first().safety_rail_triggered and done.passed().count() == 0
     proceed = spark.createDataFrame([("d",)], "document_id string")
-    assert pipeline.clean(pages(spark, [f"Body {b}.\n\nFoot" for b in BODY]), proceed=proceed)[0].count() == len(BODY)
+    assert pipeline.clean(pages(spark, [f"Body {b}.\n\nFoot" for b in BODY]), proceed=proceed).passed().count() == len(BODY)

@@ -14,7 +14,7 @@ def folder(spark, tmp_path, rows):
 
 def test_furniture_of_the_given_tables_is_stripped(spark):
     pages = bounded_documents(spark, "/root/testdata/sf0.01")
-    _, report = DocumentPipeline(HashingProvider(8), min_ratio=0.1).clean(pages)
+    report = DocumentPipeline(HashingProvider(8), min_ratio=0.1).clean(pages).report
     assert report.where("stripped_lines > 0").count() > 0 and report.agg(F.max("total_pages")).first()[0] > 1
 
 

@@ -28,9 +28,9 @@ def test_tokens_headings_toc(spark):
 
 def test_block_kinds(spark):
     texts = ["a|b\n--|--\n1|2", "1. do\n2) then\nx", "Title", "A sentence.", "**Page:** 4", "one | cell", "1. Overview", "two\nlines", "x" * 81]
-    kinds = values(spark, texts, T.block_kind(F.col("t"), F.lit(False)))
+    kinds = values(spark, texts, T.block_kind(F.col("t"), T.is_heading_shaped(F.col("t"))))
     assert kinds == ["table", "procedure", "heading", "text", "text", "heading", "procedure", "text", "text"]
-    assert values(spark, ["Title"], T.block_kind(F.col("t"), F.lit(True))) == ["text"]
+    assert values(spark, ["Title"], T.block_kind(F.col("t"), F.lit(False))) == ["text"]
 
 
 def test_table_density_and_vision(spark):
@@ -64,4 +64,4 @@ def test_labels(spark):
     assert values(spark, ["", None, "S"], T.chunk_label(F.col("t"), F.lit(3), F.lit(None).cast("int"))) == ["Chunk #3 (p.?)", "Chunk #3 (p.?)", "S (p.?)"]
     assert values(spark, ["x"], T.page_range(F.lit(2), F.lit(5))) == ["p.2–5"] and values(spark, ["x"], T.hue(F.lit(3))) == [53]
     assert values(spark, ["done", "failed", "odd", None], T.stage_index(F.col("t"))) == [4, -1, 0, 0]
-    assert values(spark, [" a ", "  ", None], T.form_text(F.col("t"))) == ["a", None, None]
+    assert values(spark, [" a\t", " \t ", None, "\u00a0b\u3000"], T.form_text(F.col("t"))) == ["a", None, None, "b"]
