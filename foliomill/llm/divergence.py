@@ -151,13 +151,14 @@ def _counted(lang: str, words: list, classes: list, n: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(words, pa.binary()), pa.array(classes, pa.int32()), pa.array(n, pa.int64())], names=["lang", "word", "class", "n"])
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
 def divergence_rules(docs: DataFrame, char_limit: float = 0.22, char_scatter: float = 1.3, word_limit: float = 0.26, word_scatter: float = 1.45, min_chars: int = 200, min_words: int = 50, broadcast_languages: int = 256, **reference_options) -> DataFrame:
-    """Base counts, distances and verdict of every document (columns of ``SCHEMA``)."""
+    """Base counts, distances and verdict of every document (doc_id and the columns of ``FIGURES``)."""
     table = reference_table(docs, **reference_options)
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FIGURES}"
+    names = ["doc_id", *(x.split()[0] for x in FIGURES.split(", "))]
 
     def row(text: bytes, classes: np.ndarray, char_d: float, word_d: float) -> tuple:
         words = text.split()
@@ -186,7 +187,7 @@ def divergence_rules(docs: DataFrame, char_limit: float = 0.22, char_scatter: fl
                     rows.append(row(text, classes, *min(found, key=sum, default=(0.0, 0.0))))
                 yield judged(batch.column(0), rows)
 
-        return docs.select("doc_id", "lang", "text").mapInArrow(judge, SCHEMA)
+        return docs.select("doc_id", "lang", "text").mapInArrow(judge, shape)
 
     # a null text has no words and no classes: its distance to any reference is 0
     own = docs.where("lang is not null").select("doc_id", "lang", "text").join(table, "lang", "left")
@@ -236,8 +237,8 @@ def divergence_rules(docs: DataFrame, char_limit: float = 0.22, char_scatter: fl
             columns = zip(texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield judged(batch.column(0), [row(text, char_classes(text), char_d, word_d) for text, char_d, word_d in columns])
 
-    others = bare.join(best, "row").select("doc_id", "text", "char_d", "word_d").mapInArrow(judge_bare, SCHEMA)
-    return own.select("doc_id", "lang", "text", *fields).mapInArrow(judge_own, SCHEMA).unionByName(others)
+    others = bare.join(best, "row").select("doc_id", "text", "char_d", "word_d").mapInArrow(judge_bare, shape)
+    return own.select("doc_id", "lang", "text", *fields).mapInArrow(judge_own, shape).unionByName(others)
 
 
 def _classes_distance(found: np.ndarray, reference: np.ndarray) -> float:

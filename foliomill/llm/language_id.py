@@ -198,7 +198,9 @@ def fit_language_id(docs: DataFrame, sample: int = 4000, sample_windows: int = 6
     usable = docs.where("lang is not null and text is not null and text <> ''")
     # only ids are sorted for the sample; the texts of the few chosen follow by a join
     ids = usable.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id").dropDuplicates(["doc_id"]).select("lang", "text")
+    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id")
+    # of rows that share a doc_id the one with the smallest hash
+    chosen = chosen.groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("text", "lang")).alias("x")).select("x.lang", "x.text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

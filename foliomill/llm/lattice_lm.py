@@ -7,11 +7,12 @@ space, so a document's log probability is the sum over its words and its end.
 
 The vocabulary's own scores are ranks; 1 / (rank + 100), normalised, turns them into
 starting weights. One round of expectation maximisation over all distinct training words,
-weighted by how often the corpus has them, makes piece probabilities of them (forward and
-backward sums give each piece's expected count). Characters that the vocabulary lacks are
+weighted by how often the collection has them, makes piece probabilities of them (forward and
+backward sums give each piece's expected count). ``score`` is the likelihood under these,
+``prior_score`` (single precision) the one under the starting weights. Characters that the vocabulary lacks are
 spelled by its byte pieces.
 
-The corpus is read once. Each task turns a stretch of documents into a block: its distinct
+The collection is read once. Each task turns a stretch of documents into a block: its distinct
 words, and per document word numbers and counts. Word counts are summed over all blocks,
 words are scored once per distinct word, and each block gets back the numbers of its own
 words by a join; text is never shuffled, nor is a row per token.
@@ -184,7 +185,7 @@ def read_vocabulary(path: str | None = None) -> list[tuple[str, float]]:
 BLOCKS = "block long, {id}, held_out boolean, n_words long, words array<int>, counts array<int>, number int, word binary, times long"
 
 
-def corpus_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
+def word_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
     """Document rows (``word`` null) and word rows (``number``, ``word``, ``times`` in training) of all blocks."""
     shape = BLOCKS.format(id=f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
     names = [x.split()[0] for x in shape.split(", ")]
@@ -228,10 +229,10 @@ def corpus_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, held_out: Column, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, prior_score of every row of ``docs``."""
     trie = PieceTrie(read_vocabulary(vocabulary))
     shipped = docs.sparkSession.sparkContext.broadcast(trie)
-    blocks = materialize(corpus_blocks(docs, held_out), "lm-blocks")
+    blocks = materialize(word_blocks(docs, held_out), "lm-blocks")
     rows, words = blocks.where("word is null").select("block", "doc_id", "held_out", "n_words", "words", "counts"), blocks.where("word is not null").select("block", "number", "word", "times")
     counts = materialize(words.groupBy("word").agg(F.sum("times").alias("c")), "lm-counts")
     n_words, distinct = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -258,19 +259,21 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str | None =
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spelled = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            found = word_log_probabilities(shipped.value, learned.value, spelled)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["word", "c", "log_p"])
+            found, prior = (word_log_probabilities(shipped.value, p, spelled) for p in (learned.value, np.log(shipped.value.prior)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array(prior, pa.float32())], names=["word", "c", "log_p", "log_prior"])
 
-    weighed = counts.mapInArrow(weigh, "word binary, c long, log_p double")
-    known = words.select(F.col("block").alias("of_block"), "number", "word").join(weighed, "word").select("of_block", "number", "c", "log_p")
+    weighed = counts.mapInArrow(weigh, "word binary, c long, log_p double, log_prior float")
+    known = words.select(F.col("block").alias("of_block"), "number", "word").join(weighed, "word").select("of_block", "number", "c", "log_p", "log_prior")
+    prior_end = float(np.log(trie.prior[trie.end_id]))
     base, end = math.log10(total + kinds + 1), float(log_p[trie.end_id])
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, prior_score double"
 
     def score(held: pa.Table, table: pa.Table) -> pa.Table:
         size = max(table.num_rows, 1)
-        c, log_word = np.zeros(size), np.zeros(size)
+        c, log_word, log_prior = np.zeros(size), np.zeros(size), np.zeros(size)
         c[table["number"].to_numpy()] = table["c"].to_numpy()
         log_word[table["number"].to_numpy()] = table["log_p"].to_numpy()
+        log_prior[table["number"].to_numpy()] = table["log_prior"].to_numpy()
         flat = held["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         times = held["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(held.num_rows), held["words"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
@@ -278,7 +281,7 @@ def score_documents(docs: DataFrame, held_out: Column, vocabulary: str | None =
         tokens = held["n_words"].to_numpy() + 1
         base_score = add(np.log10(c + 1)[flat]) + math.log10(train_docs + 1) - tokens * base
         n_known = add((c > 0)[flat].astype(float)).astype(np.int64) + (train_docs > 0)
-        return pa.table({"doc_id": held["doc_id"], "held_out": held["held_out"], "n_tokens": tokens, "n_known": n_known, "base_score": base_score, "score": (add(log_word[flat]) + end) / math.log(10)})
+        return pa.table({"doc_id": held["doc_id"], "held_out": held["held_out"], "n_tokens": tokens, "n_known": n_known, "base_score": base_score, "score": (add(log_word[flat]) + end) / math.log(10), "prior_score": (add(log_prior[flat]) + prior_end) / math.log(10)})
 
     scored = rows.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(score, shape)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "prior_score")

@@ -123,23 +123,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, sample_p
     """The model, or the share of label 1 where the labels of the sample are of one kind.
 
     ``labels`` holds doc_id and quality of the rows to learn from. At most ``sample`` of
-    them are used, and of those the documents of at most ``sample_passages`` passages, so
-    that the training set is bounded; scoring has no such bounds.
+    them are used, and of a longer text ``sample_passages`` passages evenly spread over it,
+    so that the training set is bounded; scoring has no such bounds. Of rows that share a
+    doc_id the text with the smallest hash is used.
     """
     agreed = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
     chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("low").cast("double").alias("quality"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 1 << 21):
                 x, starts = encode_passages(texts_as_bytes(part.column(1)))
                 bags = np.split(x, starts[1:])
-                small = [i for i, bag in enumerate(bags) if len(bag) <= sample_passages]
-                rows = pa.array(small, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array([bags[i].tobytes() for i in small], pa.binary())], names=["doc_id", "quality", "bag"])
+                bags = [bag[np.unique(np.linspace(0, len(bag) - 1, sample_passages).astype(int))] if len(bag) > sample_passages else bag for bag in bags]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([bag.tobytes() for bag in bags], pa.binary())], names=["doc_id", "quality", "bag"])
 
-    rows = sorted(texts.select("doc_id", "text", "quality").mapInArrow(encode, "doc_id long, quality double, bag binary").collect(), key=lambda r: r.doc_id)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = sorted(texts.select("doc_id", "text", "quality").mapInArrow(encode, f"doc_id {kind}, quality double, bag binary").collect(), key=lambda r: r.doc_id)
     y = np.array([r.quality for r in rows])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.llm import ann, bpe, divergence, language_id, lattice_lm, mixing, near_dups, quality, repeats, secrets
-from foliomill.plans.workspace import ensure_code
+from foliomill.plans.workspace import ensure_code, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_code(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

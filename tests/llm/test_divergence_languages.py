@@ -6,7 +6,7 @@ pytest.importorskip("foliomill.llm.divergence")
 from foliomill.llm import divergence
 
 
-def corpus(spark, languages):
+def texts_in(spark, languages):
     rng, rows = random.Random(3), []
     for k in range(languages):
         words = [f"w{k}x{i}" for i in range(40)]
@@ -22,12 +22,12 @@ def listed(df):
 
 
 def test_rare_languages_keep_their_references(spark):
-    docs = corpus(spark, 300)
+    docs = texts_in(spark, 300)
     got = {r.doc_id: r for r in divergence.divergence_rules(docs).collect()}
     assert len(got) == docs.count()
     assert max(got[i].word_distance for i in range(600)) < 0.5 and all(got[i].kept for i in range(600))
 
 
 def test_joined_references_equal_broadcast_ones(spark):
-    docs = corpus(spark, 12)
+    docs = texts_in(spark, 12)
     assert listed(divergence.divergence_rules(docs, broadcast_languages=5)) == listed(divergence.divergence_rules(docs))

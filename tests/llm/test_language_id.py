@@ -45,6 +45,39 @@ def test_backpropagation_equals_differences():
                 assert grads[g][name][i] == pytest.approx((up - down) / 2e-3, rel=0.03, abs=2e-4)
 
 
+def plain_probabilities(tagger, text):
+    """One text by plain loops: each byte's label from both directions within its window, then the mean."""
+    k, total = tagger.ahead.hidden, np.zeros(len(tagger.languages))
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+
+    def walk(layer, seen):
+        h, out = np.zeros(k), []
+        for b in seen:
+            x, s = layer.p["E"][b].astype(float), h @ layer.p["U"].astype(float)
+            z, r = sigmoid(x[:k] + s[:k]), sigmoid(x[k : 2 * k] + s[k : 2 * k])
+            new = np.tanh(x[2 * k :] + r * s[2 * k :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    for begin in range(0, len(text), language_id.WINDOW):
+        seen = [text[i] if 0 <= i < len(text) else 0 for i in range(begin - language_id.CONTEXT, begin + language_id.WINDOW + language_id.CONTEXT)]
+        ahead, behind = walk(tagger.ahead, seen), walk(tagger.behind, seen[::-1])[::-1]
+        for t in range(language_id.CONTEXT, language_id.CONTEXT + min(language_id.WINDOW, len(text) - begin)):
+            e = np.exp(np.concatenate([ahead[t], behind[t]]) @ tagger.out["O"] + tagger.out["o"])
+            total += e / e.sum()
+    return total / max(len(text), 1)
+
+
+def test_query_equals_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tagger = language_id.fit_language_id(docs.where(~language_id.held_out("doc_id", 4, 2)))
+    got = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, sf).collect()}
+    for d in sorted(docs.collect(), key=lambda d: d.doc_id)[::20]:
+        want = plain_probabilities(tagger, d.text.encode())
+        assert got[d.doc_id].lang_pred == tagger.languages[int(want.argmax())] and got[d.doc_id].score == pytest.approx(want.max(), abs=1e-3)
+
+
 def test_windows_label_every_byte_once():
     texts = [b"", b"x" * 5, b"y" * language_id.WINDOW, b"z" * 1000]
     grid, mask, owner = language_id.cut_windows(texts)

@@ -54,12 +54,15 @@ def test_query_equals_brute_force(spark, sf):
     log_p = np.log((uses + trie.size * trie.prior) / (uses.sum() + trie.size * trie.prior.sum()))
     every = sorted({t for ts in tokens.values() for t in ts if t is not None})
     word_p = dict(zip(every, lattice_lm.word_log_probabilities(trie, log_p, every)))
+    prior_p = dict(zip(every, lattice_lm.word_log_probabilities(trie, np.log(trie.prior), every)))
     assert len(got) == len(docs)
     for d, ts in tokens.items():
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[d], len(ts), sum(counts[t] > 0 for t in ts), total)
         assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 1) / (total + kinds + 1)) for t in ts), rel=1e-9)
         assert r.score == pytest.approx((sum(word_p[t] for t in ts[:-1]) + log_p[trie.end_id]) / math.log(10), rel=1e-9)
+        # the vocabulary's own weights, without the refit, in single precision
+        assert r.prior_score == pytest.approx((sum(prior_p[t] for t in ts[:-1]) + np.log(trie.prior[trie.end_id])) / math.log(10), rel=1e-6)
 
 
 def test_training_beats_the_starting_weights(spark):

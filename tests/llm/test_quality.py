@@ -61,3 +61,46 @@ def test_edge_cases(spark):
     got = quality.classify_quality(docs, labels).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality.classify_quality(docs.limit(0), labels).count() == 0
+
+
+def plain_score(model, text):
+    """One document by plain loops: features of each passage, attention over passages, weighted sum."""
+    p, passages = model.p, [text[i : i + quality.PASSAGE] for i in range(0, max(1, len(text)), quality.PASSAGE)]
+    hidden, energy = [], []
+    for passage in passages:
+        n = len(passage)
+        x = np.zeros(quality.WIDTH)
+        for b in passage:
+            x[quality.CLASS_OF[b]] += 1
+        x[: quality.CLASSES] = np.sqrt(x[: quality.CLASSES] / max(n, 1))
+        pairs = np.zeros(quality.PAIRS)
+        for a, b in zip(passage, passage[1:]):
+            pairs[(a * 37 + b * 101) % quality.PAIRS] += 1
+        x[quality.CLASSES : quality.CLASSES + quality.PAIRS] = np.sqrt(pairs / max(n, 1))
+        lags = [sum(a == b for a, b in zip(passage, passage[lag:])) / max(n - lag, 1) for lag in quality.LAGS]
+        x[quality.CLASSES + quality.PAIRS : -2] = lags
+        x[-2], x[-1] = max(lags), np.log1p(n) / np.log1p(quality.PASSAGE)
+        h = np.tanh(((x - model.mean) / model.scale) @ p["W"] + p["b"])
+        energy.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+        hidden.append(h)
+    weights = [np.exp(e - max(energy)) for e in energy]
+    z = sum(w * h for w, h in zip(weights, hidden)) / sum(weights)
+    return 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))
+
+
+def test_query_equals_plain_loops(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit_quality(docs, labels.where(~quality.held_out()))
+    got = {r.doc_id: r.score for r in QUERIES["op1_quality"](spark, sf).collect()}
+    for d in sorted(docs.collect(), key=lambda d: d.doc_id)[::3]:
+        assert got[d.doc_id] == pytest.approx(plain_score(model, (d.text or "").encode()), abs=2e-4)
+
+
+def test_long_documents_teach_and_repeated_ids_teach_the_same(spark):
+    rows = [(i, ("good prose stands here. " if i % 2 else "zzz 000 ### ") * 12_000, "x") for i in range(6)] + [(0, "other text", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id int, text string, quality string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id int, quality int")
+    a, b = (quality.fit_quality(d, labels) for d in (docs, docs.repartition(3, "text")))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+    scores = {r.doc_id: r.score for r in quality.score_quality(docs.where("text <> 'other text'"), a).collect()}
+    assert min(scores[i] for i in (1, 3, 5)) > max(scores[i] for i in (2, 4))
