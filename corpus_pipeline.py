@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm import bpe, mixing, near_dups, quality, secrets
-from foliomill.plans.workspace import ensure_code, materialize
+from foliomill.plans.workspace import ensure_code, materialize, spread
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; all others stay unchanged.
 
     The model learns from the labels of ``sf_dir``. Rows without a doc_id can't be told
-    apart from each other and stay.
+    apart from each other and stay; null and empty texts are scored like others; of labels that
+    contradict each other none is used, and without labels of both kinds nothing is learned.
     """
     ensure_code(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out()))
@@ -22,13 +23,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8).
+
+    That is the one with the smallest doc_id, with all rows of that id; null, empty and
+    wordless texts and rows without a doc_id have no copies and stay.
+    """
     ensure_code(spark)
     return near_dups.keep_first(docs, shingle=5, percent=80)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are masked in the texts; n_chars follows the new text."""
+    """Live-looking secrets are masked in the texts; n_chars follows the new text.
+
+    No row goes. Null and empty texts stay as they are (n_chars of a null text is null);
+    repeated rows are masked alike; a null source is an owner of its own.
+    """
     masked = secrets.redact_secrets(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -36,12 +45,20 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it: not at all, once or twice."""
+    """Each document stands as often as the mix takes it: not at all, once or twice.
+
+    Rows alike in doc_id, source and text are taken together; null and empty texts have
+    size 0 and take part; a null source is a source; other columns are kept as they are,
+    whatever their names.
+    """
     return mixing.repeat_by_mix(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every row that is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every row that is left.
+
+    A null text is encoded as the empty one, without ids; repeated rows give repeated rows.
+    """
     ensure_code(spark)
     return bpe.bpe_encode(docs)
 
@@ -60,7 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
