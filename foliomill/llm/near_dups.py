@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.arrow_text import texts_as_bytes
+from foliomill.llm.arrow_text import slices, texts_as_bytes
 from foliomill.operators.graph import connected_components
 from foliomill.plans.workspace import materialize
 
@@ -49,7 +49,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, for the words met lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 1 << 20)):
             sizes, keys, bands, sketches = [], [], [], []
             for text in texts_as_bytes(batch.column(1)):
                 found = shingle_set(text, shingle, hashes)
@@ -209,7 +209,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
                 to.append(dst[row])
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(to, pa.int64())})
 
-    met = follow.unionByName(lead).join(known_as, "cls").join(texts, "rep").select("dst", "part", "cls", "head", "set_key", "text")
+    # written first: where this is small Spark sends it to the texts and not the texts around
+    met = materialize(follow.unionByName(lead).join(known_as.drop("sketch"), "cls"), "minhash-met")
+    met = met.join(texts, "rep").select("dst", "part", "cls", "head", "set_key", "text")
     confirmed = met.groupBy(F.pmod(F.xxhash64("dst", "part"), F.lit(tasks)).alias("task")).applyInArrow(confirm, "src long, dst long")
     # rows of one document are linked by that
     twice = known.join(classes.select("set_key", "cls"), "set_key").groupBy("doc_id").agg(F.min("cls").alias("src"), F.max("cls").alias("dst"), F.collect_set("cls").alias("all")).where("src <> dst")
@@ -240,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
                 found = joining_links(sets, sketches, np.unique(take["cluster"].to_numpy(), return_inverse=True)[1], percent)
             return pa.table({"src": pa.array([cls[rows[a]] for a, _ in found], pa.int64()), "dst": pa.array([cls[rows[b]] for _, b in found], pa.int64())})
 
-        joined = cells.join(known_as, "cls").join(texts, "rep").select("cell", "cls", "cluster", "set_key", "sketch", "text")
+        joined = materialize(cells.join(known_as, "cls"), "minhash-cells").join(texts, "rep").select("cell", "cls", "cluster", "set_key", "sketch", "text")
         links = materialize(joined.groupBy("cell").applyInArrow(settle, "src long, dst long").unionByName(confirmed), "minhash-links")
         clusters = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     by_class = classes.select("set_key", "cls", "rep").join(clusters, "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
@@ -253,5 +255,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are near copies of one with a smaller doc_id."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
+    gone = materialize(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "minhash-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -29,6 +29,7 @@ from foliomill.llm.arrow_text import slices, texts_as_bytes
 from foliomill.llm.divergence import CLASS_OF, CLASSES
 
 PASSAGE = 512
+PART_BYTES = 1 << 19
 PAIRS = 64
 LAGS = range(2, 25)
 WIDTH = CLASSES + PAIRS + len(LAGS) + 2
@@ -134,7 +135,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, sample_p
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, PART_BYTES):
                 x, starts = encode_passages(texts_as_bytes(part.column(1)))
                 bags = np.split(x, starts[1:])
                 bags = [bag[np.unique(np.linspace(0, len(bag) - 1, sample_passages).astype(int))] if len(bag) > sample_passages else bag for bag in bags]
@@ -155,7 +156,7 @@ def score_quality(docs: DataFrame, model: GatedAttention | float) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, PART_BYTES):
                 texts = texts_as_bytes(part.column(1))
                 if isinstance(model, float):
                     found = np.full(len(texts), model)
