@@ -18,7 +18,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     ensure_code(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out()))
-    rejected = quality.score_quality(docs, model).where("score < 0.3").select("doc_id").distinct()
+    rejected = materialize(quality.score_quality(docs, model).where("score < 0.3").select("doc_id").distinct(), "rejected")
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
