@@ -41,8 +41,8 @@ import regex
 from pyspark.sql import DataFrame
 
 NEVER = 1 << 62
-WORD_TABLE = 800_000
-ENTRY_TABLE = 600_000
+WORD_TABLE = 350_000
+ENTRY_TABLE = 250_000
 
 
 def byte_names() -> dict[str, int]:
@@ -63,7 +63,8 @@ class MergeAutomaton:
         self.right: dict[int, list[tuple[int, int]]] = {i: [(i, NEVER)] for i in self.left}
         for time, (a, b) in enumerate(merges):
             self._add_gadget(time, tokens[a], tokens[b], tokens[a + b])
-        self.lengths = {i: len(self.labels[i]) for i in self.left}
+        #: token -> (its length, the one int object that stands for it in all results)
+        self.lengths = {i: (len(self.labels[i]), i) for i in self.left}
         # the trie of all tokens that have arcs: node << 8 | byte -> node, and the token that a node spells
         self.child: dict[int, int] = {}
         self.spells: list[int] = [-1]
@@ -143,9 +144,9 @@ class MergeAutomaton:
             state = entry >> 24
         ids, at, lengths = [], len(word), self.lengths
         while at:
-            token = ends[at - 1]
+            size, token = lengths[ends[at - 1]]
             ids.append(token)
-            at -= lengths[token]
+            at -= size
         ids.reverse()
         return ids
 
