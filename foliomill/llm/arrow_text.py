@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,3 +25,16 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
         held += size
     if begin < len(sizes):
         yield batch.slice(begin)
+
+
+#: what empties the tables that operators keep in a Python worker between tasks, by operator
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def let_go(but: str = "") -> None:
+    """Give back the memory that other operators' tables hold in this worker; it may have served them before."""
+    for name, clear in KEPT.items():
+        if name != but:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()

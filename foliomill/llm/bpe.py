@@ -40,6 +40,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from foliomill.llm.arrow_text import KEPT, let_go
+
 NEVER = 1 << 62
 WORD_TABLE = 350_000
 ENTRY_TABLE = 250_000
@@ -206,6 +208,9 @@ def _codec(spec: str, pattern: str) -> BpeCodec:
     return BpeCodec(spec, pattern)
 
 
+KEPT["bpe"] = _codec.cache_clear
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -231,6 +236,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
     schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(but="bpe")
         codec = _codec(spec.value, pattern)
         labels, names = codec.labels, codec.names
         for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.arrow_text import slices, texts_as_bytes
+from foliomill.llm.arrow_text import let_go, slices, texts_as_bytes
 from foliomill.operators.graph import connected_components
 from foliomill.plans.workspace import materialize
 
@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         hashes = WordHashes()
         for batch in (part for whole in batches for part in slices(whole, 1, 1 << 20)):
             sizes, keys, bands, sketches = [], [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.arrow_text import slices, texts_as_bytes
+from foliomill.llm.arrow_text import let_go, slices, texts_as_bytes
 from foliomill.llm.divergence import CLASS_OF, CLASSES
 
 PASSAGE = 512
@@ -154,6 +154,7 @@ def score_quality(docs: DataFrame, model: GatedAttention | float) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         model = shipped.value
         for batch in batches:
             for part in slices(batch, 1, PART_BYTES):
