@@ -187,12 +187,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     nearest = near.join(traits("src"), "src").join(traits("dst"), "dst").withColumn("likely", sketch_estimate(F.col("src_sketch"), F.col("dst_sketch")))
     nearest = nearest.where((100 * F.least("src_size", "dst_size") >= percent * F.greatest("src_size", "dst_size")) & (F.col("likely") >= percent / 100 - MARGIN))
     nearest = materialize(nearest.groupBy("src").agg(F.max_by("dst", F.struct("likely", -F.col("dst"))).alias("dst"), F.first("src_size").alias("size")), "minhash-nearest")
-    # about nine bytes of text a shingle; a head's followers are cut into parts, parts are dealt to tasks by their hash
-    heads = nearest.groupBy("dst").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 9 / block_bytes)).cast("int").alias("parts"))
+    # about nine bytes of text a shingle; a head's followers are cut into parts, parts are dealt to tasks by their hash:
+    # small ones, so that a task that gets several is not far above the others
+    few = max(1, block // 8)
+    heads = nearest.groupBy("dst").agg(F.greatest(F.ceil(F.count(F.lit(1)) / few), F.ceil(F.sum("size") * 9 / block_bytes)).cast("int").alias("parts"))
     follow = nearest.join(heads, "dst").select("dst", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int").alias("part"), F.col("src").alias("cls"), F.lit(False).alias("head"))
     lead = heads.select("dst", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("dst").alias("cls"), F.lit(True).alias("head"))
     weight = nearest.agg(F.sum("size"), F.count(F.lit(1))).first()
-    tasks = max(1, int((weight[0] or 0) * 9 // block_bytes), weight[1] // block)
+    tasks = max(1, int((weight[0] or 0) * 9 // block_bytes), weight[1] // (2 * few))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("doc_id is not null")
     known_as = classes.select("cls", "rep", "set_key", "sketch")
 
