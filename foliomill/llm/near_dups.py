@@ -248,9 +248,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
         joined = materialize(cells.join(known_as, "cls"), "minhash-cells").join(texts, "rep").select("cell", "cls", "cluster", "set_key", "sketch", "text")
         links = materialize(joined.groupBy("cell").applyInArrow(settle, "src long, dst long").unionByName(confirmed), "minhash-links")
         clusters = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    by_class = classes.select("set_key", "cls", "rep").join(clusters, "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
-    lowest = by_class.groupBy("cluster").agg(F.min("rep").alias("component"))
-    by_class = by_class.join(lowest, "cluster").select("set_key", "component")
+    clusters = materialize(classes.select("set_key", "cls", "rep").join(clusters, "cls"), "minhash-clustered")
+    # written, so that adaptive execution can split a large cluster in the join; classes without links stand for themselves
+    lowest = materialize(clusters.groupBy("cluster").agg(F.min("rep").alias("component")), "minhash-lowest")
+    by_class = clusters.join(lowest, "cluster").select("cls", "component")
+    by_class = classes.select("set_key", "cls", "rep").join(by_class, "cls", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
