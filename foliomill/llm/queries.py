@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliomill.llm import ann, bpe, divergence, language_id, lattice_lm, mixing, near_dups, quality, repeats, secrets
+from foliomill.llm import alignment, ann, bpe, divergence, hard_negatives, language_id, lattice_lm, mixing, near_dups, quality, repeats, secrets, vector_dups
 from foliomill.plans.workspace import ensure_code, spread
 
 
@@ -56,5 +57,55 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_lattice_lm": op2_lattice_lm, "op3_divergence": op3_divergence, "op4_repeats": op4_repeats, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op9_near_dups": op9_near_dups, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {}
+def op11_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7 the label first becomes the next one of ten."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_lattice_lm": op2_lattice_lm, "op3_divergence": op3_divergence, "op4_repeats": op4_repeats, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op7_secrets": op7_secrets, "op8_language_id": op8_language_id, "op9_near_dups": op9_near_dups, "op10_mixing": op10_mixing, "op11_vector_dups": op11_vector_dups, "op12_alignment": op12_alignment, "op13_hard_negatives": op13_hard_negatives}
+ORACLES: dict[str, str] = {
+    "op11_vector_dups": """
+        WITH RECURSIVE fine AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+        ), reach(node, other) AS (
+            SELECT vec_id, vec_id FROM fine
+            UNION
+            SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a
+        ), components AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component_id, e.vec_id) AS component_id, e.vec_id = coalesce(component_id, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN components ON node = e.vec_id LEFT JOIN counts ON counts.a = e.vec_id
+    """,
+    "op13_hard_negatives": """
+        WITH fine AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+               s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) <= 10
+    """,
+}
