@@ -1,8 +1,8 @@
 """From clean pages to chunks: block kinds, sections, packing with overlap, runts.
 
 Order-dependent steps are windows over one document's blocks where a block's neighbour
-decides, and one ordered fold for packing. The fold sees numbers and token counts only; texts
-stay in rows of their own and are joined by span, so no row ever holds a document.
+decides, and pointers over running sums for packing. These see numbers and token counts only;
+texts stay in rows of their own and are joined by span, so no row ever holds a document.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliomill.functions import text as T
+from foliomill.operators import packing
 from foliomill.operators.cleaning import page_blocks
 from foliomill.plans.workspace import materialize
 
@@ -68,42 +69,17 @@ def pack(blocks: DataFrame, most: int = 1000, overlap: int = 100) -> DataFrame:
     Result: document_id, chunk_index, content, page_start, page_end, section,
     extraction_path, structural, token_count.
     """
-    before = F.coalesce(F.sum("tokens").over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    placed = blocks.withColumn("before", before).withColumn("i", F.row_number().over(_in_order()))
+    placed = blocks.withColumn("i", F.row_number().over(_in_order()))
     if "page_end" not in blocks.columns:
         placed = placed.withColumn("page_end", F.col("page"))
     placed = materialize(placed, "pack-blocks")
     atomic = F.col("kind").isin("table", "procedure")
-    documents = placed.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("i", "tokens", "before", atomic.alias("atomic")))).alias("b"))
-    span = "array<struct<first:int,last:int,section_at:int>>"
-    one = lambda a, z, s: F.array(F.struct(a.cast("int").alias("first"), z.cast("int").alias("last"), s.cast("int").alias("section_at")))
-    none = F.array().cast(span)
-    at = lambda i: F.element_at("b", i.cast("int"))
-
-    # blocks are numbered from 1; the open chunk is first..i-1, empty where first = i
-    def step(acc, i):
-        x, is_open = at(i), acc["first"] < i
-        alone = x["atomic"] & (x["tokens"] > most)
-        flush = F.when(is_open, one(acc["first"], i - 1, acc["section_at"])).otherwise(none)
-        full = is_open & (x["before"] - at(acc["first"])["before"] + x["tokens"] > most)
-        tail = F.filter(F.sequence(acc["first"], i - 1), lambda s: x["before"] - at(s)["before"] >= overlap)
-        start = F.when(F.lit(overlap <= 0), i).otherwise(F.coalesce(F.array_max(tail), acc["first"]))
-        state = lambda first, section_at, out: F.struct(first.cast("int").alias("first"), section_at.cast("int").alias("section_at"), out.alias("out"))
-        return (
-            F.when(alone, state(i + 1, i, F.concat(acc["out"], flush, one(i, i, i))))
-            .when(full, state(start, i, F.concat(acc["out"], flush)))
-            .otherwise(state(F.when(is_open, acc["first"]).otherwise(i), F.when(is_open, acc["section_at"]).otherwise(i), acc["out"]))
-        )
-
-    n = F.size("b")
-    begin = F.struct(F.lit(1).alias("first"), F.lit(1).alias("section_at"), none.alias("out"))
-    finish = lambda acc: F.concat(acc["out"], F.when(acc["first"] <= n, one(acc["first"], n, acc["section_at"])).otherwise(none))
-    spans = documents.select("document_id", F.posexplode(F.aggregate(F.sequence(F.lit(1), n), begin, step, finish)).alias("chunk_index", "s"))
-    members = spans.select("document_id", "chunk_index", "s.section_at", F.explode(F.sequence("s.first", "s.last")).alias("i"))
+    spans = packing.spans(placed.select("document_id", "i", "tokens", atomic.alias("atomic")), most, overlap)
+    members = spans.select("document_id", "chunk_index", "opener", F.explode(F.sequence("first", "last")).alias("i"))
     parts = members.join(placed.select("document_id", "i", "block", "page", "page_end", "section", "extraction_path", "structural"), ["document_id", "i"])
     chunks = parts.groupBy("document_id", "chunk_index").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("i", "block")))["block"], "\n\n").alias("content"), F.min("page").alias("page_start"), F.max("page_end").alias("page_end"),
-        F.max(F.when(F.col("i") == F.col("section_at"), F.col("section"))).alias("section"),
+        F.max(F.when(F.col("i") == F.col("opener"), F.col("section"))).alias("section"),
         F.when(F.bool_and(F.col("extraction_path") == "text"), "text").otherwise("vision").alias("extraction_path"), F.bool_or("structural").alias("structural"),
     )
     return chunks.withColumn("token_count", T.estimate_tokens(F.col("content")))

@@ -232,7 +232,15 @@ def merged_blocks(spark, sf_dir):
 def _packed_sql(most: int, overlap: int) -> str:
     return f"""{SINGLE},
 docs AS (SELECT doc_id, list({{'block': block, 'kind': kind, 'tokens': tokens, 'section': section, 'before': before}} ORDER BY n) AS b FROM sections GROUP BY 1),
-spans AS (SELECT doc_id, b, list_reduce(
+{_spans_sql(most, overlap)},
+packed AS (
+  SELECT doc_id AS document_id, i - 1 AS chunk_index, array_to_string(list_transform(b[out[i].f:out[i].l], lambda y: y.block), chr(10) || chr(10)) AS content, b[out[i].s].section AS section
+  FROM chunks, unnest(range(1, len(out) + 1)) t(i))"""
+
+
+def _spans_sql(most: int, overlap: int) -> str:
+    """From docs (doc_id, b: blocks in order) to chunks (doc_id, b, out: first, last and opening block of each chunk)."""
+    return f"""spans AS (SELECT doc_id, b, list_reduce(
   list_transform(range(1, len(b) + 1), lambda i: {{'first': i, 'at': i, 'section_at': i, 'out': []::STRUCT(f BIGINT, l BIGINT, s BIGINT)[]}}),
   lambda acc, x: CASE
     WHEN b[x.at].kind = 'procedure' AND b[x.at].tokens > {most} THEN {{'first': x.at + 1, 'at': x.at, 'section_at': x.at, 'out': list_concat(acc.out,
@@ -242,10 +250,7 @@ spans AS (SELECT doc_id, b, list_reduce(
         'at': x.at, 'section_at': x.at, 'out': list_append(acc.out, {{'f': acc.first, 'l': x.at - 1, 's': acc.section_at}})}}
     ELSE {{'first': CASE WHEN acc.first < x.at THEN acc.first ELSE x.at END, 'at': x.at, 'section_at': CASE WHEN acc.first < x.at THEN acc.section_at ELSE x.at END, 'out': acc.out}} END,
   {{'first': 1::BIGINT, 'at': 0::BIGINT, 'section_at': 1::BIGINT, 'out': []::STRUCT(f BIGINT, l BIGINT, s BIGINT)[]}}) AS acc FROM docs),
-chunks AS (SELECT doc_id, b, list_concat(acc.out, CASE WHEN acc.first <= len(b) THEN [{{'f': acc.first, 'l': len(b), 's': acc.section_at}}] ELSE [] END) AS out FROM spans),
-packed AS (
-  SELECT doc_id AS document_id, i - 1 AS chunk_index, array_to_string(list_transform(b[out[i].f:out[i].l], lambda y: y.block), chr(10) || chr(10)) AS content, b[out[i].s].section AS section
-  FROM chunks, unnest(range(1, len(out) + 1)) t(i))"""
+chunks AS (SELECT doc_id, b, list_concat(acc.out, CASE WHEN acc.first <= len(b) THEN [{{'f': acc.first, 'l': len(b), 's': acc.section_at}}] ELSE [] END) AS out FROM spans)"""
 
 
 PACKED = _packed_sql(1000, 100)
@@ -279,12 +284,63 @@ def chunk_rollup(spark, sf_dir):
     return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"), F.count_if(F.col("token_count") < 50).alias("short"))
 
 
-@query()
+#: Lines of the multi-page documents.
+MULTI_LINES = rf"""every_line AS (
+  SELECT document_id, page, regexp_replace(l, '^\s+|\s+$', '', 'g') AS block, l, n FROM (
+    SELECT source || '/' || (doc_id // {DOCUMENT_SPAN}) AS document_id, doc_id AS page, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE trim(l) <> '')"""
+#: Their blocks, from raw lines: headings on three pages are text, procedures run on across pages.
+MULTI = r"""shaped AS (
+  SELECT *, CASE WHEN length(block) <= 80 AND NOT regexp_matches(block, '[.,;:]$') AND NOT regexp_matches(block, '^\*\*[^*\n]+:\*\*')
+    THEN lower(regexp_replace(regexp_replace(block, '^[#*\s]+|[#*\s]+$', '', 'g'), '^\s+|\s+$', '', 'g')) END AS heading FROM raw),
+again AS (SELECT document_id, heading FROM shaped WHERE heading IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT page) >= 3),
+typed AS (
+  SELECT s.document_id, page, n, block, structural, CASE WHEN regexp_matches(block, '^\s*\d+[.)]\s+\S') THEN 'procedure' WHEN s.heading IS NOT NULL AND a.heading IS NULL THEN 'heading' ELSE 'text' END AS kind
+  FROM shaped s LEFT JOIN again a ON a.document_id = s.document_id AND a.heading = s.heading),
+islands AS (
+  SELECT *, sum(CASE WHEN kind = 'procedure' AND prev = kind THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY page, n ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT *, lag(kind) OVER (PARTITION BY document_id ORDER BY page, n) AS prev FROM typed)),
+merged AS (SELECT document_id, island, any_value(kind) AS kind, string_agg(block, chr(10) ORDER BY page, n) AS block, min(page) AS page, max(page) AS page_end, bool_or(structural) AS structural FROM islands GROUP BY 1, 2),
+numbered AS (SELECT *, greatest(1, length(block) // 4) AS tokens, row_number() OVER w AS i, last_value(CASE WHEN kind = 'heading' THEN block END IGNORE NULLS) OVER w AS section FROM merged
+  WINDOW w AS (PARTITION BY document_id ORDER BY island ROWS UNBOUNDED PRECEDING)),
+blocks AS (SELECT *, sum(tokens) OVER (PARTITION BY document_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT - tokens AS before FROM numbered)"""
+
+
+def _multi_chunks_sql(most: int, overlap: int, least: int) -> str:
+    """Chunks one after the other from each document's first block, then islands of short ones."""
+    alone = f"kind = 'procedure' AND tokens > {most}"
+    return f"""{MULTI},
+chain AS (
+  SELECT document_id, i AS opener, i AS first, before FROM blocks WHERE i = 1
+  UNION ALL
+  SELECT * FROM (
+    WITH ends AS (
+      SELECT c.document_id, c.opener, c.first, o.kind = 'procedure' AND o.tokens > {most} AS was_alone,
+        (SELECT min(b.i) FROM blocks b WHERE b.document_id = c.document_id AND b.i > c.opener
+          AND (o.kind = 'procedure' AND o.tokens > {most} OR b.{alone.replace(" tokens", " b.tokens")} OR b.before + b.tokens - c.before > {most})) AS next
+      FROM chain c JOIN blocks o ON o.document_id = c.document_id AND o.i = c.opener)
+    SELECT e.document_id, e.next, t.i, t.before FROM ends e
+    JOIN blocks n ON n.document_id = e.document_id AND n.i = e.next
+    JOIN blocks t ON t.document_id = e.document_id AND t.i = CASE WHEN e.was_alone OR n.{alone.replace(" tokens", " n.tokens")} THEN e.next
+      ELSE coalesce((SELECT max(s.i) FROM blocks s WHERE s.document_id = e.document_id AND s.i >= e.first AND s.i < e.next AND n.before - s.before >= {overlap}), e.first) END)),
+spans AS (
+  SELECT document_id, opener, first, coalesce(lead(opener) OVER w - 1, (SELECT max(i) FROM blocks b WHERE b.document_id = chain.document_id)) AS last, row_number() OVER w - 1 AS chunk_index
+  FROM chain WINDOW w AS (PARTITION BY document_id ORDER BY opener)),
+packed AS (
+  SELECT s.document_id, chunk_index, string_agg(block, chr(10) || chr(10) ORDER BY i) AS content, min(page) AS page_start, max(page_end) AS page_end, max(CASE WHEN i = opener THEN section END) AS section, bool_or(structural) AS structural
+  FROM spans s JOIN blocks b ON b.document_id = s.document_id AND b.i BETWEEN s.first AND s.last GROUP BY 1, 2),
+joined AS (
+  SELECT *, CASE WHEN chunk_index > 0 AND greatest(1, length(content) // 4) < {least} AND lag(section) OVER w IS NOT DISTINCT FROM section AND NOT structural AND NOT lag(structural) OVER w THEN 0 ELSE 1 END AS fresh
+  FROM packed WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS run FROM joined),
+final AS (SELECT document_id, CAST(run - 1 AS INT) AS chunk_index, string_agg(content, chr(10) || chr(10) ORDER BY r.chunk_index) AS content, min(page_start) AS page_start, max(page_end) AS page_end, arg_min(struct_pack(s := section), r.chunk_index).s AS section, bool_or(structural) AS structural
+  FROM runs r GROUP BY document_id, run),
+chunks AS (SELECT *, greatest(1, length(content) // 4) AS token_count, CASE WHEN structural THEN 'structural' WHEN greatest(1, length(content) // 4) < {least} THEN 'runt' END AS section_type FROM final)"""
+
+
+@query(f"""WITH RECURSIVE {MULTI_LINES}, raw AS (SELECT *, false AS structural FROM every_line), {_multi_chunks_sql(120, 20, 50)}
+SELECT document_id, chunk_index, content, page_start, page_end, section, 'text' AS extraction_path, token_count, section_type FROM chunks""")
 def document_chunks(spark, sf_dir):
-    """Chunks of multi-page documents: repeated headings are text, sections and packing run across pages.
-
-    The rows of the chunk queries above are fixed by their SQL, which has one page a document.
-    """
+    """Chunks of multi-page documents: repeated headings are text, sections and packing run across pages."""
     return chunking.chunk_documents(bounded_documents(spark, sf_dir), most=120, overlap=20)
 
 
@@ -304,10 +360,12 @@ def page_triage(spark, sf_dir):
     return triage.triage(docs, figures).select("page_id", (F.col("extraction_path") == "vision").alias("vision"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || chr(10) || 'same row' WHEN doc_id % 3 = 1 THEN text || repeat(chr(10) || chr(10) || 'same row', 2) || chr(10) || chr(10) || 'end' ELSE text END AS cut
-FROM (SELECT doc_id, text FROM documents WHERE NOT contains(text, chr(10)))""")
+@query(r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN plain = '' THEN 'same row' ELSE plain || chr(10) || chr(10) || 'same row' END
+  WHEN 1 THEN text || repeat(chr(10) || chr(10) || 'same row', 2) || chr(10) || chr(10) || 'end' ELSE text END AS cut
+FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS plain FROM documents)""")
 def repetition_truncate(spark, sf_dir):
-    return _cut_loops(_read(spark, sf_dir, "documents").where(~F.col("text").contains("\n")))
+    """A loop of one row behind every document, which is one paragraph."""
+    return _cut_loops(_read(spark, sf_dir, "documents"))
 
 
 def _cut_loops(docs):
@@ -316,12 +374,17 @@ def _cut_loops(docs):
     return docs.select("doc_id", T.cut_repetition(looped).alias("cut"))
 
 
-@query()
+@query(r"""WITH looped AS (
+  SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) || CASE doc_id % 3 WHEN 0 THEN repeat(chr(10) || chr(10) || 'same row', 4) || chr(10) || chr(10) || 'end'
+    WHEN 1 THEN repeat(chr(10) || chr(10) || 'same row', 2) || chr(10) || chr(10) || 'end' ELSE '' END AS text FROM documents),
+parts AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM looped),
+same AS (SELECT *, list_transform(p, lambda x: regexp_replace(x, '\s+', ' ', 'g')) AS q FROM parts),
+hits AS (
+  SELECT doc_id, min({'first': a, 'period': k}) AS hit FROM (SELECT doc_id, q, unnest(range(1, len(q) + 1)) AS a FROM same), (VALUES (1), (2), (3)) periods(k)
+  WHERE a + 3 * k - 1 <= len(q) AND q[a:a + 2 * k - 1] = q[a + k:a + 3 * k - 1] GROUP BY 1)
+SELECT s.doc_id, CASE WHEN hit IS NULL THEN text ELSE array_to_string(p[1:hit.first + hit.period - 1], chr(10) || chr(10)) END AS cut FROM same s LEFT JOIN hits h ON h.doc_id = s.doc_id""")
 def repetition_truncate_all(spark, sf_dir):
-    """Repetitions cut in every document, each line a paragraph; a null text stays null.
-
-    The rows of ``repetition_truncate`` are fixed by its SQL, which has documents of one line only.
-    """
+    """Repetitions cut in every document, each line a paragraph; a null text stays null."""
     docs = _read(spark, sf_dir, "documents")
     return _cut_loops(docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
 
@@ -604,7 +667,20 @@ def embed_pending(spark, sf_dir):
     return done.select("chunk_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("chars", "spaces", "breaks"))])
 
 
-@query()
+@query(rf"""WITH RECURSIVE {MULTI_LINES},
+judged AS (
+  SELECT *, regexp_replace(regexp_replace(block, '\s+', ' ', 'g'), '\d+', '#', 'g') AS normalized, length(block) <= 80 AND NOT regexp_matches(block, '(?i)\b(warning|caution|danger|note:)\b') AS candidate,
+    count(*) OVER (PARTITION BY document_id) AS total FROM every_line),
+need AS (SELECT source || '/' || (doc_id // {DOCUMENT_SPAN}) AS document_id, greatest(5, CAST(ceil(count(*) * 0.1::DOUBLE) AS INT)) AS need FROM documents GROUP BY 1),
+furniture AS (SELECT document_id, normalized FROM judged JOIN need USING (document_id) WHERE candidate GROUP BY document_id, normalized, need HAVING count(DISTINCT page) >= need),
+marked_lines AS (SELECT j.*, j.candidate AND f.normalized IS NOT NULL AS gone FROM judged j LEFT JOIN furniture f ON f.document_id = j.document_id AND f.normalized = j.normalized),
+stopped AS (SELECT document_id FROM marked_lines GROUP BY 1 HAVING round(count(*) FILTER (gone) * 100.0::DOUBLE / count(*), 2) > 15),
+structural_page AS (SELECT document_id, page FROM every_line GROUP BY 1, 2
+  HAVING bool_or(regexp_matches(block, '(?i)^(contents|index|revision|document history)')) OR count(*) FILTER (regexp_matches(l, '(\.{{2,}}|\s{{2,}})\s*\d{{1,4}}\s*$')) >= 0.5 * count(*)),
+raw AS (SELECT m.document_id, m.page, block, n, s.page IS NOT NULL AS structural FROM marked_lines m LEFT JOIN structural_page s ON s.document_id = m.document_id AND s.page = m.page
+  WHERE NOT gone AND m.document_id NOT IN (FROM stopped)),
+{_multi_chunks_sql(1000, 100, 50)}
+SELECT sha256(document_id || '|' || chunk_index) AS chunk_id, document_id, chunk_index, token_count, section_type, 64 AS width FROM chunks""")
 def document_pipeline(spark, sf_dir):
     """All stages on all pages of multi-page documents: clean, chunk, embed."""
     chunks, _ = DocumentPipeline(HashingProvider(), min_ratio=0.1).run(bounded_documents(spark, sf_dir))
