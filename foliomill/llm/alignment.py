@@ -45,8 +45,9 @@ from foliomill.plans.workspace import materialize
 SPACE = "▁"
 #: from a space or line end behind a visible character to the next such place
 SEGMENT = re.compile(r"\s+\S*(?:[^\S \n]\s*\S*)*")
-SEGMENT_TABLE = 150_000
-WINDOW = 50_000
+#: bounds of the table: segments, and characters in them; segments of a window; characters that are learned at once
+SEGMENT_TABLE, HELD = 200_000, 4_000_000
+WINDOW, LEARNED = 200_000, 200_000
 #: an id pair as one number: A's id above, B's id in the low bits
 LOW = 32
 
@@ -57,29 +58,26 @@ def default_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups (first of A, behind the last of A, first of B, behind the last of B) between the ends that both have."""
-    at_a, at_b = {e: i for i, e in enumerate(ends_a, 1)}, {e: i for i, e in enumerate(ends_b, 1)}
-    groups, a, b = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        groups.append((a, at_a[end], b, at_b[end]))
-        a, b = at_a[end], at_b[end]
-    return groups
+def align(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(common ends in order, tokens of A up to each, tokens of B up to each): what lies between two of them is a group."""
+    at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
+    ends = sorted(at_a.keys() & at_b.keys())
+    return tuple(np.array(x, np.int64) for x in (ends, [at_a[e] for e in ends], [at_b[e] for e in ends]))
 
 
-def links_of(group: tuple[int, int, int, int], ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """(index in A, index in B) of all tokens of a group whose byte ranges overlap: the one that ends first gives way."""
-    i, last_a, j, last_b = group
-    found = []
-    while i < last_a and j < last_b:
-        found.append((i, j))
-        end_a, end_b = ends_a[i], ends_b[j]
-        i, j = i + (end_a <= end_b), j + (end_b <= end_a)
-    return found
+def expand(groups_a: np.ndarray, groups_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index in A, index in B of all overlapping tokens, links up to each group's end), in order of their places.
+
+    In a slice of m and n tokens whose last ends alone are common, the next link begins
+    where a token of either side ends: m + n - 1 links.
+    """
+    upto = groups_a + groups_b - np.arange(1, len(groups_a) + 1)
+    starts = np.union1d(ends_a, ends_b)
+    return np.searchsorted(ends_a, starts), np.searchsorted(ends_b, starts), upto
 
 
-class PairTokenizer(dict):
-    """segment -> (tokens of A, of B, groups, their text, linked id pairs), or None where the tokens don't spell it."""
+class PairTokenizer:
+    """Both tokenizers, and what they made of the segments met lately, by number."""
 
     def __init__(self, vocabulary: str, pieces: bytes, pattern: str) -> None:
         import json
@@ -87,64 +85,147 @@ class PairTokenizer(dict):
         import sentencepiece
         import tiktoken
 
-        super().__init__()
-        names = byte_names()
-        spelled = {i: bytes(names[c] for c in t) for t, i in json.loads(vocabulary)["model"]["vocab"].items() if all(c in names for c in t)}
-        special = {x["id"] for x in json.loads(vocabulary)["added_tokens"]}
-        self.bytes_a = {i: t for i, t in spelled.items() if i not in special}
-        ranks = {t: i for i, t in self.bytes_a.items()}
+        names, spec = byte_names(), json.loads(vocabulary)
+        special = {x["id"] for x in spec["added_tokens"]}
+        ranks = {bytes(names[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in special}
         self.a = tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         texts = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         byte = [re.fullmatch(r"<0x([0-9A-F]{2})>", t) if self.b.is_byte(i) else None for i, t in enumerate(texts)]
         self.bytes_b = [bytes([int(m[1], 16)]) if m else t.replace(SPACE, " ").encode() for t, m in zip(texts, byte)]
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
+        self.size_a, self.size_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
+        #: how an id is shown: A's before another of A and before B's, then B's before another of B and at the end
+        self.shown = [f"{i}{mark}" for mark, n in ((",", len(self.bytes_a)), ("|", len(self.bytes_a)), (",", len(self.bytes_b)), (";", len(self.bytes_b))) for i in range(n)]
         #: B has no piece across a cut, and its added space is a piece of its own before a line end
         self.cuts = not any("\n" in t or re.search(f"[^{SPACE}]{SPACE}", t) for t in texts)
         self.space = self.b.piece_to_id(SPACE)
-
-    def _ids_b(self, segment: str) -> list[int]:
-        if segment == " ":
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty tables: numbers of segments; by number, (tokens of A, of B, groups, links), groups' text and where in ``pairs`` the links' id pairs begin."""
+        self.numbers: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.counts, self.pairs, self.begins, self.held = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _keep(self, segments: list[str], counts: np.ndarray, texts: list[str], pairs: np.ndarray) -> None:
+        first, links = len(self.texts), np.maximum(counts[:, 3], 0)
+        self.numbers.update(zip(segments, range(first, first + len(segments))))
+        self.begins = np.concatenate([self.begins, len(self.pairs) + np.cumsum(links) - links])
+        self.counts, self.pairs = np.concatenate([self.counts, counts]), np.concatenate([self.pairs, pairs])
+        self.texts += texts
+        self.held += sum(map(len, segments))
+
+    def _ids_b(self, text: str) -> list[int]:
+        if text == " ":
             return [self.space]
-        if segment[0] == " ":
-            return self.b.encode(segment[1:], num_threads=1)
-        return self.b.encode(segment, num_threads=1)[1:]  # without the added space
-
-    def __missing__(self, segment: str) -> tuple | None:
-        ids_a, ids_b = self.a.encode_ordinary(segment), self._ids_b(segment)
-        parts_a, parts_b, raw = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b], segment.encode()
-        found = None
-        if b"".join(parts_a) == raw == b"".join(parts_b):
-            ends_a, ends_b = np.cumsum([len(x) for x in parts_a]).tolist(), np.cumsum([len(x) for x in parts_b]).tolist()
-            groups = align(ends_a, ends_b)
-            shown = ";".join(",".join(map(str, ids_a[a:c])) + "|" + ",".join(map(str, ids_b[b:d])) for a, c, b, d in groups)
-            pairs = np.array([ids_a[i] << LOW | ids_b[j] for g in groups for i, j in links_of(g, ends_a, ends_b)], np.int64)
-            found = (len(ids_a), len(ids_b), len(groups), shown, pairs)
-        if len(segment) <= 64:
-            if len(self) >= SEGMENT_TABLE:
-                self.clear()
-            self[segment] = found
-        return found
-
-    def document(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """(tokens of A, of B, groups, links, digest of the groups, distinct id pairs, times of each) of a whole text."""
-        nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if not text:
-            return nothing
-        spaced = " " + text
-        segments = (m[0] for m in SEGMENT.finditer(spaced)) if self.cuts else iter([spaced])
-        digest, n_a, n_b, n_groups, pairs, times = hashlib.sha256(), 0, 0, 0, [], []
-        while window := list(islice(segments, WINDOW)):
-            found = [self[s] for s in window]
-            if None in found:
-                return nothing
-            a, b, g, shown, linked = zip(*found)
-            digest.update(((";" if n_groups else "") + ";".join(shown)).encode())
-            n_a, n_b, n_groups = n_a + sum(a), n_b + sum(b), n_groups + sum(g)
-            ids, n = np.unique(np.concatenate(linked), return_counts=True)
-            pairs.append(ids)
-            times.append(n)
-        ids, n = (pairs[0], times[0]) if len(pairs) == 1 else _summed(np.concatenate(pairs), np.concatenate(times))
-        return n_a, n_b, n_groups, int(n.sum()), digest.hexdigest(), ids, n
+        if text[0] == " ":
+            return self.b.encode(text[1:], num_threads=1)
+        return self.b.encode(text, num_threads=1)[1:]  # without the added space
+
+    def _learn(self, segments: list[str]) -> None:
+        """Align segments that may stand behind each other; where the tokens don't spell them, each for itself."""
+        text = "".join(segments)
+        ids_a, ids_b = self.a.encode_ordinary(text), self._ids_b(text)
+        raw = text.encode()
+        spelled = b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b))
+        if not spelled and len(segments) > 1:
+            for segment in segments:
+                self._learn([segment])
+            return
+        if not spelled:
+            self._keep(segments, np.array([[-1, 0, 0, 0]]), [""], np.zeros(0, np.int64))
+            return
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        ends, upto_a, upto_b = align(ends_a.tolist(), ends_b.tolist())
+        of_a, of_b, upto_links = expand(upto_a, upto_b, ends_a, ends_b)
+        pairs = ids_a[of_a] << LOW | ids_b[of_b]
+        # groups' texts: all tokens, A's and B's of a group in turn, each with its mark
+        group_a, group_b = np.repeat(np.arange(len(ends)), np.diff(upto_a, prepend=0)), np.repeat(np.arange(len(ends)), np.diff(upto_b, prepend=0))
+        order, last = np.empty(len(ids_a) + len(ids_b), np.int64), len(self.bytes_a)
+        before_b = np.concatenate([[0], upto_b])[:-1]
+        order[np.arange(len(ids_a)) + before_b[group_a]] = ids_a + np.where(np.isin(ends_a, ends, assume_unique=True), last, 0)
+        order[np.arange(len(ids_b)) + upto_a[group_b]] = 2 * last + ids_b + np.where(np.isin(ends_b, ends, assume_unique=True), len(self.bytes_b), 0)
+        shown = list(map(self.shown.__getitem__, order.tolist()))
+        # a segment ends where both tokenizers end a token
+        upto = np.searchsorted(ends, np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in segments]), "right")
+        behind = np.stack([upto_a[upto - 1], upto_b[upto - 1], upto, upto_links[upto - 1]], 1)
+        marks = [0, *(behind[:, 0] + behind[:, 1]).tolist()]
+        self._keep(segments, np.diff(behind, axis=0, prepend=0), ["".join(shown[a:b]) for a, b in zip(marks, marks[1:])], pairs)
+
+    def learn(self, segments: list[str]) -> list[int]:
+        """Numbers of segments, old and new."""
+        numbers = self.numbers
+        missing = list(dict.fromkeys(s for s in segments if s not in numbers))
+        part, size = [], 0
+        for segment in missing:
+            # the last segment of a text may end in white space, and nothing may stand behind it
+            if not self.cuts or segment[-1].isspace():
+                self._learn([segment])
+                continue
+            part.append(segment)
+            size += len(segment)
+            if size > LEARNED:
+                self._learn(part)
+                part, size = [], 0
+        if part:
+            self._learn(part)
+        return list(map(numbers.__getitem__, segments))
+
+    def documents(self, texts: list[str]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each whole text (tokens of A, of B, groups, links, digest of the groups, distinct id pairs, times of each)."""
+        done = [[np.zeros(4, np.int64), hashlib.sha256(), False, [], []] for _ in texts]
+        for window in self._windows(texts):
+            if len(self.numbers) > SEGMENT_TABLE or self.held > HELD:
+                self.forget()
+            numbers = self.learn([s for _, segments in window for s in segments])
+            at = np.cumsum([0, *(len(segments) for _, segments in window)])
+            where = np.array(numbers, np.int64)
+            counts = self.counts[where]
+            links = counts[:, 3]
+            spots = np.repeat(self.begins[where] - np.cumsum(links) + links, links) + np.arange(links.sum())
+            ids, place = np.unique(self.pairs[spots], return_inverse=True)
+            owner = np.repeat(np.repeat(np.arange(len(window)), np.diff(at)), links)
+            keys, times = np.unique(owner * max(1, len(ids)) + place, return_counts=True)
+            cut = np.searchsorted(keys, np.arange(len(window) + 1) * max(1, len(ids)))
+            for n, (doc, _) in enumerate(window):
+                mine = done[doc]
+                here = counts[at[n] : at[n + 1]]
+                if here[:, 0].min() < 0:
+                    mine[2] = True
+                    continue
+                shown = "".join(map(self.texts.__getitem__, numbers[at[n] : at[n + 1]]))
+                # the mark behind the last group of a window stands before the next one's first
+                mine[1].update((shown[:-1] if not mine[0][0] else ";" + shown[:-1]).encode())
+                mine[0] += here.sum(0)
+                mine[3].append(ids[keys[cut[n] : cut[n + 1]] - n * max(1, len(ids))])
+                mine[4].append(times[cut[n] : cut[n + 1]])
+        out = []
+        for (a, b, groups, links), digest, broken, pairs, times in done:
+            if broken or not pairs:
+                out.append((0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            else:
+                ids, n = (pairs[0], times[0]) if len(pairs) == 1 else _summed(np.concatenate(pairs), np.concatenate(times))
+                out.append((int(a), int(b), int(groups), int(links), digest.hexdigest(), ids, n))
+        return out
+
+    def _windows(self, texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+        """(number of the text, segments), of all texts in order, so many segments at a time."""
+        window, size = [], 0
+        for n, text in enumerate(texts):
+            spaced = " " + text
+            found = (m[0] for m in SEGMENT.finditer(spaced)) if self.cuts and len(text) > HELD else iter(SEGMENT.findall(spaced) if self.cuts else [spaced])
+            while text and (part := list(islice(found, WINDOW))):
+                window.append((n, part))
+                size += len(part)
+                if size >= WINDOW:
+                    yield window
+                    window, size = [], 0
+        if window:
+            yield window
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +270,7 @@ def aligned_blocks(docs: DataFrame, vocabulary: str | None = None, pieces: str |
         tokenizers = _tokenizers(spec.value, base64.b64decode(model.value), pattern)
         block = TaskContext.get().partitionId() << 32
         for batch in (part for whole in batches for part in slices(whole, 1, block_bytes)):
-            found = [tokenizers.document(t.as_py() or "") for t in batch.column(1)]
+            found = tokenizers.documents([t or "" for t in batch.column(1).to_pylist()])
             held = [f[5] for f in found]
             pairs, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             at, times = [*(np.searchsorted(pairs, h) for h in held), None], [*(f[6] for f in found), n]

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -60,10 +61,10 @@ def run(spark, rows, schema="doc_id long, text string", **options):
 
 
 def test_groups_and_links_of_ends():
-    groups = alignment.align([3, 6, 7], [2, 6, 7])
-    assert groups == [(0, 2, 0, 2), (2, 3, 2, 3)]
-    assert alignment.links_of(groups[0], [3, 6, 7], [2, 6, 7]) == [(0, 0), (0, 1), (1, 1)]
-    assert alignment.align([], []) == []
+    ends, upto_a, upto_b = alignment.align([3, 6, 7], [2, 6, 7])
+    assert ends.tolist() == [6, 7] and upto_a.tolist() == [2, 3] and upto_b.tolist() == [2, 3]
+    a, b, upto = alignment.expand(upto_a, upto_b, np.array([3, 6, 7]), np.array([2, 6, 7]))
+    assert list(zip(a, b)) == [(0, 0), (0, 1), (1, 1), (2, 2)] and upto.tolist() == [3, 4]
 
 
 def test_equals_whole_texts_compared_pair_by_pair(spark):
@@ -79,18 +80,20 @@ def test_equals_whole_texts_compared_pair_by_pair(spark):
     assert sorted(run(spark, rows, block_bytes=300)) == expected
 
 
-def test_windows_and_full_tables_change_nothing(spark, monkeypatch):
-    text = "".join(f"word{i % 97} of line {i}\n" for i in range(900))
-    whole = alignment.PairTokenizer(open(alignment.default_vocabulary()).read(), open(alignment.default_pieces(), "rb").read(), alignment.default_pattern())
-    one = whole.document(text)
-    whole.cuts = False
-    assert [str(x) for x in whole.document(text)] == [str(x) for x in one]
-    whole.cuts = True
-    monkeypatch.setattr(alignment, "WINDOW", 7)
-    monkeypatch.setattr(alignment, "SEGMENT_TABLE", 20)
-    assert [str(x) for x in whole.document(text)] == [str(x) for x in one]
-    expected = by_definition([text])[0]
-    assert (one[0], one[1], one[2], one[3], one[4]) == (*expected[:4], expected[6])
+def test_windows_and_full_tables_change_nothing(monkeypatch):
+    texts = ["".join(f"word{i % 97} of line {i}\n" for i in range(900)), "", "two words", "under▁score " * 9, " " * 40]
+    tokenizers = alignment.PairTokenizer(open(alignment.default_vocabulary()).read(), open(alignment.default_pieces(), "rb").read(), alignment.default_pattern())
+    shown = lambda: [str(x) for x in tokenizers.documents(texts)]
+    one = shown()
+    assert [x[:5] for x in tokenizers.documents(texts)] == [(*r[:4], r[6]) for r in by_definition(texts)]
+    tokenizers.cuts = False
+    tokenizers.forget()
+    assert shown() == one
+    tokenizers.cuts = True
+    for name, bound in (("WINDOW", 7), ("SEGMENT_TABLE", 20), ("LEARNED", 30), ("HELD", 50)):
+        monkeypatch.setattr(alignment, name, bound)
+        tokenizers.forget()
+        assert shown() == one
 
 
 def test_repeated_rows_other_ids_and_empty_tables(spark):
@@ -106,4 +109,6 @@ def test_repeated_rows_other_ids_and_empty_tables(spark):
 def test_links_are_the_overlapping_ranges(a, b):
     spans = [list(zip([0, *x[:-1]], x)) for x in (a, b)]
     expected = [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (t, f) in enumerate(spans[1]) if s < f and t < e]
-    assert [x for g in alignment.align(a, b) for x in alignment.links_of(g, a, b)] == expected
+    _, upto_a, upto_b = alignment.align(a, b)
+    i, j, upto = alignment.expand(upto_a, upto_b, np.array(a), np.array(b))
+    assert list(zip(i, j)) == expected and upto[-1] == len(expected)
