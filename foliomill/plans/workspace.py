@@ -46,8 +46,25 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
 def delete_working_files(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote for this application; frames that read it can't be used any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    files, folder = _file_system(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    files.delete(folder, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of the storage that a path names, as Spark reaches it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _file_system(spark, path)
+    return files.exists(folder)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none for a folder that isn't there."""
+    files, folder = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
 
 
 def spread(table: DataFrame) -> DataFrame:

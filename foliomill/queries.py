@@ -18,7 +18,7 @@ from foliomill.operators.providers import HashingProvider
 from foliomill.plans.documents import DocumentPipeline
 from foliomill.plans.workspace import ensure_code, materialize, shared_dir, spread
 from foliomill.sources import files
-from foliomill.streaming.ingest import deduplicate_texts
+from foliomill.streaming import ingest
 
 QUERIES = {}
 ORACLES = {}
@@ -667,11 +667,11 @@ def embed_pending(spark, sf_dir):
     return done.select("chunk_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("chars", "spaces", "breaks"))])
 
 
-@query(rf"""WITH RECURSIVE {MULTI_LINES},
-judged AS (
-  SELECT *, regexp_replace(regexp_replace(block, '\s+', ' ', 'g'), '\d+', '#', 'g') AS normalized, length(block) <= 80 AND NOT regexp_matches(block, '(?i)\b(warning|caution|danger|note:)\b') AS candidate,
-    count(*) OVER (PARTITION BY document_id) AS total FROM every_line),
-need AS (SELECT source || '/' || (doc_id // {DOCUMENT_SPAN}) AS document_id, greatest(5, CAST(ceil(count(*) * 0.1::DOUBLE) AS INT)) AS need FROM documents GROUP BY 1),
+def _pipeline_sql(lines: str, pages: str) -> str:
+    """All stages in SQL: from every_line (document_id, page, block, l, n) and pages (document_id, n) to chunks; furniture on a tenth of the pages."""
+    return rf"""{lines},
+judged AS (SELECT *, regexp_replace(regexp_replace(block, '\s+', ' ', 'g'), '\d+', '#', 'g') AS normalized, length(block) <= 80 AND NOT regexp_matches(block, '(?i)\b(warning|caution|danger|note:)\b') AS candidate FROM every_line),
+need AS (SELECT document_id, greatest(5, CAST(ceil(n * 0.1::DOUBLE) AS INT)) AS need FROM ({pages})),
 furniture AS (SELECT document_id, normalized FROM judged JOIN need USING (document_id) WHERE candidate GROUP BY document_id, normalized, need HAVING count(DISTINCT page) >= need),
 marked_lines AS (SELECT j.*, j.candidate AND f.normalized IS NOT NULL AS gone FROM judged j LEFT JOIN furniture f ON f.document_id = j.document_id AND f.normalized = j.normalized),
 stopped AS (SELECT document_id FROM marked_lines GROUP BY 1 HAVING round(count(*) FILTER (gone) * 100.0::DOUBLE / count(*), 2) > 15),
@@ -679,7 +679,10 @@ structural_page AS (SELECT document_id, page FROM every_line GROUP BY 1, 2
   HAVING bool_or(regexp_matches(block, '(?i)^(contents|index|revision|document history)')) OR count(*) FILTER (regexp_matches(l, '(\.{{2,}}|\s{{2,}})\s*\d{{1,4}}\s*$')) >= 0.5 * count(*)),
 raw AS (SELECT m.document_id, m.page, block, n, s.page IS NOT NULL AS structural FROM marked_lines m LEFT JOIN structural_page s ON s.document_id = m.document_id AND s.page = m.page
   WHERE NOT gone AND m.document_id NOT IN (FROM stopped)),
-{_multi_chunks_sql(1000, 100, 50)}
+{_multi_chunks_sql(1000, 100, 50)}"""
+
+
+@query(f"""WITH RECURSIVE {_pipeline_sql(MULTI_LINES, f"SELECT source || '/' || (doc_id // {DOCUMENT_SPAN}) AS document_id, count(*) AS n FROM documents GROUP BY 1")}
 SELECT sha256(document_id || '|' || chunk_index) AS chunk_id, document_id, chunk_index, token_count, section_type, 64 AS width FROM chunks""")
 def document_pipeline(spark, sf_dir):
     """All stages on all pages of multi-page documents: clean, chunk, embed."""
@@ -687,16 +690,53 @@ def document_pipeline(spark, sf_dir):
     return chunks.select("chunk_id", "document_id", "chunk_index", "token_count", "section_type", F.size("embedding").alias("width"))
 
 
-@query("SELECT DISTINCT sha256(text) AS file_hash FROM documents")
-def stream_ingest(spark, sf_dir):
-    """Documents as a file stream; each content is let through once."""
+def _file_stream(spark, sf_dir):
+    """Documents as a stream of files."""
+    ensure_code(spark)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents*.parquet")
-    out = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-    fresh = deduplicate_texts(stream).select("file_hash")
-    run = fresh.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("file_hash string").parquet(f"{out}/table")
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents*.parquet")
+    path, content = F.concat(F.lit("/inbox/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".pdf")), F.encode("text", "utf-8")
+    return docs.select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("file_name"), F.sha2(content, 256).alias("file_hash"), content.alias("content"))
+
+
+def _stream_folder(spark):
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT sha256(text) AS file_hash, lpad(min(doc_id)::VARCHAR, 12, '0') || '.pdf' AS file_name FROM documents GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    """Documents as a file stream; each content is queued once, under the first of its names."""
+    out = _stream_folder(spark)
+    ingest.ingest_stream(_file_stream(spark, sf_dir), f"{out}/documents", f"{out}/state").awaitTermination()
+    return ingest.ingested(spark, f"{out}/documents").select("file_hash", "file_name")
+
+
+def _ten_line_pages(content: bytes) -> list:
+    """Pages of ten lines, every line a paragraph; files of some lengths are broken."""
+    if len(content) % 13 == 0:
+        raise ValueError("broken")
+    lines = content.decode().split("\n")
+    return [("\n\n".join(lines[at : at + 10]), True, None) for at in range(0, len(lines), 10)]
+
+
+WATCHED = r"""names AS (SELECT sha256(text) AS document_id, text, lpad(min(doc_id)::VARCHAR, 12, '0') || '.pdf' AS file_name, strlen(text) % 13 = 0 AS broken FROM documents GROUP BY text),
+every_line AS (
+  SELECT document_id, (n - 1) // 10 + 1 AS page, regexp_replace(l, '^\s+|\s+$', '', 'g') AS block, l, n FROM (
+    SELECT document_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM names WHERE NOT broken) WHERE trim(l) <> '')"""
+
+
+@query(f"""WITH RECURSIVE {_pipeline_sql(WATCHED, "SELECT document_id, (len(string_split(text, chr(10))) + 9) // 10 AS n FROM names WHERE NOT broken")},
+counted AS (SELECT document_id, count(*) AS n_chunks, sum(token_count)::BIGINT AS tokens FROM chunks GROUP BY 1)
+SELECT document_id, file_name, CASE WHEN broken THEN 'failed' ELSE 'review' END AS status, CASE WHEN broken THEN 'ValueError: broken' END AS error_message, coalesce(n_chunks, 0) AS n_chunks, coalesce(tokens, 0) AS tokens
+FROM names LEFT JOIN counted USING (document_id)""")
+def watched_documents(spark, sf_dir):
+    """Documents as a stream of files that runs through intake, extraction, cleaning, chunking and embedding; states and chunks of each."""
+    out = _stream_folder(spark)
+    pipeline = DocumentPipeline(HashingProvider(), min_ratio=0.1)
+    ingest.process_stream(_file_stream(spark, sf_dir), f"{out}/store", pipeline, _ten_line_pages, f"{out}/state", ask=False).awaitTermination()
+    chunks = ingest.processed(spark, f"{out}/store", "chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"))
+    found = ingest.processed(spark, f"{out}/store", "documents").join(chunks, "document_id", "left")
+    return found.select("document_id", "file_name", "status", "error_message", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
 
 
 def _documents(spark, sf_dir):
