@@ -641,6 +641,22 @@ def flat_graphic_grid(spark, sf_dir):
     return triage.pixel_figures(v.select("page_id", "x", "y", gray.alias("gray"))).withColumn("ink", F.round("ink", 6))
 
 
+@query("""WITH page AS (
+  SELECT doc_id AS page_id, 16 + doc_id % 5 AS w, CASE WHEN doc_id % 7 = 0 THEN repeat('FF', strlen(text)) ELSE hex(encode(text)) END AS bytes, strlen(text) // 20 AS h FROM documents),
+px AS (SELECT page_id, w, h, i // 20 AS y, i % 20 AS x, ('0x' || substr(bytes, 2 * i + 1, 2))::INT AS gray FROM page, unnest(range(h * 20)) t(i) WHERE i % 20 < w),
+ink AS (SELECT page_id, avg((gray < 250)::INT::DOUBLE) AS ink FROM px GROUP BY 1),
+c AS (SELECT page_id, y // greatest(1, h // 10) AS gy, x // greatest(1, w // 10) AS gx, stddev_pop(gray) > 12 AS t FROM px WHERE w >= 10 AND h >= 10 GROUP BY 1, 2, 3 HAVING gx < 10 AND gy < 10),
+r AS (SELECT page_id, gy, bool_or(t) AS t FROM c GROUP BY 1, 2),
+f AS (SELECT page_id, avg(t::INT::DOUBLE) < 0.3 AS flat FROM r GROUP BY 1)
+SELECT page_id, round(ink, 6) AS ink, ink IS NULL OR ink < 0.002 AS blank, coalesce(flat, false) AS flat FROM page LEFT JOIN ink USING (page_id) LEFT JOIN f USING (page_id)""")
+def raster_pages(spark, sf_dir):
+    """Every document's bytes as the gray samples of a page with rows of 20 bytes, of which 16 to 20 are shown; some pages are white."""
+    docs = _read(spark, sf_dir, "documents")
+    samples = F.when(F.col("doc_id") % 7 == 0, F.unhex(F.repeat(F.lit("FF"), F.octet_length("text")))).otherwise(F.encode("text", "utf-8"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), samples.alias("samples"), (16 + F.col("doc_id") % 5).cast("int").alias("width"), F.floor(F.octet_length("text") / 20).cast("int").alias("height"), F.lit(20).alias("stride"))
+    return triage.raster_figures(pages).withColumn("ink", F.round("ink", 6))
+
+
 class CountingProvider:
     """Offline: the figures of a text as its vector, so that SQL can tell them too."""
 

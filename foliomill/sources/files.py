@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliomill.functions.text import DOC_TYPES, read_page_file
+from foliomill.operators.triage import raster_judged, raster_of
 from foliomill.plans.workspace import materialize
 
 
@@ -71,7 +72,8 @@ def extract_pages(files: DataFrame, done: DataFrame, extractor: Callable[[bytes]
 
     Pages are document_id, page, text, nothing (blank or flat), image; failures are
     document_id, error_message. ``extractor`` turns a file's bytes into pages, each a text or a
-    (text, nothing, image) triple. Pages are numbered from 1; those done already are left
+    (text, nothing, image) triple; in place of ``nothing`` there may be the rendered page as
+    (gray samples, width, height, stride), from which it is judged here. Pages are numbered from 1; those done already are left
     out before anything is kept of them, and files whose ``page_counts`` (document_id,
     page_count) are all done are not opened. A file that fails gives a failure and no page,
     and the others go on.
@@ -83,7 +85,7 @@ def extract_pages(files: DataFrame, done: DataFrame, extractor: Callable[[bytes]
                 known = set(known or ())
                 try:
                     found = [(n, *(x if isinstance(x, tuple) else (x, False, None))) for n, x in enumerate(extractor(content), 1) if n not in known]
-                    rows = [(key, *row, None) for row in found]
+                    rows = [(key, n, text, _shows_nothing(page), image, None) for n, text, page, image in found]
                 except Exception as error:  # one unreadable file must not fail its whole task
                     rows = [(key, None, None, None, None, f"{type(error).__name__}: {error}")]
                 columns = list(zip(*rows)) or [()] * 6
@@ -99,6 +101,14 @@ def extract_pages(files: DataFrame, done: DataFrame, extractor: Callable[[bytes]
     return found.where("error_message is null").drop("error_message"), found.where("error_message is not null").select("document_id", "error_message")
 
 
+def _shows_nothing(page: bool | tuple | None) -> bool:
+    """As the extractor says, or as the rendered page shows."""
+    if isinstance(page, tuple):
+        _, blank, flat = raster_judged(raster_of(*page))
+        return blank or flat
+    return bool(page)
+
+
 def read_overrides(table: DataFrame) -> DataFrame:
     """(document_id, normalized) from rows (document_id, json) with arrays of lines; broken JSON counts as none."""
     return table.select("document_id", F.explode(F.array_distinct(F.from_json("json", "array<string>"))).alias("normalized"))
