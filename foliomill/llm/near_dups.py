@@ -97,7 +97,7 @@ def estimate(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), bands, sketch (eight longs)."""
+    """doc_id, text_hash, n_shingles, set_key (null for an empty set), bands, sketch (eight longs)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +112,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 keys.append(None if samples is None else xxhash.xxh3_128_digest(found.tobytes()))
                 bands.append(None if samples is None else band_keys(samples))
                 sketches.append(None if samples is None else odd_sketch(samples).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def linked(common, size, other, percent: int):
@@ -158,7 +158,7 @@ def sketch_estimate(a: Column, b: Column) -> Column:
 
 
 def _pick(group: pa.Table, shingle: int, hashes: WordHashes) -> tuple[list[int], list[np.ndarray]]:
-    """(row, set) of the rows whose text has the set of their class: of rows sharing a doc_id not all do, and some repeat."""
+    """(row, set) of the rows whose text has the set of their class, each class of a cell once."""
     rows, sets, seen = [], [], set()
     for n, (cell, cls, key, text) in enumerate(zip(group["cell"].to_pylist(), group["cls"].to_pylist(), group["set_key"].to_pylist(), texts_as_bytes(group["text"].combine_chunks()))):
         if (cell, cls) in seen:
@@ -175,8 +175,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     """doc_id, n_shingles, component_id, kept of every row; ``kept`` is true for the first document of a component."""
     signed = materialize(signatures(docs, shingle), "minhash-signatures")
     known = signed.where("set_key is not null and doc_id is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch", "n_shingles"), "doc_id").alias("of"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "set_key", "rep", "of.bands", "of.sketch", "of.n_shingles"), "minhash-classes")
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("text_hash", "bands", "sketch", "n_shingles"), F.struct("doc_id", "text_hash")).alias("of"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "set_key", "rep", "of.text_hash", "of.bands", "of.sketch", "of.n_shingles"), "minhash-classes")
 
     banded = classes.select("cls", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("cls").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -195,8 +195,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     lead = heads.select("dst", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("dst").alias("cls"), F.lit(True).alias("head"))
     weight = nearest.agg(F.sum("size"), F.count(F.lit(1))).first()
     tasks = max(1, int((weight[0] or 0) * 9 // block_bytes), weight[1] // (2 * few))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where("doc_id is not null")
-    known_as = classes.select("cls", "rep", "set_key", "sketch")
+    # a class is asked for by the id and the text that stand for it: of many texts under one id only that one; rows that repeat are one
+    texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null")
+    again = known.groupBy(F.col("doc_id").alias("rep"), "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = materialize(again, "minhash-repeated")
+    if not again.isEmpty():
+        once = texts.join(again, ["rep", "text_hash"], "left_semi").groupBy("rep", "text_hash").agg(F.first("text").alias("text"))
+        texts = texts.join(again, ["rep", "text_hash"], "left_anti").unionByName(once)
+    known_as = classes.select("cls", "rep", "text_hash", "set_key", "sketch")
 
     def confirm(group: pa.Table) -> pa.Table:
         group = group.sort_by([("dst", "ascending"), ("part", "ascending"), ("head", "descending")])
@@ -214,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
 
     # written first: where this is small Spark sends it to the texts and not the texts around
     met = materialize(follow.unionByName(lead).join(known_as.drop("sketch"), "cls"), "minhash-met")
-    met = met.join(texts, "rep").select("dst", "part", "cls", "head", "set_key", "text")
+    met = met.join(texts, ["rep", "text_hash"]).select("dst", "part", "cls", "head", "set_key", "text")
     confirmed = met.groupBy(F.pmod(F.xxhash64("dst", "part"), F.lit(tasks)).alias("task")).applyInArrow(confirm, "src long, dst long")
     # rows of one document are linked by that
     twice = known.join(classes.select("set_key", "cls"), "set_key").groupBy("doc_id").agg(F.min("cls").alias("src"), F.max("cls").alias("dst"), F.collect_set("cls").alias("all")).where("src <> dst")
@@ -245,7 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
                 found = joining_links(sets, sketches, np.unique(take["cluster"].to_numpy(), return_inverse=True)[1], percent)
             return pa.table({"src": pa.array([cls[rows[a]] for a, _ in found], pa.int64()), "dst": pa.array([cls[rows[b]] for _, b in found], pa.int64())})
 
-        joined = materialize(cells.join(known_as, "cls"), "minhash-cells").join(texts, "rep").select("cell", "cls", "cluster", "set_key", "sketch", "text")
+        joined = materialize(cells.join(known_as, "cls"), "minhash-cells").join(texts, ["rep", "text_hash"]).select("cell", "cls", "cluster", "set_key", "sketch", "text")
         links = materialize(joined.groupBy("cell").applyInArrow(settle, "src long, dst long").unionByName(confirmed), "minhash-links")
         clusters = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     clusters = materialize(classes.select("set_key", "cls", "rep").join(clusters, "cls"), "minhash-clustered")

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -102,6 +104,31 @@ def test_texts_of_a_repeated_id_both_link(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
 
 
+def test_many_texts_under_one_id_cost_what_they_cost_under_their_own(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for d in range(3_000):
+        copy = list(base)
+        copy[rng.integers(0, 120)] = f"own{d}"
+        texts.append(" ".join(copy))
+    seconds = []
+    for ids in (range(3_000), [7] * 3_000):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        began = time.time()
+        got = near_dups.near_duplicates(docs, shingle=2).collect()
+        seconds.append(time.time() - began)
+        assert len(got) == 3_000 and {r.component_id for r in got} == {min(ids)}
+    assert seconds[1] < 2 * seconds[0] + 5
+
+
+def test_a_row_that_repeats_often_is_read_once(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, a)] * 2_000 + [(2, a + " more"), (3, a + " other"), (4, "alone")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert len(got) == 2_003 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_sketch_columns_estimate_like_the_arrays(spark):
     rng = np.random.default_rng(3)
     maps = rng.integers(0, 1 << 63, (20, 8), dtype=np.int64)
