@@ -3,10 +3,10 @@
 Three base kinds are found by pattern: ``assign`` (a keyword, a separator, a value),
 ``access`` and ``hex``. A fourth, ``opaque``, takes long letter-digit runs that may be
 credentials or not. All candidate values are hashed and counted over the whole collection by
-distinct owners (sources), summed in two steps so that no value and no owner gathers in
-one task. A value known to few owners is owner-specific and counts as live, in however
-many of their repositories (documents) it stands; one that many owners hold is a copied
-example. Base spans always stay; opaque runs outside them are added as kind ``owned``
+distinct repositories (documents of an owner) and distinct owners (sources), summed in steps
+so that no value and no owner gathers in one task. A value known to few owners is
+owner-specific and counts as live, in however many of their repositories it stands; one that
+many owners hold is a copied example. Both counts are returned with each span. Base spans always stay; opaque runs outside them are added as kind ``owned``
 when they are owner-specific.
 
 A text's matches leave the scan as gaps and lengths; positions are running sums of these in
@@ -55,16 +55,16 @@ def _listed(spans: Column) -> Column:
 
 
 def judged_spans(docs: DataFrame, max_owners: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(rows with row, doc_id, text_hash; their spans: row, start, kind, end, live)."""
+    """(rows with row, doc_id, text_hash; their spans: row, start, kind, end, repositories, owners, live)."""
     text = F.coalesce("text", F.lit(""))
     found = F.concat(*[pattern_matches(text, k) for k in KINDS])
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.xxhash64("text").alias("text_hash"), found.alias("found"))
     rows = materialize(rows, "secret-candidates")
 
-    each = rows.where("size(found) > 0").select("row", "source", F.explode("found").alias("x")).select("row", "source", "x.*").repartition("row")
+    each = rows.where("size(found) > 0").select("row", "doc_id", "source", F.explode("found").alias("x")).select("row", "doc_id", "source", "x.*").repartition("row")
     so_far = Window.partitionBy("row", "kind").orderBy("n")
     spans = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far).cast("int")).where("hash is not null")
-    spans = spans.select("row", "source", (F.col("end") - F.col("len")).alias("start"), "kind", "end", "hash")
+    spans = spans.select("row", "doc_id", "source", (F.col("end") - F.col("len")).alias("start"), "kind", "end", "hash")
     # opaque runs count where no base span meets them: none that began before reaches in, none begins before their end
     owned = F.col("kind") == KINDS.index("owned")
     reach = F.max(F.when(~owned, F.col("end"))).over(Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
@@ -72,20 +72,23 @@ def judged_spans(docs: DataFrame, max_owners: int = 2) -> tuple[DataFrame, DataF
     free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("end"), F.lit(True))
     spans = materialize(spans.withColumn("reach", reach).withColumn("ahead", ahead).where(~owned | free).drop("reach", "ahead"), "secret-spans")
 
-    by_owner = spans.select("hash", "source").distinct()
-    owners = by_owner.groupBy("hash").agg((F.count(F.lit(1)) <= max_owners).alias("live"))
-    return rows.drop("found"), spans.join(owners, "hash").select("row", "start", "kind", "end", "live")
+    by_repository = spans.select("hash", "source", "doc_id").distinct()
+    by_owner = by_repository.groupBy("hash", "source").agg(F.count(F.lit(1)).alias("repositories"))
+    counts = by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    counts = counts.withColumn("live", F.col("owners") <= max_owners)
+    return rows.drop("found"), spans.join(counts, "hash").select("row", "start", "kind", "end", "repositories", "owners", "live")
 
 
 def scan_secrets(docs: DataFrame, max_owners: int = 2) -> DataFrame:
-    """Per row: doc_id, text_hash, counts, base_sha256, spans, and the spans as an array with their verdict.
+    """Per row: doc_id, text_hash, counts, base_sha256, spans, and the spans as an array with their verdict and frequencies.
 
-    A candidate is live if at most ``max_owners`` sources hold its value. Copies inside
-    one source don't count, so a verdict does not depend on how large an owner is.
+    A candidate is live if at most ``max_owners`` sources hold its value; in how many
+    repositories of theirs is counted too, but a verdict does not depend on how large an owner
+    is. ``frequencies`` lists repositories/owners of the spans in their order.
     """
     rows, spans = judged_spans(docs, max_owners)
-    judged = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("judged"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
+    judged = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "repositories", "owners"))).alias("judged"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,repositories:bigint,owners:bigint>>")
     owned = KINDS.index("owned")
     out = rows.join(judged, "row", "left").withColumn("judged", F.coalesce("judged", none))
     base, kept = F.filter("judged", lambda s: s["kind"] != owned), F.filter("judged", lambda s: (s["kind"] != owned) | s["live"])
@@ -98,6 +101,7 @@ def scan_secrets(docs: DataFrame, max_owners: int = 2) -> DataFrame:
         _listed(kept).alias("spans"),
         F.size(F.filter(kept, lambda s: s["kind"] == owned)).cast("long").alias("n_owned"),
         verdict(True).alias("n_live"), verdict(False).alias("n_examples"),
+        F.concat_ws(",", F.transform(kept, lambda s: F.concat_ws("/", s["repositories"].cast("string"), s["owners"].cast("string")))).alias("frequencies"),
         kept.alias("found"),
     )
 
