@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import time
 import zlib
 from collections.abc import Callable
@@ -10,6 +11,8 @@ from typing import Protocol
 
 
 class Provider(Protocol):
+    """``embed`` may also take ``input_type``: "passage" for texts that are stored, "query" for those that are searched for."""
+
     def embed(self, texts: list[str]) -> list[list[float]]: ...
     def complete(self, prompt: str) -> str: ...
     def transcribe(self, image: bytes, prompt: str) -> str: ...
@@ -74,6 +77,32 @@ def with_timeout(call: Callable, seconds: float) -> Callable:
     return run
 
 
+def embed_as(provider: Provider, texts: list[str], input_type: str) -> list[list[float]]:
+    """The provider's vectors of texts of a type; a provider that knows no types is just asked."""
+    parameters = inspect.signature(provider.embed).parameters.values()
+    if any(p.name == "input_type" or p.kind is p.VAR_KEYWORD for p in parameters):
+        return provider.embed(texts, input_type=input_type)
+    return provider.embed(texts)
+
+
+class Breaker:
+    """Calls of one task, given up once ``most`` in a row have failed: what is left is not asked for any more."""
+
+    def __init__(self, most: int | None) -> None:
+        self.most, self.failed, self.last = most, 0, None
+
+    def call(self, function: Callable, *args):
+        if self.most is not None and self.failed >= self.most:
+            raise ConnectionError(f"not asked after {self.failed} failures, the last: {self.last}")
+        try:
+            out = function(*args)
+        except Exception as error:
+            self.failed, self.last = self.failed + 1, f"{type(error).__name__}: {error}"
+            raise
+        self.failed = 0
+        return out
+
+
 class PatientProvider:
     """Another provider's calls with a time limit, tried again on passing errors."""
 
@@ -83,8 +112,8 @@ class PatientProvider:
     def _ask(self, name: str, *args):
         return with_retries(with_timeout(getattr(self.provider, name), self.seconds), **self.retries)(*args)
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        return self._ask("embed", texts)
+    def embed(self, texts: list[str], input_type: str = "passage") -> list[list[float]]:
+        return with_retries(with_timeout(lambda: embed_as(self.provider, texts, input_type), self.seconds), **self.retries)()
 
     def complete(self, prompt: str) -> str:
         return self._ask("complete", prompt)

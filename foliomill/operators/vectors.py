@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from foliomill.operators.providers import Breaker, embed_as
+from foliomill.plans.workspace import materialize, names_in
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays in double precision; null for a zero vector."""
@@ -79,31 +83,33 @@ def knn_edges(chunks: DataFrame, k: int = 5, threshold: float = 0.75, block: int
     return ranked.where((F.col("rank") <= k) & (F.col("similarity") >= threshold)).drop("rank")
 
 
-def embed(chunks: DataFrame, provider, key: str = "chunk_id", content: str = "content", batch: int = 16) -> DataFrame:
+def embed(chunks: DataFrame, provider, key: str = "chunk_id", content: str = "content", batch: int = 16, give_up: int | None = None) -> DataFrame:
     """``chunks`` with the vectors that are null filled in, and ``embed_error`` (null where all went well).
 
     A provider has ``embed(list[str]) -> list[list[float]]`` and is asked for ``batch`` texts
     a call, rows that have a vector already aside. If a call fails, its texts are asked for
-    one by one; those that fail again stay without a vector and with the error. The provider is sent to the
-    executors once; a repeated task asks again for the same texts.
+    one by one; those that fail again stay without a vector and with the error. After ``give_up``
+    failed calls in a row a task asks for nothing more. The provider is sent to the executors once; a
+    repeated task asks again for the same texts (``embed_resumable`` keeps what it has got).
     """
     names = chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        breaker = Breaker(give_up)
         for rows in batches:
             vectors, texts = rows.column(names.index("embedding")).to_pylist(), rows.column(names.index(content)).to_pylist()
             errors = [None] * len(vectors)
-            waiting = [range(at, min(at + batch, len(texts))) for at in range(0, len(texts), batch)]
+            waiting = [range(at, min(at + batch, len(texts))) for at in range(0, len(texts), batch)][::-1]
             while waiting:
                 part = waiting.pop()
                 try:
-                    fresh = provider.embed([texts[i] or "" for i in part])
+                    fresh = breaker.call(embed_as, provider, [texts[i] or "" for i in part], "passage")
                     if len(fresh) != len(part):
                         raise ValueError(f"{len(fresh)} vectors for {len(part)} texts")
                     vectors[part.start : part.stop] = fresh
                 except Exception as error:  # one text's failure must not undo the others: they are asked for singly
                     if len(part) > 1:
-                        waiting += [range(i, i + 1) for i in part]
+                        waiting += [range(i, i + 1) for i in reversed(part)]
                     else:
                         errors[part.start] = f"{type(error).__name__}: {error}"
             columns = [pa.array(vectors, pa.list_(pa.float32())) if n == "embedding" else c for n, c in zip(names, rows.columns)]
@@ -120,9 +126,40 @@ def embed_pending(chunks: DataFrame, provider, **options) -> DataFrame:
     return done.withColumn("embedding", F.when(F.col("embed_error").isNotNull(), F.raise_error(error).cast("array<float>")).otherwise(F.col("embedding"))).select(*chunks.columns)
 
 
+def embed_resumable(chunks: DataFrame, provider, store: str, key: str = "chunk_id", content: str = "content", batch: int = 16, round_rows: int = 100_000, give_up: int | None = 3) -> DataFrame:
+    """As ``embed``, with every vector that was got once kept in ``store`` and never asked for again.
+
+    Rows without a vector, less those whose key and text the store knows, are embedded in
+    rounds of about ``round_rows``; each round's vectors are added to the store by Spark's
+    writer when it ends, the vectors of a round with failures too. A run after one that
+    was cut short, or whose provider has died, asks for what is missing only. A text that
+    changes is asked for anew; rows that share key and text share their vector.
+    """
+    spark = chunks.sparkSession
+    kind = chunks.schema[key].dataType.simpleString()
+    hashed = chunks.withColumn("_text", F.xxhash64(content))
+    shape = f"{key} {kind}, _text long, embedding array<float>"
+    stored = lambda: spark.read.schema(shape).parquet(store) if names_in(spark, store) else spark.createDataFrame([], shape)
+    waiting = hashed.where(F.col("embedding").isNull()).groupBy(key, "_text").agg(F.first(content).alias(content))
+    waiting = waiting.join(stored().select(key, "_text"), [key, "_text"], "left_anti").withColumn("_round", F.xxhash64(key, "_text"))
+    waiting = materialize(waiting, "embed-waiting")
+    rounds, errors = max(1, -(-waiting.count() // round_rows)), []
+    for n in range(rounds):
+        part = waiting.where(F.pmod("_round", F.lit(rounds)) == n).drop("_round").withColumn("embedding", F.lit(None).cast("array<float>"))
+        done = materialize(embed(part, provider, key, content, batch, give_up), "embed-round")
+        done.where("embedding is not null").select(key, "_text", "embedding").write.mode("append").parquet(store)
+        errors.append(done.where("embedding is null").select(key, "_text", "embed_error"))
+    known = stored().groupBy(key, "_text").agg(F.first("embedding").alias("_found"))
+    failed = materialize(reduce(DataFrame.unionByName, errors), "embed-errors")
+    out = hashed.join(known, [key, "_text"], "left").join(failed, [key, "_text"], "left")
+    filled = F.coalesce("embedding", "_found").cast(chunks.schema["embedding"].dataType)
+    error = F.when(filled.isNull(), F.coalesce("embed_error", F.lit("no key")))
+    return out.select(*[filled.alias(c) if c == "embedding" else F.col(c) for c in chunks.columns], error.alias("embed_error"))
+
+
 def query_vector(text: str | None, provider) -> list[float]:
     """The vector of a search text; none for a blank one."""
-    return list(map(float, provider.embed([text.strip()])[0])) if text and text.strip() else []
+    return list(map(float, embed_as(provider, [text.strip()], "query")[0])) if text and text.strip() else []
 
 
 def missing_vectors(chunks: DataFrame, document_id) -> DataFrame:

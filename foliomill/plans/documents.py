@@ -31,7 +31,8 @@ class Processed:
 class DocumentPipeline:
     """Stages as functions from tables to tables; what is done already is left out by anti joins.
 
-    Provider calls have a time limit and are tried again on passing errors.
+    Provider calls have a time limit and are tried again on passing errors. With a
+    ``vector_store`` (a folder) vectors are kept there as they come and never asked for twice.
     """
 
     provider: object
@@ -41,6 +42,7 @@ class DocumentPipeline:
     chunk_tokens: int = 1000
     overlap: int = 100
     patient: bool = True
+    vector_store: str | None = None
 
     def __post_init__(self) -> None:
         self.asked = PatientProvider(self.provider) if self.patient else self.provider
@@ -143,7 +145,8 @@ class DocumentPipeline:
             old = chunks.join(passed.select("document_id").distinct(), "document_id", "left_anti").select(*chunks.columns)
         fresh = self.chunk(passed, old)
         every = fresh if old is None else old.unionByName(fresh)
-        embedded = materialize(vectors.embed(every, self.asked), "document-chunks")
+        asked = vectors.embed(every, self.asked) if self.vector_store is None else vectors.embed_resumable(every, self.asked, self.vector_store)
+        embedded = materialize(asked, "document-chunks")
         failed = embedded.where("embed_error is not null").groupBy("document_id").agg(F.min("embed_error").alias("error_message"))
         failed = failed if failures is None else failed.unionByName(failures.select("document_id", "error_message"))
         return Processed(self._states(documents, report, failed, fields), done, embedded.drop("embed_error"))

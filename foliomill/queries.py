@@ -683,6 +683,32 @@ def embed_pending(spark, sf_dir):
     return done.select("chunk_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("chars", "spaces", "breaks"))])
 
 
+class HalfProvider(CountingProvider):
+    """Has no answer to texts of an odd length."""
+
+    def embed(self, texts):
+        if any(len(t) % 2 for t in texts):
+            raise ValueError("odd")
+        return super().embed(texts)
+
+
+class DoublingProvider(CountingProvider):
+    """Twice the figures, so that one can tell who was asked."""
+
+    def embed(self, texts):
+        return [[2 * x for x in v] for v in super().embed(texts)]
+
+
+@query("""SELECT doc_id AS chunk_id, (length(text) * (1 + length(text) % 2))::DOUBLE AS chars, length(text) % 2 = 1 AS failed_first FROM documents""")
+def embed_resumed(spark, sf_dir):
+    """Every document's text embedded in two runs over one store: the second asks for what the first has not got."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/vectors-{uuid.uuid4().hex}"
+    first = materialize(vectors.embed_resumable(docs, HalfProvider(), folder, give_up=None), "embed-first").select("chunk_id", F.col("embed_error").isNotNull().alias("failed_first"))
+    done = vectors.embed_resumable(docs, DoublingProvider(), folder).select("chunk_id", F.get("embedding", F.lit(0)).cast("double").alias("chars"))
+    return done.join(first, "chunk_id")
+
+
 def _pipeline_sql(lines: str, pages: str) -> str:
     """All stages in SQL: from every_line (document_id, page, block, l, n) and pages (document_id, n) to chunks; furniture on a tenth of the pages."""
     return rf"""{lines},

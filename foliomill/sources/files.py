@@ -14,9 +14,22 @@ from foliomill.operators.triage import raster_judged, raster_of
 from foliomill.plans.workspace import materialize
 
 
+#: a file that can't be read costs its content and not the whole job; its path can still be listed
+UNREADABLE_LEFT_OUT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+
+
 def document_files(spark: SparkSession, directory: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, file_name, file_hash, content) of the files of a directory, not of those below it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(directory)
+    """(path, file_name, file_hash, content) of the files of a directory, not of those below it.
+
+    Rows with their hash or content are those of readable files; path and file_name alone
+    are read from the listing, of all files (``ingest_results`` tells the difference).
+    """
+    return binary_files(spark, directory, pathGlobFilter=pattern, recursiveFileLookup="false")
+
+
+def binary_files(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """(path, file_name, file_hash, content) of files or of a directory's."""
+    files = spark.read.format("binaryFile").options(**UNREADABLE_LEFT_OUT, **options).load(paths)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_hash"), "content")
 
 
@@ -24,10 +37,13 @@ def ingest_results(files: DataFrame, documents: DataFrame) -> DataFrame:
     """(path, file_name, document_id, duplicate, failed) of every file, in path order if sorted by path.
 
     The first file by path of a hash that ``documents`` lacks is new; others of known or
-    repeated content are duplicates; a file without content could not be read and failed.
+    repeated content are duplicates; a file without content could not be read and failed, as
+    have files that are listed and have no row once contents are read.
     Only names and hashes are kept, and they are written once, so contents are read once.
     """
-    named = materialize(files.select("path", "file_name", "file_hash"), "ingest-files")
+    read = materialize(files.select("path", "file_name", "file_hash"), "ingest-files")
+    lost = files.select("path", "file_name").join(read.select("path"), "path", "left_anti")
+    named = read.unionByName(materialize(lost.withColumn("file_hash", F.lit(None).cast("string")), "ingest-lost"))
     first = named.where("file_hash is not null").groupBy("file_hash").agg(F.min("path").alias("first_path"))
     known = documents.select("file_hash", F.lit(True).alias("known")).distinct()
     judged = named.join(first, "file_hash", "left").join(known, "file_hash", "left")

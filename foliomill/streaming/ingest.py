@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliomill.plans.workspace import materialize
-from foliomill.sources.files import ingest_results
+from foliomill.plans.workspace import materialize, path_exists
+from foliomill.sources.files import UNREADABLE_LEFT_OUT, binary_files, ingest_results
 from foliomill.streaming.batches import BatchTables, HashStore, committed
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
@@ -20,13 +20,33 @@ PROCESSED = ("results", "pages", "failures", "documents", "pages_clean", "clean_
 
 def watch(spark: SparkSession, inbox: str, pattern: str = "*.pdf", files_a_batch: int | None = None) -> DataFrame:
     """Stream of (path, file_name, file_hash, modificationTime, content) of files as they appear."""
-    reader = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern)
+    reader = spark.readStream.format("binaryFile").schema(BINARY).options(**UNREADABLE_LEFT_OUT).option("pathGlobFilter", pattern)
     if files_a_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_a_batch)
     files = reader.load(inbox)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_hash"), "modificationTime", "content")
 
 
+def listing(spark: SparkSession, inbox: str, pattern: str = "*.pdf", files_a_batch: int = 1000) -> DataFrame:
+    """Stream of (path, file_name) of files as they appear, at most so many a batch; ``process_stream`` opens them.
+
+    In this form a file that can't be read has a row in the results, as failed; in ``watch``,
+    which has the contents in the stream, it has none.
+    """
+    files = watch(spark, inbox, pattern, files_a_batch)
+    return files.select("path", "file_name")
+
+
+def opened(batch: DataFrame) -> DataFrame:
+    """(path, file_name, file_hash, content) of a bounded batch of paths; those that are gone have neither hash nor content."""
+    spark = batch.sparkSession
+    paths = [r.path for r in batch.select("path").distinct().collect()]  # at most files_a_batch of ``listing``
+    there = [p for p in paths if path_exists(spark, p)]
+    gone = spark.createDataFrame([(p, p.rsplit("/", 1)[-1]) for p in paths if p not in set(there)], "path string, file_name string")
+    gone = gone.withColumns({"file_hash": F.lit(None).cast("string"), "content": F.lit(None).cast("binary")})
+    return binary_files(spark, there).unionByName(gone) if there else gone
+
+
 def _start(files: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
@@ -75,10 +95,12 @@ def process_batch(batch: DataFrame, number: int, store: str, pipeline, extractor
         return
 
     def judged() -> DataFrame:
-        named = materialize(batch.select("path", "file_name", "file_hash"), "stream-files")
-        distinct = named.where("file_hash is not null").select("file_hash").distinct()
-        old = distinct.join(known.unknown(distinct, number), "file_hash", "left_anti")
-        return ingest_results(named, old)
+        # alone in the batch first; what is new there may be known from earlier batches
+        found = materialize(ingest_results(batch, spark.createDataFrame([], "file_hash string")), "stream-files")
+        new = found.where("not duplicate and not failed").select(F.col("document_id").alias("file_hash"))
+        fresh = known.unknown(new, number).select(F.col("file_hash").alias("document_id"), F.lit(True).alias("fresh"))
+        known_before = ~F.col("failed") & F.col("fresh").isNull()
+        return found.join(fresh, "document_id", "left").select("path", "file_name", "document_id", (F.col("duplicate") | known_before).alias("duplicate"), "failed")
 
     results = tables.stage("results", judged)
     fresh = results.where("not duplicate and not failed").select("path", "file_name", "document_id")
@@ -107,7 +129,8 @@ def process_batch(batch: DataFrame, number: int, store: str, pipeline, extractor
 
 def process_stream(files: DataFrame, store: str, pipeline, extractor: Callable[[bytes], list], checkpoint: str, once: bool = True, ask: bool = True) -> StreamingQuery:
     """A stream of files into documents with states, pages and chunks; ``processed`` reads the tables."""
-    return _start(files, lambda batch, number: process_batch(batch, number, store, pipeline, extractor, ask), checkpoint, once)
+    open_first = (lambda batch: batch) if "content" in files.columns else opened
+    return _start(files, lambda batch, number: process_batch(open_first(batch), number, store, pipeline, extractor, ask), checkpoint, once)
 
 
 def processed(spark: SparkSession, store: str, table: str) -> DataFrame | None:
