@@ -11,13 +11,17 @@ Among the occurrences of one anchor, the suffixes that begin there are put in or
 the texts before it, read backwards. The longest common prefix of two suffixes plus that of
 the texts before them is the factor that both places share; where it reaches ``length``, the
 bytes of the factor are covered. Small groups are compared in one matrix of common lengths,
-large ones by the classes that their orders, cut at each length, fall into. Bytes decide,
-hashes only say where to look. Stretches that repeat themselves at a short distance (long
+large ones by the classes that their orders, cut at each length, fall into. There bytes decide
+and hashes only say where to look. Stretches that repeat themselves at a short distance (long
 rows of dashes) are settled inside their text, and only one period of them is sent.
 
-Anchors of more than ``hot`` occurrences would make one group too large. Their strings are
-spelled out as 128-bit hashes and each is compared with the first and last place of equal
-ones in a Spark aggregation, which splits them over all tasks.
+Anchors of more than ``hot`` occurrences would make one group too large. Of these, equal
+surroundings (128-bit hashes of their bytes) are put together by a Spark aggregation first: they
+cover each other, and one of them stands for all, which leaves few of a passage that very many texts
+share. Anchors that are below ``hot`` by then are ordered like the others. What is left, at
+the edges of such passages, is spelled out as 128-bit hashes of its strings, and each is
+compared with the first and last place of equal ones in a Spark aggregation, which splits
+them over all tasks.
 
 Texts are handled once per distinct text; rows with equal texts are copies of each other.
 
@@ -296,9 +300,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
                         column.append(value)
                     held += len(row[7] or b"")
                     if held > PART_BYTES:
-                        yield _stretches(columns)
+                        yield _stretches(columns, batch.column(2).type)
                         columns, held = [[] for _ in range(8)], 0
-            yield _stretches(columns)
+            yield _stretches(columns, batch.column(2).type)
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"t1 long, t2 long, first {id_kind}, begin long, h long, place int, hot boolean, bytes binary"
@@ -311,14 +315,29 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
         t1, t2, begin = (group[c].to_numpy() for c in ("t1", "t2", "begin"))
         # stretches in document order, so that "earlier" means the smaller doc_id
         rank = np.empty(group.num_rows, np.int64)
-        rank[np.lexsort((begin, t2, t1, group["first"].fill_null(-(1 << 62)).to_numpy()))] = np.arange(group.num_rows)
+        first = pc.rank(group["first"].combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        rank[np.lexsort((begin, t2, t1, first))] = np.arange(group.num_rows)
         found = list(repeated_spans(group["bytes"].to_pylist(), group["place"].to_pylist(), rank, length, keep_first))
         row = np.array([x[0] for x in found], np.int64)
         out = pa.table({"t1": t1[row], "t2": t2[row], "begin": begin[row] + np.array([x[1] for x in found], np.int64), "end": begin[row] + np.array([x[2] for x in found], np.int64)})
         return pa.concat_tables([out, copies.select(["t1", "t2", "begin", "h"]).rename_columns(out.column_names)])
 
     parts = [sent.where("hot is null or not hot").groupBy(F.pmod("h", F.lit(buckets))).applyInArrow(order, spans)]
+    position = F.struct("first", "t1", "t2", "begin")
     if count[1]:
+        # most of a passage that very many texts hold is alike all around its anchors: equal stretches are covered by each other, and one of them stands for all
+        hot_ones = materialize(sent.where("hot").withColumns({"k1": F.xxhash64("bytes"), "k2": F.xxhash64(F.lit(1), "bytes")}), "repeat-hot")
+        alike = ["h", "place", "k1", "k2"]
+        groups = hot_ones.groupBy(*alike).agg(F.min(position).alias("low"), F.count(F.lit(1)).alias("n"))
+        groups = materialize(groups, "repeat-alike")
+        members = hot_ones.select(*alike, "first", "t1", "t2", "begin", (F.col("begin") + F.octet_length("bytes")).alias("end"))
+        members = members.join(groups.where("n > 1"), alike).where(position > F.col("low") if keep_first else F.lit(True))
+        parts.append(members.select("t1", "t2", "begin", "end"))
+        heads = hot_ones.join(groups.select(*alike, "low"), alike).where(position.eqNullSafe(F.col("low")))
+        heads = materialize(heads.select("t1", "t2", "first", "begin", "h", "place", "bytes"), "repeat-heads")
+        still = materialize(heads.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "repeat-still-hot")
+        again = heads.join(still.select("h"), "h", "left_anti").select(*heads.columns)
+        parts.append(again.groupBy(F.pmod("h", F.lit(max(1, heads.count() // bucket)))).applyInArrow(order, spans))
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _parts(batches, 4):
@@ -328,8 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_first: bool = False,
                     n = len(keys[0])
                     yield pa.RecordBatch.from_arrays([*keys, *(pa.repeat(x, n) for x in (t1, t2, first)), pa.array(begin.as_py() + np.arange(n))], names=["k1", "k2", "t1", "t2", "first", "begin"])
 
-        spelled = sent.where("hot").select("t1", "t2", "first", "begin", "bytes").mapInArrow(spell, f"k1 long, k2 long, t1 long, t2 long, first {id_kind}, begin long")
-        position = F.struct("first", "t1", "t2", "begin")
+        spelled = heads.join(still.select("h"), "h", "left_semi").select("t1", "t2", "first", "begin", "bytes").mapInArrow(spell, f"k1 long, k2 long, t1 long, t2 long, first {id_kind}, begin long")
         ends = spelled.groupBy("k1", "k2").agg(F.min(position).alias("low"), F.max(position).alias("high")).where("low <> high")
         again = spelled.join(ends, ["k1", "k2"]).where(position > F.col("low") if keep_first else F.lit(True))
         parts.append(again.select("t1", "t2", "begin", (F.col("begin") + length).alias("end")))
@@ -369,9 +387,9 @@ def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
         yield from slices(batch, text, PART_BYTES)
 
 
-def _stretches(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-    arrays = [pa.array(c, k or pa.int64()) for c, k in zip(columns, kinds)]
+def _stretches(columns: list[list], id_kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), id_kind, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
     return pa.RecordBatch.from_arrays(arrays, names=["t1", "t2", "first", "begin", "h", "place", "hot", "bytes"])
 
 
