@@ -84,6 +84,23 @@ def drop_key(metadata: Column, key: str) -> Column:
     return F.map_filter(metadata, lambda k, _: k != key)
 
 
+#: the entry of a document's metadata that lets it pass the safety rail
+PROCEED = "proceed_override"
+
+
+def set_proceed(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``documents`` with the override to proceed merged into the metadata of those in ``ids``."""
+    chosen = ids.select("document_id", F.lit(True).alias("_chosen")).distinct()
+    joined = documents.join(chosen, "document_id", "left")
+    merged = F.when(F.col("_chosen"), set_key(F.col("metadata"), PROCEED, "true")).otherwise(F.col("metadata"))
+    return joined.select(*[merged.alias(c) if c == "metadata" else F.col(c) for c in documents.columns])
+
+
+def proceeding(documents: DataFrame) -> DataFrame:
+    """(document_id) of the documents whose metadata says that they proceed past the safety rail."""
+    return documents.where(F.try_element_at("metadata", F.lit(PROCEED)) == "true").select("document_id")
+
+
 def retrieval_override(chunks: DataFrame, condition: Column, include: bool) -> DataFrame:
     changed = set_key(F.col("metadata"), "retrieval_override", "true") if include else drop_key(F.col("metadata"), "retrieval_override")
     return update_where(chunks, condition, {"metadata": changed})

@@ -73,6 +73,12 @@ def status_lines(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.desc("created_at"), "document_id").select(line.alias("line"))
 
 
+def documents_in_order(documents: DataFrame, newest_first: bool = True) -> DataFrame:
+    """Documents by arrival; of one moment by id, and those without a moment last."""
+    moment = F.col("created_at")
+    return documents.orderBy(moment.desc_nulls_last() if newest_first else moment.asc_nulls_last(), "document_id")
+
+
 def document_colours(documents: DataFrame) -> DataFrame:
     """(document_id, position, hue): a colour by order of arrival."""
     placed = running(documents.select("document_id", "created_at"), [F.col("created_at"), F.col("document_id")])
@@ -117,6 +123,23 @@ def read_report(table: DataFrame) -> DataFrame:
     return table.select("document_id", F.from_json("json", shape).alias("x")).select("document_id", "x.*")
 
 
+def check_tables(tables: dict[str, DataFrame], wanted: dict[str, dict[str, str]]) -> list[tuple[str, str | None, str]]:
+    """(table, column, what is wrong) of tables that are missing or lack columns of a type, as ``wanted`` (table -> column -> type) has them; none if all is well."""
+    wrong: list[tuple[str, str | None, str]] = []
+    for name, columns in wanted.items():
+        if name not in tables:
+            wrong.append((name, None, "missing table"))
+            continue
+        have = {f.name: f.dataType.simpleString() for f in tables[name].schema.fields}
+        wrong += [(name, c, "missing column" if c not in have else f"is {have[c]}, not {kind}") for c, kind in columns.items() if have.get(c) != kind]
+    return wrong
+
+
+def check_settings(found: dict[str, str | None], needed: tuple[str, ...]) -> list[str]:
+    """Names of settings (of the environment, or of a table of them) that a run needs and that are missing or blank."""
+    return [name for name in needed if not (found.get(name) or "").strip()]
+
+
 def check_vectors(chunks: DataFrame, width: int) -> DataFrame:
     """(chunk_id, found_width) of vectors that have not ``width`` components."""
     return chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") != width)).select("chunk_id", F.size("embedding").alias("found_width"))

@@ -128,9 +128,12 @@ class DocumentPipeline:
         A document in ``failures`` (document_id, error_message), or one whose embedding
         fails, is ``failed`` with the message, and the others go on. One that the safety
         rail stops goes to ``review`` with a warning in its metadata and keeps the chunks it
-        has. All others end in ``review`` without an error. Chunks and vectors in ``chunks``
+        has, unless it is in ``proceed`` or its metadata holds the override to proceed. All others end in ``review`` without an error. Chunks and vectors in ``chunks``
         are not made again, unless ``replace`` (documents that pass the rail get new ones).
         """
+        if "metadata" in documents.columns:
+            written = store.proceeding(documents)
+            proceed = written if proceed is None else written.unionByName(proceed.select("document_id"))
         if failures is not None:
             pages = pages.join(failures.select("document_id"), "document_id", "left_anti")
         fields = None
@@ -171,6 +174,10 @@ class DocumentPipeline:
         mine = pages.join(ids.select("document_id").distinct(), "document_id", "left_semi")
         return self.process(documents, mine, chunks, **options)
 
+    def proceed_anyway(self, documents: DataFrame, ids: DataFrame, pages: DataFrame, chunks: DataFrame | None = None, **options) -> Processed:
+        """The override to proceed written to the metadata of the documents in ``ids``, and these tried again: this and every later run lets them pass."""
+        return self.retry(store.set_proceed(documents, ids), ids, pages, chunks, **options)
+
     def restore_furniture(self, documents: DataFrame, pages: DataFrame, chunks: DataFrame, overrides: DataFrame, added: DataFrame, **options) -> tuple[Processed, DataFrame]:
         """(outcome, overrides with ``added`` (document_id, normalized)): the documents of the added lines are cleaned, chunked and embedded anew."""
         together = overrides.select("document_id", "normalized").unionByName(added.select("document_id", "normalized")).distinct()

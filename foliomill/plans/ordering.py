@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from foliomill.plans.workspace import materialize
 
 
+def positions(ordered: DataFrame) -> DataFrame:
+    """``ordered``, which ends in a global sort, with ``position`` (from 0 in its order)."""
+    return _numbered(ordered, ())
+
+
 def running(table: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
     """``table`` with ``position`` (from 0 in this order) and ``before_<c>`` (the sum of c over all earlier rows) for each of ``sums``.
 
@@ -16,7 +21,11 @@ def running(table: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -
     the ranges, one row each, give the offsets. ``order`` should tell all rows apart, or
     ties fall as they come. An empty table stays empty.
     """
-    placed = table.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
+    return _numbered(table.orderBy(*order), sums)
+
+
+def _numbered(table: DataFrame, sums: tuple[str, ...]) -> DataFrame:
+    placed = table.withColumn("_range", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
     placed = materialize(placed, "ordered")
     in_range = Window.partitionBy("_range").orderBy("_seq")
     earlier = in_range.rowsBetween(Window.unboundedPreceding, -1)

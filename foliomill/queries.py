@@ -16,6 +16,7 @@ from foliomill.functions import text as T
 from foliomill.operators import chunking, cleaning, flags, graph, store, triage, vectors, views
 from foliomill.operators.providers import HashingProvider
 from foliomill.plans.documents import DocumentPipeline
+from foliomill.plans.ordering import positions
 from foliomill.plans.workspace import ensure_code, materialize, shared_dir, spread
 from foliomill.sources import files
 from foliomill.streaming import ingest
@@ -805,6 +806,22 @@ def process_documents(spark, sf_dir):
     return run.documents.select("document_id", "status", "error_message", warned.alias("warned"))
 
 
+@query(f"""WITH {REPORT.removeprefix("WITH ")},
+d AS (SELECT source AS document_id, count(*) AS n, length(source) % 2 = 0 AS override FROM documents GROUP BY 1)
+SELECT document_id, 'review' AS status, CASE WHEN override THEN 'true' END AS override, stripped_pct > 1 AND NOT override AS warned, override OR stripped_pct <= 1 AS chunked FROM d JOIN report USING (document_id)""")
+def proceed_override(spark, sf_dir):
+    """Documents that the safety rail has stopped; those of an even length of name are told to proceed and tried again."""
+    documents, pages = _documents(spark, sf_dir), pages_of(spark, sf_dir)
+    pipeline = DocumentPipeline(CountingProvider(), min_ratio=0.1, rail_pct=1.0)
+    first = pipeline.process(documents.where("length(document_id) % 2 = 1"), pages.where("length(document_id) % 2 = 1"), ask=False)
+    told = documents.where("length(document_id) % 2 = 0")
+    second = pipeline.proceed_anyway(told, told.select("document_id"), pages, ask=False)
+    override, warned = F.try_element_at("metadata", F.lit(store.PROCEED)), F.try_element_at("metadata", F.lit("cleaning_warning")).isNotNull()
+    chunked = first.chunks.unionByName(second.chunks).select("document_id", F.lit(True).alias("chunked")).distinct()
+    done = first.documents.unionByName(second.documents).join(chunked, "document_id", "left")
+    return done.select("document_id", "status", override.alias("override"), warned.alias("warned"), F.coalesce("chunked", F.lit(False)).alias("chunked"))
+
+
 @query(f"""WITH {_furniture_sql('0.1')}, left_over AS (SELECT document_id, normalized FROM furniture WHERE length(normalized) % 2 = 1),
 counts AS (SELECT m.document_id, count(*) AS total_lines, count(*) FILTER (candidate AND f.normalized IS NOT NULL) AS stripped_lines FROM marked m LEFT JOIN left_over f USING (document_id, normalized) GROUP BY 1)
 SELECT document_id, total_lines, stripped_lines FROM counts""")
@@ -975,6 +992,14 @@ def status_report(spark, sf_dir):
     return views.status_lines(documents)
 
 
+@query("SELECT o_orderkey AS document_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")
+def documents_by_arrival(spark, sf_dir):
+    """Orders as documents, the oldest first; the place each has in that order."""
+    documents = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").alias("created_at"))
+    # the sort above is by ranges: rows are numbered by their partition and their place in it
+    return positions(views.documents_in_order(documents, newest_first=False)).select("document_id", F.col("position").alias("place"))
+
+
 @query("""SELECT o_orderkey AS document_id, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS position,
   CAST(round(((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) * 137.508::DOUBLE) % 360, 0) AS INT) AS hue FROM orders""")
 def document_colours(spark, sf_dir):
