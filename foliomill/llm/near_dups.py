@@ -202,7 +202,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     if not again.isEmpty():
         once = texts.join(again, ["rep", "text_hash"], "left_semi").groupBy("rep", "text_hash").agg(F.first("text").alias("text"))
         texts = texts.join(again, ["rep", "text_hash"], "left_anti").unionByName(once)
-    known_as = classes.select("cls", "rep", "text_hash", "set_key", "sketch")
+    # texts move once: those of all classes that share a band, for both steps; written ids first, so that where they are few Spark sends them to the texts
+    wanted = near.select(F.col("src").alias("cls")).unionByName(near.select(F.col("dst").alias("cls"))).distinct()
+    wanted = materialize(wanted.join(classes.select("cls", "rep", "text_hash", "set_key", "sketch"), "cls"), "minhash-wanted")
+    banded_texts = materialize(wanted.join(texts, ["rep", "text_hash"]).select("cls", "set_key", "sketch", "text"), "minhash-texts")
 
     def confirm(group: pa.Table) -> pa.Table:
         group = group.sort_by([("dst", "ascending"), ("part", "ascending"), ("head", "descending")])
@@ -218,9 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
                 to.append(dst[row])
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(to, pa.int64())})
 
-    # written first: where this is small Spark sends it to the texts and not the texts around
-    met = materialize(follow.unionByName(lead).join(known_as.drop("sketch"), "cls"), "minhash-met")
-    met = met.join(texts, ["rep", "text_hash"]).select("dst", "part", "cls", "head", "set_key", "text")
+    met = materialize(follow.unionByName(lead), "minhash-met").join(banded_texts.drop("sketch"), "cls").select("dst", "part", "cls", "head", "set_key", "text")
     confirmed = met.groupBy(F.pmod(F.xxhash64("dst", "part"), F.lit(tasks)).alias("task")).applyInArrow(confirm, "src long, dst long")
     # rows of one document are linked by that
     twice = known.join(classes.select("set_key", "cls"), "set_key").groupBy("doc_id").agg(F.min("cls").alias("src"), F.max("cls").alias("dst"), F.collect_set("cls").alias("all")).where("src <> dst")
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
                 found = joining_links(sets, sketches, np.unique(take["cluster"].to_numpy(), return_inverse=True)[1], percent)
             return pa.table({"src": pa.array([cls[rows[a]] for a, _ in found], pa.int64()), "dst": pa.array([cls[rows[b]] for _, b in found], pa.int64())})
 
-        joined = materialize(cells.join(known_as, "cls"), "minhash-cells").join(texts, ["rep", "text_hash"]).select("cell", "cls", "cluster", "set_key", "sketch", "text")
+        joined = materialize(cells, "minhash-cells").join(banded_texts, "cls").select("cell", "cls", "cluster", "set_key", "sketch", "text")
         links = materialize(joined.groupBy("cell").applyInArrow(settle, "src long, dst long").unionByName(confirmed), "minhash-links")
         clusters = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     clusters = materialize(classes.select("set_key", "cls", "rep").join(clusters, "cls"), "minhash-clustered")
