@@ -61,6 +61,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that it holds; nothing happens where there is none."""
+    files, folder = _file_system(spark, path)
+    files.delete(folder, True)
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of what a folder holds; none for a folder that isn't there."""
     files, folder = _file_system(spark, path)
