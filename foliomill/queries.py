@@ -17,9 +17,11 @@ from foliomill.operators import chunking, cleaning, flags, graph, store, triage,
 from foliomill.operators.providers import HashingProvider
 from foliomill.plans.documents import DocumentPipeline
 from foliomill.plans.ordering import positions
+from foliomill.plans.scoped import DocumentStore
 from foliomill.plans.workspace import ensure_code, materialize, shared_dir, spread
 from foliomill.sources import files
 from foliomill.streaming import ingest
+from foliomill.streaming.components import ComponentStore
 
 QUERIES = {}
 ORACLES = {}
@@ -489,6 +491,16 @@ def components(spark, sf_dir):
     return _components(spark, sf_dir)
 
 
+@query(f"WITH {COMPONENTS} SELECT * FROM components WHERE node IN (SELECT source FROM edges UNION SELECT target FROM edges)")
+def components_by_batch(spark, sf_dir):
+    """The graph's edges added in three batches to components that are kept."""
+    edges = materialize(_edges(spark, sf_dir), "edges")
+    kept = ComponentStore(spark, _stream_folder(spark))
+    for number in range(3):
+        kept.add(edges.where((F.col("source") + F.col("target")) % 3 == number), number)
+    return kept.labels()
+
+
 @query(f"WITH {COMPONENTS} SELECT component, count(*) AS members FROM components GROUP BY 1 HAVING count(*) >= 2")
 def cluster_sizes(spark, sf_dir):
     return graph.cluster_sizes(_components(spark, sf_dir))
@@ -985,6 +997,30 @@ def hard_reset(spark, sf_dir):
     return left["documents"].select("document_id").join(counts, "document_id", "left").fillna(0, ["chunks"])
 
 
+def _stored_orders(spark, sf_dir):
+    """Customers as documents and their orders as chunks, in a store of tables cut by document."""
+    c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
+    documents = c.select(F.col("c_custkey").alias("document_id"), F.lit("review").alias("status"), F.lit("late").alias("error_message"))
+    chunks = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding"))
+    kept = DocumentStore(spark, _stream_folder(spark), buckets=16)
+    kept.create({"documents": documents, "chunks": chunks})
+    return kept
+
+
+@query("""SELECT c_custkey AS document_id, CASE WHEN c_custkey % 3 = 0 THEN 'queued' ELSE 'review' END AS status, CASE WHEN c_custkey % 3 <> 0 THEN 'late' END AS error_message,
+  count(o_orderkey) FILTER (c_custkey % 3 <> 0) AS vectors, count(o_orderkey) AS chunks FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 <> 0 GROUP BY 1""")
+def stored_changes(spark, sf_dir):
+    """Documents set back and documents removed in stored tables, each as one operation on both tables; a repeated operation changes nothing."""
+    kept = _stored_orders(spark, sf_dir)
+    some, gone = (kept.table("documents").where(f"document_id % {n} = 0").select("document_id") for n in (3, 5))
+    gone = materialize(gone, "removed")
+    kept.change("set-back", some, lambda tables: store.reprocess(tables, some, "embed"))
+    for _ in range(2):
+        kept.change("removed", gone, lambda tables: store.hard_reset(tables, gone))
+    counts = kept.table("chunks").groupBy("document_id").agg(F.count("embedding").alias("vectors"), F.count(F.lit(1)).alias("chunks"))
+    return kept.table("documents").join(counts, "document_id", "left").fillna(0, ["vectors", "chunks"])
+
+
 @query("SELECT rpad(o_orderkey::VARCHAR, 12, ' ') || '  ' || rpad(CASE o_orderstatus WHEN 'O' THEN 'queued' ELSE 'done' END, 10, ' ') || '  ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '?' END AS line FROM orders")
 def status_report(spark, sf_dir):
     o = _read(spark, sf_dir, "orders")
