@@ -1,19 +1,24 @@
 """Approximate nearest neighbours: inverted lists with product-quantised residuals.
 
 Unit vectors are dealt to coarse centroids; what is left of a vector beyond its centroid is
-cut into sub-vectors and each is replaced by the nearest of 256 codewords. A query looks
-into the lists of some centroids only; all entries there are ranked by asymmetric distance
-tables (query sub-vectors against codewords, looked up by code and summed, plus the product
-with the centroid). Of that ranking over all probed lists together the first ``rerank``
-entries, and no others, are compared with the query exactly, in double precision on the
-original vectors. Lists are probed in order of the product with their centroid plus what
-their vectors' mean residual adds at ``spread`` deviations. Centroids and codebooks are
-fitted on a bounded sample (``sample`` vectors chosen by a hash); every vector is indexed.
+brought to length 1, cut into sub-vectors, and each is replaced by the nearest of 256
+codewords, so vectors close together are coded as finely, for their distances, as vectors
+far apart. Centroids and codebooks are fitted on a bounded sample (``sample`` vectors chosen
+by a hash); every vector is indexed. A query looks into the lists of some centroids only,
+in order of the product with their centroid plus what their vectors' remainders add at
+``spread`` deviations; how many is measured against brute force within the sample.
+
+Codes decide what is compared, and lose nothing: with each entry goes the length of what
+its code leaves, which with the query's part across the centroid bounds the error of the
+coded product. Every entry of the probed lists whose bound reaches the ``k``-th best is
+compared exactly, in double precision on the original vectors.
 
 Equal vectors are one index entry with the smallest ids that a result can use, so that
 many copies can't crowd out what lies near them. Lists are packed into shelves of at most
-about ``block`` entries, long lists cut, and queries into blocks of ``block`` too, so no
-task holds a list. Tasks that rank see codes only, vectors travel for the reranked alone.
+about ``block`` entries, near lists together, long lists cut, and queries into blocks of
+``block`` too, so no task holds a list. Of n shelves a query first looks into the root of n
+that its best lists are in; the ``k``-th score found there is the bar that results of all
+other shelves must reach, so rows found for a query grow with the root of n and not with n.
 
 Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component take
 no part, nor do those of another dimension than the sample's most common one; queries
@@ -32,8 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliomill.operators.vectors import cosine
 from foliomill.plans.workspace import materialize
+from foliomill.plans.workspace import spread as spread_out
 
 CODEWORDS = 256
 
@@ -87,23 +92,88 @@ class ProductQuantiser:
         books = np.stack([k_means(rest[:, i : i + part], CODEWORDS, 8, seed=i) for i in range(0, padded.shape[1], part)])
         return cls(centers.astype(np.float32), books.astype(np.float32), width, part, lengths.astype(np.float32))
 
-    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(list, codes) of each vector."""
-        padded = _padded(_unit(vectors), self.part)
-        cell = nearest(padded, self.centers)
-        rest = padded - self.centers[cell]
-        codes = [nearest(rest[:, i * self.part : (i + 1) * self.part], book) for i, book in enumerate(self.books)]
-        return cell, np.stack(codes, 1).astype(np.uint8)
+
+@dataclass
+class ScaledQuantiser:
+    """Coarse centroids and codebooks for remainders of length 1, all in double precision so that vectors close together stay apart."""
+
+    centers: np.ndarray
+    books: np.ndarray
+    rest: np.ndarray  # per list: mean length of its remainders
+    part: int
+
+    @classmethod
+    def fit(cls, units: np.ndarray, lists: int, part: int = 4) -> ScaledQuantiser:
+        centers = k_means(units, max(1, min(lists, len(units))))
+        centers = centers[np.argsort(nearest(centers, k_means(centers, math.isqrt(len(centers)))), kind="stable")]
+        cell = nearest(units, centers)
+        directions, lengths = _directions(units - centers[cell])
+        rest = np.sqrt(np.bincount(cell, lengths**2, len(centers)) / np.maximum(np.bincount(cell, minlength=len(centers)), 1))
+        directions = directions[lengths > 0] if (lengths > 0).any() else directions
+        books = np.stack([k_means(directions[:, i : i + part].astype(np.float32), CODEWORDS, 8, seed=i) for i in range(0, units.shape[1], part)])
+        return cls(centers, books.astype(np.float64), rest, part)
+
+    @property
+    def squares(self) -> np.ndarray:
+        return np.maximum((self.centers**2).sum(1), 1e-30)
+
+    def encode(self, units: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(list, codes, length of the remainder, product of centroid and what the code leaves, length of that across the centroid) of each vector."""
+        cell = nearest(units, self.centers)
+        directions, lengths = _directions(units - self.centers[cell])
+        codes = np.stack([nearest(directions[:, i * self.part : (i + 1) * self.part], book) for i, book in enumerate(self.books)], 1).astype(np.uint8)
+        left = units - self.decode(cell, codes, lengths)
+        along = (self.centers[cell] * left).sum(1)
+        across = np.sqrt(np.maximum((left**2).sum(1) - along**2 / self.squares[cell], 0))
+        return cell, codes, lengths, along, across
+
+    def decode(self, cell: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.centers[cell] + lengths[:, None] * np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], 1)
+
+    def split(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(products with all centroids, lengths of the queries' parts across them)."""
+        products = queries @ self.centers.T
+        return products, np.sqrt(np.maximum(1 - products**2 / self.squares, 0))
 
     def probes(self, queries: np.ndarray, spread: float) -> np.ndarray:
         """All lists for each query, the most promising first."""
-        q = _padded(_unit(queries), self.part)
-        return np.argsort(-(q @ self.centers.T + spread * self.rest / np.sqrt(self.width)), axis=1, kind="stable")
+        products, across = self.split(queries)
+        return np.argsort(-(products + spread * across * self.rest / np.sqrt(queries.shape[1])), axis=1, kind="stable")
+
+    def lists_needed(self, units: np.ndarray, k: int, spread: float, want: float, asked: int = 256) -> int:
+        """How many lists hold the share ``want`` of the ``k`` nearest of ``asked`` of these vectors, found by brute force among them."""
+        if len(units) < 2:
+            return 1
+        queries = units[np.random.default_rng(1).permutation(len(units))[:asked]]
+        near = np.argsort(-(queries @ units.T), axis=1, kind="stable")[:, 1 : k + 1]
+        place = np.argsort(self.probes(queries, spread), axis=1)
+        return int(np.quantile(np.take_along_axis(place, nearest(units, self.centers)[near], 1), want, method="higher")) + 1
 
-    def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(products with all centroids, products of sub-vectors with all codewords: (queries, parts * codewords))."""
-        q = _padded(_unit(queries), self.part)
-        return q @ self.centers.T, np.einsum("qmd,mkd->qmk", q.reshape(len(q), -1, self.part), self.books).reshape(len(q), -1)
+
+def _directions(rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(remainders at length 1, their lengths)."""
+    lengths = np.sqrt((rests**2).sum(1))
+    return rests / np.where(lengths > 0, lengths, 1)[:, None], lengths
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """In double precision, by a power of two so that the largest component is between 1/2 and 1: no square overflows and no digit changes."""
+    v = vectors.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None])
+
+
+def _folded(products: np.ndarray) -> np.ndarray:
+    """Row sums from left to right, as a fold over an array adds."""
+    return products.cumsum(1)[:, -1]
+
+
+def _cosines(query: np.ndarray, vectors: np.ndarray, norms: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Cosines with the vectors at some places, digit for digit as ``operators.vectors.cosine`` has them."""
+    return _folded(vectors[places] * query) / (math.sqrt(_folded(query[None] ** 2)[0]) * norms[places])
+
+
+def _units(scaled: np.ndarray, part: int) -> np.ndarray:
+    return _padded(scaled / np.sqrt((scaled**2).sum(1, keepdims=True)), part)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -135,99 +205,137 @@ def shelves_of(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array(parts)
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: float = 0.3, least_probed: int = 512, rerank: int = 200, sample: int = 20_000, block: int = 8192, spread: float = 2.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def ann_search(vectors: DataFrame, queries: DataFrame, k: int = 5, **settings) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` nearest to each query by cosine.
 
-    ``probe`` is the share of lists a query looks into, extended until they hold
-    ``least_probed`` entries; ``rerank`` entries of each query are scored exactly. A row is
-    no candidate for a query with its own id.
+    A row is no candidate for a query with its own id. ``settings`` go to ``found_by_shelf``.
+    """
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found_by_shelf(vectors, queries, k, **settings)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def found_by_shelf(vectors: DataFrame, queries: DataFrame, k: int = 5, probe: float = 0.3, least_probed: int = 512, sample: int = 20_000, block: int = 8192, spread: float = 2.0, want: float = 0.97, part: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, score): the nearest of each shelf that a query looks into, the ``k`` nearest of all among them.
+
+    ``probe`` is the least share of lists a query looks into. It looks into more until they
+    hold ``least_probed`` entries, and where the share ``want`` of the nearest in the sample
+    takes more.
     """
     spark, usable_row = vectors.sparkSession, usable(vector) & F.col(key).isNotNull()
+    kind = vectors.schema[vector].dataType.simpleString()
     same = Window.partitionBy("v").orderBy("id")
     few = vectors.where(usable_row).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
-    entries = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    entries = materialize(entries.select(F.monotonically_increasing_id().alias("entry"), "ids", "v"), "ann-entries")
+    entries = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-entries")
     drawn = entries.orderBy(F.xxhash64("v")).limit(sample).select("v").collect()
     if not drawn:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, vec_id long, score double")
     widths = [len(r.v) for r in drawn]
     width = max(sorted(set(widths)), key=widths.count)
     entries = entries.where(F.size("v") == width)
     count = entries.count()
-    quantiser = ProductQuantiser.fit(np.array([r.v for r in drawn if len(r.v) == width]), int(min(16 * math.sqrt(count), count / 4, sample / 4)) or 1)
+    units = _units(_scaled(np.array([r.v for r in drawn if len(r.v) == width])), part)
+    # lists are nearer to what they are fitted on than to the rest, so with vectors beyond the sample a part of it is kept to measure
+    kept = len(units) // 4 if count > len(units) else 0
+    quantiser = ScaledQuantiser.fit(units[kept:], int(min(16 * math.sqrt(count), count / 4, sample / 4)) or 1, part)
+    lists = len(quantiser.centers)
+    at_least = max(1, math.ceil(probe * lists), quantiser.lists_needed(units[:kept] if kept > k else units, k, spread, want))
     shipped = spark.sparkContext.broadcast(quantiser)
 
     def index(batches):
         for batch in batches:
-            cell, codes = shipped.value.encode(_matrix(batch.column(1))) if batch.num_rows else (np.zeros(0), np.zeros((0, 1), np.uint8))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["entry", "list", "code"])
+            if batch.num_rows:
+                cell, codes, *numbers = shipped.value.encode(_units(_scaled(_matrix(batch.column("v"))), part))
+                found = [pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), *(pa.array(x, pa.float64()) for x in numbers)]
+                yield pa.RecordBatch.from_arrays([*found, batch.column("ids"), batch.column("v")], names=["list", "code", "length", "along", "across", "ids", "v"])
 
-    indexed = materialize(entries.select("entry", "v").mapInArrow(index, "entry long, list int, code binary"), "ann-index")
-    lists = len(quantiser.centers)
+    indexed = materialize(entries.select("ids", "v").mapInArrow(index, f"list int, code binary, length double, along double, across double, ids array<long>, v {kind}"), "ann-index")
     held = dict(indexed.groupBy("list").count().collect())  # one row per list, of which there are at most sample / 4
     sizes = np.array([held.get(i, 0) for i in range(lists)])
-    first, parts = shelves_of(sizes, block)
-    at_least = max(1, math.ceil(probe * lists))
-
-    def deal(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                asked = batch.slice(at, 256)
-                order = shipped.value.probes(_matrix(asked.column(1)), spread)
-                reached = np.cumsum(sizes[order], 1) >= min(least_probed, count)
-                rows, where, looked = [], [], []
-                for n, lists_in_order in enumerate(order):
-                    chosen = lists_in_order[: max(at_least, int(reached[n].argmax()) + 1)]
-                    by_shelf: dict[int, list[int]] = {}
-                    for x in chosen.tolist():
-                        for shelf in range(first[x], first[x] + parts[x]):
-                            by_shelf.setdefault(int(shelf), []).append(x)
-                    rows += [n] * len(by_shelf)
-                    where += by_shelf.keys()
-                    looked += by_shelf.values()
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), asked.column(0).take(take), asked.column(1).take(take), pa.array(looked, pa.list_(pa.int32()))], names=["shelf", "query_id", "q", "lists"])
-
-    kind = vectors.schema[vector].dataType.simpleString()
-    asked = queries.where(usable_row & (F.size(vector) == width)).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast(kind).alias("q")).distinct()
-    asked = materialize(asked, "ann-queries")
-    asked_parts = max(1, math.ceil(asked.count() / block))
-    groups = ["shelf", "asked_part"]
-    right = asked.mapInArrow(deal, f"shelf int, query_id long, q {kind}, lists array<int>").withColumn("asked_part", F.pmod(F.hash("query_id"), F.lit(asked_parts)))
-    shelf_table = spark.createDataFrame(list(zip(range(lists), first.tolist(), parts.tolist())), "list int, first int, parts int")
-    left = indexed.join(F.broadcast(shelf_table), "list").withColumn("shelf", F.col("first") + F.pmod(F.hash("entry"), F.col("parts")))
-    left = left.select("shelf", "entry", "list", "code").withColumn("asked_part", F.explode(F.sequence(F.lit(0), F.lit(asked_parts - 1))))
-
-    def by_tables(shelf: pa.Table, asking: pa.Table) -> pa.Table:
-        """The ``rerank`` best of a shelf for each query, by codes."""
-        found_q, found_entry, found_near = [], [], []
+    even = math.ceil(count / math.ceil(count / block))
+    first, parts = shelves_of(sizes, even + min(int(sizes.max()), even // 8))
+
+    early = max(1, math.isqrt(int((first + parts).max())))
+
+    def deal(later: bool) -> DataFrame:
+        """Each query with the lists that it looks into, by shelf: the ``early`` shelves that its best lists are in, or all others."""
+
+        def dealt(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    asked = batch.slice(at, 256)
+                    order = shipped.value.probes(_units(_scaled(_matrix(asked.column(1))), part), spread)
+                    reached = np.cumsum(sizes[order], 1) >= min(least_probed, count)
+                    rows, where, looked = [], [], []
+                    for n, lists_in_order in enumerate(order):
+                        chosen = lists_in_order[: max(at_least, int(reached[n].argmax()) + 1)]
+                        chosen = chosen[sizes[chosen] > 0]
+                        cut = parts[chosen]
+                        shelf = np.repeat(first[chosen] - np.cumsum(cut) + cut, cut) + np.arange(cut.sum())
+                        _, seen, which = np.unique(shelf, return_index=True, return_inverse=True)
+                        wanted = (np.argsort(np.argsort(seen))[which] >= early) == later
+                        shelf, chosen = shelf[wanted], np.repeat(chosen, cut)[wanted]
+                        by_shelf = np.argsort(shelf, kind="stable")
+                        found, starts = np.unique(shelf[by_shelf], return_index=True)
+                        rows += [n] * len(found)
+                        where += found.tolist()
+                        looked += np.split(chosen[by_shelf], starts[1:]) if len(found) else []
+                    take = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), asked.column(0).take(take), asked.column(1).take(take), pa.array(looked, pa.list_(pa.int32()))], names=["shelf", "query_id", "q", "lists"])
+
+        return asked.mapInArrow(dealt, f"shelf int, query_id long, q {kind}, lists array<int>")
+
+    def by_codes(shelf: pa.Table, asking: pa.Table) -> pa.Table:
+        """The ``k`` best rows of a shelf for each query that reach its bar."""
+        rows: list[tuple[int, int, float]] = []
         if shelf.num_rows and asking.num_rows:
-            quantiser = shipped.value
+            quantiser, in_list = shipped.value, shelf["list"].to_numpy()
             codes = np.frombuffer(b"".join(shelf["code"].to_pylist()), np.uint8).reshape(shelf.num_rows, -1)
-            spots = codes.astype(np.int32) + CODEWORDS * np.arange(codes.shape[1], dtype=np.int32)
-            in_list, ids = shelf["list"].to_numpy(), shelf["entry"].to_numpy()
+            along, across = shelf["along"].to_numpy(), shelf["across"].to_numpy()
+            coded = quantiser.decode(in_list, codes, shelf["length"].to_numpy())
+            v, ids = _scaled(_matrix(shelf["v"])), shelf["ids"].to_pylist()
+            norms = np.sqrt(_folded(v * v))
+            least, lone = np.array([x[0] for x in ids]), np.array([len(x) == 1 for x in ids])
+            after = np.array([x[:2][-1] for x in ids])
             for at in range(0, asking.num_rows, 64):
-                part = asking.slice(at, 64)
-                coarse, tables = quantiser.tables(_matrix(part["q"]))
-                for n, (query, looked) in enumerate(zip(part["query_id"].to_pylist(), part["lists"].to_pylist())):
+                some = asking.slice(at, 64)
+                scaled = _scaled(_matrix(some["q"]))
+                units = _units(scaled, part)
+                products, beyond = quantiser.split(units)
+                near = units @ coded.T
+                for n, (query, looked, bar) in enumerate(zip(some["query_id"].to_pylist(), some["lists"].to_pylist(), some["bar"].to_pylist())):
                     probed = np.zeros(len(quantiser.centers), bool)
                     probed[looked] = True
-                    here = np.flatnonzero(probed[in_list])
-                    near = coarse[n, in_list[here]] + tables[n][spots[here]].sum(1)
-                    if len(near) > rerank:
-                        best = np.argpartition(-near, rerank)[:rerank]
-                        here, near = here[best], near[best]
-                    found_q.append(np.full(len(here), query))
-                    found_entry.append(ids[here])
-                    found_near.append(near)
-        columns = [np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, found_q), (np.int64, found_entry), (np.float32, found_near))]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "entry": pa.array(columns[1], pa.int64()), "near": pa.array(columns[2], pa.float32())})
-
-    ranked = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(by_tables, "query_id long, entry long, near float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "entry")
-    chosen = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank).select("query_id", "entry")
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    pairs = chosen.join(entries.select("entry", "ids", double("v").alias("v")), "entry").join(asked.select("query_id", double("q").alias("q")), "query_id")
-    found = pairs.select("query_id", F.explode(F.filter("ids", lambda x: x != F.col("query_id"))).alias("vec_id"), cosine(F.col("q"), F.col("v")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    here = np.flatnonzero(probed[in_list] & ~(lone & (least == query)))
+                    cell, q, bar = in_list[here], scaled[n], -math.inf if bar is None else bar
+                    estimate = near[n, here] + products[n, cell] / quantiser.squares[cell] * along[here]
+                    reach = estimate + beyond[n, cell] * across[here] + 1e-9
+                    if len(here) > k:
+                        best = _cosines(q, v, norms, here[np.argpartition(-estimate, k)[:k]])
+                        here = here[reach >= max(bar, best.min())]
+                    score = _cosines(q, v, norms, here)
+                    here, score = here[score >= bar], score[score >= bar]
+                    chosen = np.lexsort((np.where(least[here] == query, after[here], least[here]), -score))[:k]
+                    found = [(-float(score[x]), i) for x in chosen for i in ids[here[x]] if i != query]
+                    rows += [(query, i, -s) for s, i in sorted(found)[:k]]
+        columns = list(zip(*rows)) or [[], [], []]
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+
+    asked = queries.where(usable_row & (F.size(vector) == width)).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast(kind).alias("q")).distinct()
+    asked = spread_out(materialize(asked, "ann-queries"))
+    asked_parts = max(1, math.ceil(asked.count() / block))
+    shelf_table = spark.createDataFrame(list(zip(range(lists), first.tolist(), parts.tolist())), "list int, first int, parts int")
+    shelved = indexed.join(F.broadcast(shelf_table), "list").withColumn("shelf", F.col("first") + F.pmod(F.hash(F.col("ids")[0]), F.col("parts"))).drop("first", "parts")
+    shelved = shelved.withColumn("asked_part", F.explode(F.sequence(F.lit(0), F.lit(asked_parts - 1))))
+    groups = ["shelf", "asked_part"]
+
+    def look(asking: DataFrame) -> DataFrame:
+        asking = asking.withColumn("asked_part", F.pmod(F.hash("query_id"), F.lit(asked_parts)))
+        return shelved.groupBy(*groups).cogroup(asking.groupBy(*groups)).applyInArrow(by_codes, "query_id long, vec_id long, score double")
+
+    found = look(deal(later=False).withColumn("bar", F.lit(None).cast("double")))
+    if int((first + parts).max()) > early:
+        found = materialize(found, "ann-first")
+        bars = found.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("bar"))  # of k rows a shelf
+        found = found.union(look(deal(later=True).join(bars, "query_id", "left").select("shelf", "query_id", "q", "lists", "bar")))
+    return found

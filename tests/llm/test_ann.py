@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("foliomill.llm.ann")
 from foliomill.llm import ann
 from foliomill.llm.queries import QUERIES
+from foliomill.operators.vectors import cosine
 
 
 def brute(ids, vectors, queries, k=5):
@@ -44,3 +46,39 @@ def test_copies_small_tables_and_unusable_vectors(spark):
     assert ann.ann_search(few, few).count() == 6
     assert ann.ann_search(table.limit(0), table).count() == 0
     assert ann.ann_search(table, table.limit(0)).count() == 0
+
+
+def recall(spark, vectors, every=40, **settings):
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = ann.ann_search(table, table.where(f"vec_id % {every} = 0"), **settings).toPandas()
+    truth = brute(range(len(vectors)), vectors, range(0, len(vectors), every))
+    assert set(got.query_id) == set(truth)
+    assert all(len(p) == 5 for _, p in got.groupby("query_id"))
+    return np.mean([len(set(truth[q]) & set(p.vec_id)) / 5 for q, p in got.groupby("query_id")])
+
+
+def test_recall_where_vectors_lie_close_together(spark):
+    """All around one point, or half of them a group of near copies, more than codes could tell apart."""
+    rng = np.random.default_rng(3)
+    around = rng.standard_normal((1, 64)) + 0.01 * rng.standard_normal((4000, 64))
+    assert recall(spark, around) >= 0.9
+    copies = np.concatenate([rng.standard_normal((2000, 64)), rng.standard_normal((1, 64)) + 0.001 * rng.standard_normal((2000, 64))])
+    assert recall(spark, copies) >= 0.9
+    # a sample that holds few of the group
+    assert recall(spark, copies, sample=400, block=1000) >= 0.9
+
+
+def test_recall_of_wide_vectors_offset_from_zero(spark):
+    rng = np.random.default_rng(4)
+    assert recall(spark, rng.standard_normal((3000, 254)) + 3) >= 0.9
+
+
+def test_scores_are_the_cosine_expression_and_survive_large_components(spark):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((300, 9)).tolist())], "vec_id long, embedding array<double>")
+    got = ann.ann_search(table, table.where("vec_id < 5"))
+    sides = [table.selectExpr(f"vec_id AS {name}_id", f"embedding AS {name}") for name in ("query", "vec")]
+    same = got.join(sides[0], "query_id").join(sides[1], "vec_id").where(cosine(F.col("query"), F.col("vec")) == F.col("score"))
+    assert same.count() == got.count() == 25
+    large = table.selectExpr("vec_id", "transform(embedding, x -> x * 1e200) AS embedding")
+    assert sorted(map(tuple, ann.ann_search(large, large.where("vec_id < 5")).select("query_id", "rank", "vec_id").collect())) == sorted(map(tuple, got.select("query_id", "rank", "vec_id").collect()))
