@@ -82,3 +82,12 @@ def test_scores_are_the_cosine_expression_and_survive_large_components(spark):
     assert same.count() == got.count() == 25
     large = table.selectExpr("vec_id", "transform(embedding, x -> x * 1e200) AS embedding")
     assert sorted(map(tuple, ann.ann_search(large, large.where("vec_id < 5")).select("query_id", "rank", "vec_id").collect())) == sorted(map(tuple, got.select("query_id", "rank", "vec_id").collect()))
+
+
+def test_shelves_after_the_first_ones_give_only_what_reaches_the_bar(spark):
+    """Rows found for a query grow far less than the number of shelves."""
+    vectors = np.random.default_rng(6).standard_normal((4000, 16))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    found = {block: ann.found_by_shelf(table, table.where("vec_id % 40 = 0"), probe=1.0, block=block).count() / 100 for block in (1000, 100)}
+    assert found[1000] <= 20
+    assert found[100] <= 60  # 5 from each of 40 shelves would be 200
