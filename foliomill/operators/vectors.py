@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import FloatType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from foliomill.operators.nearest import nearest
 from foliomill.operators.providers import Breaker, embed_as
+from foliomill.plans.ordering import running
 from foliomill.plans.workspace import materialize, names_in
 
 
@@ -43,44 +45,75 @@ def search(chunks: DataFrame, query: list[float], k: int = 40) -> DataFrame:
     return scored.orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
 
-def knn_edges(chunks: DataFrame, k: int = 5, threshold: float = 0.75, block: int = 4096) -> DataFrame:
-    """(chunk_id, neighbor_id, similarity): each chunk's k nearest others, then only those at the threshold or above.
+#: bytes of a block's vectors, at most
+BLOCK_BYTES = 1 << 24
+#: a table is cut into so many blocks, unless these would be over the limits or of under 1,024 rows
+BLOCKS = 12
 
-    Exact. Both sides are cut into blocks of about ``block`` rows and every pair of blocks
-    is one group of two matrices, so a task's memory does not grow with the table; a cell
-    gives at most k rows per chunk, so what shuffles is k rows a chunk and block and never
-    a row per pair. The work grows with the square of the rows; very large tables are for
-    an approximate index. Vectors that are null, zero or hold a null or non-finite
-    component take no part; vectors of unlike dimensions are never compared.
+
+def knn_edges(chunks: DataFrame, k: int = 5, threshold: float = 0.75, block: int = 1 << 16) -> DataFrame:
+    """(chunk_id, neighbor_id, similarity): each chunk's k nearest others, of equally near ones those of the smallest ids, then only those at the threshold or above.
+
+    Exact. Equal vectors are one class; only classes are compared, and what they find is given
+    to their members. Classes are cut into blocks of at most ``block`` rows and BLOCK_BYTES,
+    and every two blocks meet once, so a task's memory does not grow with the table; a
+    meeting gives at most k rows per class and never a row per pair. The work grows
+    with the square of the distinct vectors; very large tables are for an approximate index.
+    Vectors that are null, zero or hold a null or non-finite component take no part, nor do
+    rows without an id; vectors of unlike dimensions are never compared.
+    """
+    single = isinstance(chunks.schema["embedding"].dataType.elementType, FloatType)
+    vector = F.col("embedding") if single else F.transform("embedding", lambda x: x.cast("double"))
+    rows = retrievable(chunks).where(usable() & F.col("chunk_id").isNotNull()).groupBy("chunk_id", vector.alias("v")).agg(F.count(F.lit(1)).alias("copies"))
+    rows = materialize(rows, "knn-rows")
+    classes = materialize(running(rows.groupBy("v").agg(F.min("chunk_id").alias("low")), [F.size("v"), F.col("low")]), "knn-classes")
+    members = materialize(rows.join(classes.select("v", "position"), "v").select("position", "chunk_id", "copies"), "knn-members")
+    # so many classes may hold a row's own id, which is no neighbour of it
+    own = rows.groupBy("chunk_id").count().agg(F.max("count")).first()[0] or 1
+    near = _near_classes(classes.select("position", "v"), k + own - 1, threshold, min(block, max(1, (1 << 23) // (k + own))), "<f4" if single else "<f8")
+    first = members.withColumn("n", F.row_number().over(Window.partitionBy("position").orderBy("chunk_id"))).where(F.col("n") <= k + 1)
+    alike = first.where("n = 2").select("position", F.col("position").alias("other"), F.lit(1.0).alias("similarity")).where(F.col("similarity") >= threshold)
+    theirs = first.select(F.col("position").alias("other"), F.col("chunk_id").alias("neighbor_id"), F.col("copies").alias("theirs"))
+    best = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbor_id"))
+    lists = near.unionByName(alike).join(theirs, "other").withColumn("rank", best("position")).where(F.col("rank") <= k + own).drop("rank", "other")
+    found = members.join(lists, "position").where("chunk_id <> neighbor_id")
+    found = found.select("chunk_id", "neighbor_id", "similarity", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("copies") * F.col("theirs")).cast("int"))))
+    return found.withColumn("rank", best("chunk_id")).where(F.col("rank") <= k).select("chunk_id", "neighbor_id", "similarity")
+
+
+def _near_classes(classes: DataFrame, k: int, threshold: float, block: int, number: str) -> DataFrame:
+    """(position, other, similarity): the k nearest others of each row of ``classes`` (position, v) at the threshold or above, of equally near ones those of the lowest position.
+
+    Positions count up and vectors of one dimension follow each other; ``number`` is the type that blocks are written in.
     """
-    rows = retrievable(chunks).where(usable()).select("chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("width", F.size("v"))
-    blocks = max(1, -(-rows.count() // block))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    mine = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
-    left = rows.select("width", mine.alias("i"), each.alias("j"), F.col("chunk_id").alias("id"), "v")
-    right = rows.select("width", each.alias("i"), mine.alias("j"), F.col("chunk_id").alias("id"), "v")
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+    per_block = F.least(F.lit(block), F.lit(max(1024, -(-classes.count() // BLOCKS))), F.greatest(F.lit(1), F.lit(BLOCK_BYTES // int(number[-1])) / F.size("v"))).cast("long")
+
+    def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("position")
+        data = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(number).tobytes()
+        return pa.table({"width": rows["width"][:1], "number": rows["number"][:1], "start": rows["position"][:1], "data": pa.array([data], pa.binary())})
+
+    cut = classes.select("position", "v", F.size("v").alias("width"), F.floor(F.col("position") / per_block).alias("number"))
+    blocks = materialize(cut.groupBy("width", "number").applyInArrow(packed, "width int, number long, start long, data binary"), "knn-blocks")
+    names = blocks.select("width", F.col("number").alias("i"))
+    meetings = materialize(names.join(names.withColumnRenamed("i", "j"), "width").where("i <= j"), "knn-meetings")
+    # more partitions than meetings, so that few get several
+    count = max(1, meetings.count())
+    parts = min(4 * count, max(count, 1000))
+    both = [meetings.join(blocks.withColumnRenamed("number", c), ["width", c]).select(*[F.col(n).alias(n) for n in ("width", "i", "j", "start", "data")]) for c in "ij"]
+    left, right = (side.repartition(parts, "width", "i", "j").groupBy("width", "i", "j") for side in both)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
         if a.num_rows and b.num_rows:
-            x, y = (t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (a, b))
-            x, y = (m / np.sqrt((m**2).sum(1, keepdims=True)) for m in (x, y))
-            ids, others = a["id"].to_pylist(), b["id"].to_pylist()
-            order = np.argsort(np.array(others), kind="stable")
-            for at in range(0, len(ids), 512):
-                sims = x[at : at + 512] @ y[order].T
-                best = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]
-                for n, row in enumerate(best):
-                    near = [c for c in row if others[order[c]] != ids[at + n]][:k]
-                    out[0].extend([ids[at + n]] * len(near))
-                    out[1].extend(others[order[c]] for c in near)
-                    out[2].extend(float(sims[n, c]) for c in near)
-        return pa.table({"chunk_id": pa.array(out[0], a["id"].type), "neighbor_id": pa.array(out[1], a["id"].type), "similarity": pa.array(out[2], pa.float64())})
-
-    found = left.groupBy("width", "i", "j").cogroup(right.groupBy("width", "i", "j")).applyInArrow(cell, f"chunk_id {kind}, neighbor_id {kind}, similarity double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("similarity"), "neighbor_id")))
-    return ranked.where((F.col("rank") <= k) & (F.col("similarity") >= threshold)).drop("rank")
+            x, y = (np.frombuffer(t["data"][0].as_buffer(), number).reshape(-1, t["width"][0].as_py()) for t in (a, b))
+            found = nearest(x, y, a["start"][0].as_py(), b["start"][0].as_py(), k, threshold)
+        columns = [np.concatenate(c) for c in zip(*found)] or [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["position", "other", "similarity"])
+
+    found = left.cogroup(right).applyInArrow(meet, "position long, other long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("position").orderBy(F.desc("similarity"), "other"))
+    return materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "knn-near")
 
 
 def embed(chunks: DataFrame, provider, key: str = "chunk_id", content: str = "content", batch: int = 16, give_up: int | None = None) -> DataFrame:
