@@ -481,9 +481,9 @@ reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT rea
 components AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)"""
 
 
-def _components(spark, sf_dir):
+def _components(spark, sf_dir, edges=None):
     nodes = chunks_of(spark, sf_dir).select(F.col("chunk_id").alias("node"))
-    return graph.components_of(nodes, _edges(spark, sf_dir))
+    return graph.components_of(nodes, _edges(spark, sf_dir) if edges is None else edges)
 
 
 @query(f"WITH {COMPONENTS} SELECT * FROM components")
@@ -494,7 +494,7 @@ def components(spark, sf_dir):
 @query(f"WITH {COMPONENTS} SELECT * FROM components WHERE node IN (SELECT source FROM edges UNION SELECT target FROM edges)")
 def components_by_batch(spark, sf_dir):
     """The graph's edges added in three batches to components that are kept."""
-    edges = materialize(_edges(spark, sf_dir), "edges")
+    edges = _edges(spark, sf_dir)
     kept = ComponentStore(spark, _stream_folder(spark))
     for number in range(3):
         kept.add(edges.where((F.col("source") + F.col("target")) % 3 == number), number)
@@ -1052,7 +1052,8 @@ def graph_nodes(spark, sf_dir):
     nodes = chunks.select(F.col("chunk_id").alias("node"), F.col("document").alias("document_id"))
     documents = nodes.where("document_id % 2 = 0").select("document_id", F.concat(F.lit("file "), F.col("document_id").cast("string")).alias("file_name")).distinct()
     colours = documents.select("document_id", F.lit(0).alias("hue"))
-    return graph.graph_nodes(nodes, _edges(spark, sf_dir), _components(spark, sf_dir), documents, colours).drop("hue")
+    edges = _edges(spark, sf_dir)
+    return graph.graph_nodes(nodes, edges, _components(spark, sf_dir, edges), documents, colours).drop("hue")
 
 
 @query(f"""WITH {COMPONENTS} SELECT (SELECT count(*) FROM customer) AS documents, (SELECT count(*) FROM embeddings WHERE vec_id % 3 > 0) AS embedded_chunks,
