@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _sent: set[str] = set()
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +40,40 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
     This cuts lineage, so a lost executor costs a re-read and not a recomputation, and
     it fixes the rows that later steps see. Files live under a folder named after the
-    application and can be deleted once it has ended.
+    application and can be deleted once it has ended, or when a ``working_files`` around ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    for written in getattr(_open, "scopes", [])[-1:]:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def working_files(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``materialize`` has written within; frames that read it can't be used any more."""
+    _open.scopes = [*getattr(_open, "scopes", []), []]
+    try:
+        yield
+    finally:
+        for path in _open.scopes.pop():
+            delete_folder(spark, path)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold within and are as before behind."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def delete_working_files(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote for this application; frames that read it can't be used any more."""
     files, folder = _file_system(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
@@ -67,6 +97,11 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(folder, True)
 
 
+def bytes_in(spark: SparkSession, path: str) -> int:
+    files, folder = _file_system(spark, path)
+    return files.getContentSummary(folder).getLength()
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of what a folder holds; none for a folder that isn't there."""
     files, folder = _file_system(spark, path)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.plans.workspace import names_in, path_exists
+from foliomill.plans.workspace import bytes_in, names_in, path_exists
 
 COMMITS = "commits"
 
@@ -37,6 +37,17 @@ class BatchTables:
             make().write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._part(table))
         return self.spark.read.parquet(self._part(table))
 
+    def add(self, table: str, make: Callable[[], DataFrame], n: int, of: int) -> None:
+        """Slice ``n`` of ``of`` of this batch's part of a table: ``stage`` in several writes, of which the first replaces what is there and the last makes the part whole."""
+        if of == 1:
+            self.stage(table, make)
+            return
+        rows = make().write.mode("append" if n else "overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(n == of - 1).lower())
+        rows.parquet(self._part(table))
+
+    def bytes_of(self, table: str) -> int:
+        return bytes_in(self.spark, self._part(table))
+
     def is_committed(self) -> bool:
         return self.whole(self.commits)
 
